@@ -3,15 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontaminate, language_id
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.near_dedup import near_duplicate_classes
 from tessera.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit_on_documents(docs))
+    return found.select(
+        F.col("id").alias("doc_id"), language_id.held_out("id").alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), num=85)
+
+
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(%(lower)s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), bi AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS win FROM bi
+), lens AS (SELECT DISTINCT n FROM win),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(%(lower)s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+nx AS (
+  SELECT doc_id, pos, array_agg(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS nx FROM p
+), k AS (
+  SELECT doc_id, pos, n, array_to_string(nx[1:n], ' ') AS win FROM nx, lens WHERE len(nx) >= n
+), h AS (SELECT doc_id, pos, k.n, item FROM k JOIN win ON k.n = win.n AND k.win = win.win),
+hw AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS q FROM h) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+""" % {"lower": _AZ.format("text")}
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -25,10 +73,36 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM c
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(%(lower)s, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+nx AS (
+  SELECT doc_id, n, pos, array_agg(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS nx FROM p
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(nx, ' ')) AS sh FROM nx WHERE pos <= greatest(n - 4, 1)
+), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * shared >= 85 * (ca.n + cb.n - shared)
+), reach(id, r) AS (
+  SELECT a, a FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a
+), low AS (SELECT id, min(r) AS component FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(least(component, d.doc_id), d.doc_id) AS component_id,
+       coalesce(least(component, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN low ON low.id = d.doc_id
+""" % {"lower": _AZ.format("text")}
+
 
 def queries() -> dict:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_decontaminate": op2_decontaminate,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_near_dedup": op9_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
