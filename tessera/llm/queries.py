@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_id
+from tessera.llm import chat, decontaminate, language_id, pieces, quality, secrets, toxicity, warc
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.near_dedup import near_duplicate_classes
-from tessera.session import table
+from tessera.session import fresh_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,41 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_documents(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws quality.SHARE of all documents; the target is the labelled text of quality 1."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    rows = docs.join(good, docs["doc_id"] == good["_good"], "left")
+    drawn = quality.resampled(rows, F.col("_good").isNotNull(), round(quality.SHARE * docs.count()))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired_turns(table(spark, sf_dir, "conversations"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, pieces.load()).drop("text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +66,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), num=85)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan_report(docs, secrets.fit(docs))
+
+
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -60,6 +100,21 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """ % {"lower": _AZ.format("text")}
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, unhex(sha1(payload)) AS d, sha256(payload) AS k FROM p),
+b AS (
+  SELECT page_id, payload_bytes, k,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           list_sum(list_transform(range(5), lambda j: ((get_bit(CAST(d AS BIT), CAST(i * 5 + j AS INT))) << (4 - j)))) AS INT), 1)), '') AS payload_digest
+  FROM h
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY k)
+"""
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -99,10 +154,16 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_decontaminate": op2_decontaminate,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
+        "op5_chat": op5_chat,
+        "op6_warc": op6_warc,
+        "op7_pieces": op7_pieces,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_near_dedup": op9_near_dedup,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
