@@ -6,14 +6,12 @@ holds toxic texts too. A linear classifier over the presence of words minimises
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)])
 
 with the logistic loss: where the corrected negative risk goes below zero, the step goes
-against it (Kiryo et al. 2017). Features are the words that the positives hold far more
-often than unlabelled text; the sample sizes below bound what is learned from.
+against it (Kiryo et al. 2017). Features are the words and word beginnings that the
+positives hold far more often than unlabelled text; the sample sizes below bound what is learned from.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,17 +25,43 @@ from tessera.llm.common import as_bytes, slices
 #: Bounds of the training sample, in texts; the sample is drawn by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
 #: Features: words in so many positives at least, so many times likelier there, and at most so many.
-LEAST_TEXTS, LEAST_LIFT, FEATURES = 4, 2.0, 4096
-EPOCHS, BATCH, RATE, L2 = 60, 512, 0.05, 1e-4
+LEAST_TEXTS, LEAST_LIFT, FEATURES = 4, 2.0, 2048
+#: Characters of the word beginnings that are features besides whole words.
+PREFIXES = range(3, 9)
+EPOCHS, BATCH, RATE, L2 = 40, 512, 0.05, 1e-4
+#: Words whose features a worker remembers.
+KNOWN_WORDS = 300_000
 
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_BLANK = re.compile(rb"^\s*$")
 
 
 def words_of(text: bytes | None) -> set[bytes]:
     return set(text.translate(_WORDS).split()) if text else set()
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """The word itself, and its beginnings, marked as such."""
+    text = word.decode("utf-8", "ignore")
+    return [word, *(text[:n].encode() + b"*" for n in PREFIXES if n < len(text))]
+
+
+class Features(dict):
+    """Word to the numbers of its features that the vocabulary holds."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
+        return found
+
+    def of_words(self, words: set[bytes]) -> list[int]:
+        return sorted({i for w in words for i in self[w]})
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: dict[bytes, int]
@@ -91,7 +115,9 @@ def nonnegative_pu(pos: list[list[int]], unl: list[list[int]], n_features: int,
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [sorted(words_of(t)) for t in as_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.list_(pa.binary()))], ["positive", "words"])
+        marks = [sorted({f for w in ws for f in features_of(w)}) for ws in words]
+        kind = pa.list_(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, kind), pa.array(marks, kind)], ["positive", "words", "marks"])
 
 
 def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -114,10 +140,10 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_co
         drawn(labelled.where(F.col(label_col) == 1), n_pos, POSITIVES, 1)
         .select(text_col, F.lit(True).alias("positive"))
         .union(drawn(unlabelled, n_unl, UNLABELLED, 2).select(text_col, F.lit(False)))
-        .mapInArrow(_words, "positive boolean, words array<binary>")
+        .mapInArrow(_words, "positive boolean, words array<binary>, marks array<binary>")
         .persist()
     )
-    df = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
+    df = sample.select("positive", F.explode("marks").alias("word")).groupBy("word").agg(
         F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u")
     )
     totals = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
@@ -135,12 +161,12 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_co
     held = labelled.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known = Features(held.value)
         for batch in batches:
-            rows = [[known[w] for w in words if w in known] for words in batch.column(1).to_pylist()]
+            rows = [known.of_words(set(words)) for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["positive", "features"])
 
-    rows = sample.mapInArrow(encode, "positive boolean, features array<int>").collect()  # bounded by the sample
+    rows = sample.select("positive", "words").mapInArrow(encode, "positive boolean, features array<int>").collect()  # bounded by the sample
     sample.unpersist()
     rows.sort(key=lambda r: (r[0], r[1]))  # one result whatever the order of tasks
     pos, unl = [r[1] for r in rows if r[0]], [r[1] for r in rows if not r[0]]
@@ -156,11 +182,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        features = model.vocabulary.keys()
+        known = Features(model.vocabulary)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in slices([len(t or b"") for t in texts]):
-                rows = [[model.vocabulary[w] for w in sorted(words_of(t) & features)] for t in texts[lo:hi]]
+                rows = [known.of_words(words_of(t)) for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.scores(rows))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
