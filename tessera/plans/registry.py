@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import book, trends  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(book.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(book.SQL)
