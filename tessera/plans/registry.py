@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import book, trends  # noqa: F401
+from tessera.plans import book, records, trends  # noqa: F401
 
 
 def queries() -> dict:
