@@ -6,9 +6,10 @@
 2. Bands of the signature become bucket keys; buckets with one member go.
 3. In each bucket the first and the last member are tested against all others: signatures
    first, then the full sets. Components join what is linked.
-4. Buckets that still hold more than one component are searched to the end: all pairs from
-   different components that were not tested yet. So no bucket is capped, and a bucket of
-   thousands of copies costs as many tests as it has members, not their square.
+4. The members of buckets that still hold more than one component are searched to the end:
+   a prefix join on their rarest shingles gives all pairs from different components that can
+   be alike enough. So no bucket is capped, and a bucket of thousands of variants of one text
+   costs a few tests for each of its members, not their square.
 """
 
 from __future__ import annotations
@@ -169,6 +170,37 @@ def _verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, num: int, de
     )
 
 
+def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of different parts that can be alike enough, by prefix and position.
+
+    With the rarest shingles first, alike sets share one of the first n - ceil(n * num / den) + 1,
+    and at the first they share enough must be left of both (Bayardo et al. 2007, Xiao et al. 2008).
+    """
+    rows = sets.select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "s")))
+    length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    prefixes = stored(
+        rows.join(common, "s")
+        .groupBy("id", "part", "n")
+        .agg(order.alias("o"))
+        .select("id", "part", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
+        .select("id", "part", "n", "at", "x.s"),
+        "prefixes",
+    )
+    larger = prefixes.withColumnsRenamed({"id": "ia", "part": "pa", "n": "na", "at": "ta"})
+    smaller = prefixes.withColumnsRenamed({"id": "ib", "part": "pb", "n": "nb", "at": "tb"})
+    left = F.least(F.col("na") - F.col("ta"), F.col("nb") - F.col("tb"))
+    once = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ia") < F.col("ib")))
+    enough = left * (num + den) >= num * (F.col("na") + F.col("nb"))
+    return (
+        larger.join(smaller, "s")
+        .where((F.col("pa") != F.col("pb")) & once & enough & (den * F.col("nb") >= num * F.col("na")))
+        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -229,15 +261,8 @@ def near_duplicate_classes(
         .where("lo < hi")
         .select("bucket")
     )
-    rest = stored(placed.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    b = rest.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
-    others = (
-        rest.withColumnRenamed("id", "a")
-        .join(b, "bucket")
-        .where("a < b and part <> part_b and a <> first and b <> last")
-        .select("a", "b")
-        .distinct()
-    )
+    rest = placed.join(mixed, "bucket", "left_semi").select("id", "part").distinct()
+    others = _prefix_pairs(stored(sets.join(rest, "id"), "mixed-sets"), num, den)
     more = stored(_verified(others, reps, sets, num, den, n), "more-links")
     if not more.isEmpty():
         parts = connected_components(links.union(more))
