@@ -10,7 +10,7 @@ from tessera.operators import ingest, ledger, providers
 from tessera.operators import topics as tp
 from tessera.plans.book import query
 from tessera.plans.fixture import RECORDS, members, records, with_ctes
-from tessera.plans.records import BEST, SUMMARY, some_labels, summary_of
+from tessera.plans.records import BEST, LABELS_ALL, SUMMARY, some_labels, summary_of
 from tessera.plans.trends import BASE
 from tessera.session import fresh_path
 
@@ -129,10 +129,7 @@ def x05(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tx.ellipsis(F.col("text"), 120).alias("text"))
 
 
-_LAB = "labels_all AS (SELECT s_suppkey AS id, concat(s_name, ' ', n_name, CASE WHEN s_suppkey % 3 = 0 THEN ' shop' ELSE '' END) AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey <= 60)"
-
-
-@query("x10_label_tokens", with_ctes(_LAB, select="SELECT id, array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') AS norm FROM labels_all"))
+@query("x10_label_tokens", with_ctes(LABELS_ALL, select="SELECT id, array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') AS norm FROM labels_all"))
 def x10(spark, sf_dir) -> DataFrame:
     return some_labels(spark, sf_dir).select("id", tx.normalised_label(F.col("label")).alias("norm"))
 

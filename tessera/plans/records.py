@@ -216,15 +216,15 @@ def j07(spark, sf_dir) -> DataFrame:
     return tp.ordered_records(ids, records(spark, sf_dir)).select("cluster_id", F.col("pos").cast("long").alias("pos"), IDS, "source_type")
 
 
-TOKENS = """labels_all AS (
-  SELECT s_suppkey AS id, concat(s_name, ' ', n_name, CASE WHEN s_suppkey % 3 = 0 THEN ' shop' ELSE '' END) AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey <= 60),
+LABELS_ALL = "labels_all AS (SELECT min(p_partkey) AS id, concat(p_type, CASE WHEN min(p_partkey) % 3 = 0 THEN ' shop' ELSE '' END) AS label FROM part GROUP BY p_type)"
+TOKENS = LABELS_ALL + """,
 tok AS (SELECT id, array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') AS norm, list_sort(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+'))) AS toks, label FROM labels_all)"""
 
 
 def some_labels(spark, sf_dir) -> DataFrame:
-    s, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
-    name = F.concat("s_name", F.lit(" "), "n_name", F.when(F.col("s_suppkey") % 3 == 0, " shop").otherwise(""))
-    return s.where("s_suppkey <= 60").join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("id"), name.alias("label"))
+    """A topic for each type of part, labelled by it."""
+    topics = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").agg(F.min("p_partkey").alias("id"))
+    return topics.select("id", F.concat("p_type", F.when(F.col("id") % 3 == 0, " shop").otherwise("")).alias("label"))
 
 
 def near_labels(labels: DataFrame, least: float = 0.8) -> DataFrame:
