@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import book, imports, intake, records, space, trends  # noqa: F401
+from tessera.plans import book, flows, imports, intake, records, space, trends  # noqa: F401
 
 
 def queries() -> dict:
