@@ -20,6 +20,7 @@ def parsed_timestamp(text: Column) -> Column:
     basic = F.regexp_replace(basic, r"([T ])(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1$2:$3:$4")
     basic = F.regexp_replace(F.regexp_replace(basic, r":(?=$|[Z+-])", ":00"), ",", ".")
     hours = F.regexp_replace(basic, r"([T ]\d{2})(?=$|[Z+-])", "$1:00")
+    hours = F.regexp_replace(hours, r"([T ]\d{2}:\d{2})(?=[Z+-])", "$1:00")
     offset = F.regexp_replace(F.regexp_replace(hours, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
     return F.when(text.rlike(ISO), F.try_to_timestamp(F.regexp_replace(offset, r"(\.\d{6})\d+", "$1")))
 
@@ -55,7 +56,7 @@ def validated(lines: DataFrame, line_col: str = "value") -> DataFrame:
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     unknown = F.transform(
         F.array_sort(F.array_except(F.coalesce(F.json_object_keys(line_col), F.array().cast("array<string>")), F.array(*map(F.lit, ALLOWED)))),
-        lambda k: F.struct(k.alias("field"), F.lit("unknown record key; use metadata for custom fields").alias("message")),
+        lambda k: F.struct(k.alias("field"), F.lit("unknown key").alias("message")),
     )
     errors = []
     for name in REQUIRED:
