@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,17 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from the folder it lies in, wherever Spark was started.
+
+    On a cluster the package comes with --py-files, and a path that isn't there does no harm.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 

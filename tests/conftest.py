@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tessera.session import local_session, shared_dir  # noqa: E402
+from tessera.session import local_session, share_code, shared_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ def spark():
     session = local_session(partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     shared_dir(session)
+    share_code(session)
     yield session
     session.stop()
 
