@@ -24,8 +24,8 @@ from tessera.llm.common import as_bytes, slices
 
 #: Bounds of the training sample, in texts; the sample is drawn by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
-#: Features: words in so many positives at least, so many times likelier there, and at most so many.
-LEAST_TEXTS, LEAST_LIFT, FEATURES = 4, 2.0, 2048
+#: Features: in so many positives at least, which make up so much of the texts that have it, and at most so many.
+LEAST_TEXTS, LEAST_SHARE, FEATURES = 4, 0.5, 2048
 #: Characters of the word beginnings that are features besides whole words.
 PREFIXES = range(3, 9)
 EPOCHS, BATCH, RATE, L2 = 40, 512, 0.05, 1e-4
@@ -78,7 +78,10 @@ class ToxicityModel:
 
 
 def nonnegative_pu(pos: list[list[int]], unl: list[list[int]], n_features: int, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier; rows are lists of present features."""
+    """Weights and bias of the linear classifier; rows are lists of present features.
+
+    Every feature was chosen for speaking for the positives, so no weight goes below zero.
+    """
     rng = np.random.default_rng(seed)
 
     def dense(rows: list[list[int]]) -> np.ndarray:
@@ -108,10 +111,32 @@ def nonnegative_pu(pos: list[list[int]], unl: list[list[int]], n_features: int,
             moment = 0.9 * moment + 0.1 * g
             square = 0.999 * square + 0.001 * g * g
             step = RATE * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
+            w, b = np.maximum(w - step[:-1], 0), b - step[-1]
     return w, b
 
 
+def calibrated(weights: np.ndarray, bias: float, pos: list[list[int]], unl: list[list[int]], prior: float) -> float:
+    """The bias with which one half is the threshold of the best F1 that positives and unlabelled texts tell.
+
+    Recall comes from the positives; the prior times recall, over the share of unlabelled
+    texts found, is precision. A text without features always stays below one half.
+    """
+
+    def logits(rows: list[list[int]]) -> np.ndarray:
+        return np.sort(np.array([bias + weights[r].sum() for r in rows]))
+
+    f_pos, f_unl = logits(pos), logits(unl)
+    cuts = np.unique(np.concatenate([f_pos, f_unl]))
+    cuts = cuts[cuts > bias]
+    if not len(cuts):
+        return min(bias, -1e-6)
+    recall = 1 - np.searchsorted(f_pos, cuts) / len(f_pos)
+    found = 1 - np.searchsorted(f_unl, cuts) / len(f_unl)
+    at = int((2 * prior * recall / (prior + found)).argmax())
+    below = cuts[at - 1] if at else bias
+    return bias - float(cuts[at] + below) / 2
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [sorted(words_of(t)) for t in as_bytes(batch.column(0))]
@@ -148,11 +173,11 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_co
     )
     totals = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
     pos_n, unl_n = totals.get(True, 0), totals.get(False, 0)
-    lift = (F.col("p") + 0.5) / F.lit(pos_n + 1) / ((F.col("u") + 0.5) / F.lit(unl_n + 1))
+    lift = (F.col("p") / F.lit(max(1, pos_n))) / ((F.col("u") + 2) / F.lit(max(1, unl_n)))
     chosen = (
         df.where(F.col("p") >= LEAST_TEXTS)
         .withColumn("lift", lift)
-        .where(F.col("lift") >= LEAST_LIFT)
+        .where(F.col("lift") * prior >= LEAST_SHARE)
         .orderBy((F.col("p") * F.log("lift")).desc(), "word")
         .limit(FEATURES)
         .collect()
@@ -171,7 +196,9 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_co
     rows.sort(key=lambda r: (r[0], r[1]))  # one result whatever the order of tasks
     pos, unl = [r[1] for r in rows if r[0]], [r[1] for r in rows if not r[0]]
     weights, bias = nonnegative_pu(pos, unl, len(vocabulary), prior)
-    if not pos or not unl:
+    if pos and unl:
+        bias = calibrated(weights, bias, pos, unl, prior)
+    else:
         bias = float(np.log(prior / (1 - prior)))
     return ToxicityModel(vocabulary, weights, bias, prior)
 
