@@ -16,7 +16,7 @@ RECORDS = """records AS (
          e.value AS rating,
          CASE e.event_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' WHEN 2 THEN 'negative' END AS sentiment,
          CASE WHEN e.event_id % 10 <> 0 THEN [e.event_type, concat('u', e.user_id % 5)] END AS tags,
-         e.props AS metadata, e.ts, epoch_ms(e.ts) AS timestamp_ms, e.ts AS created_at, e.event_id % 50 <> 0 AS is_active
+         e.props AS metadata, e.ts, epoch_us(e.ts) // 1000 AS timestamp_ms, e.ts AS created_at, e.event_id % 50 <> 0 AS is_active
   FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id
 )"""
 

@@ -166,7 +166,7 @@ def b02(spark, sf_dir) -> DataFrame:
     return bundle.file_problems(spark, path).agg(F.count("problem").cast("int").alias("problems"))
 
 
-@query("b03_vector_index", "SELECT count(*) AS vectors, CAST(count(*) FILTER (same > 1) AS INT) AS problems, true AS contiguous FROM (SELECT count(*) OVER (PARTITION BY d.text) AS same FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)")
+@query("b03_vector_index", "SELECT count(*) AS vectors, CAST(count(*) FILTER (same > 1) AS INT) AS problems, true AS contiguous FROM (SELECT count(*) OVER (PARTITION BY d.text) AS same FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)")
 def b03(spark, sf_dir) -> DataFrame:
     b = bundle.read(spark, _written(spark, sf_dir))
     found = sn.checked_vectors(b.vectors, "model-1", b.dims, True).agg(F.count(F.lit(1)).alias("vectors"), F.count("problem").cast("int").alias("problems"))

@@ -315,7 +315,7 @@ def a07(spark, sf_dir) -> DataFrame:
 
 
 @query("a08_fingerprint", with_ctes(BASE, LABELS, select="""SELECT sha256(concat('{"records":', n, ',"latest_ms":', t, ',"labels":', l, ',"run":"cluster-1"}')) AS fingerprint
-FROM (SELECT count(*) AS n, max(epoch_ms(ts)) AS t FROM members), (SELECT count(*) AS l FROM labels_of)"""))
+FROM (SELECT count(*) AS n, max(epoch_us(ts) // 1000) AS t FROM members), (SELECT count(*) AS l FROM labels_of)"""))
 def a08(spark, sf_dir) -> DataFrame:
     m = members(spark, sf_dir)
     both = m.agg(F.count(F.lit(1)).alias("records"), F.max(F.unix_millis("ts")).alias("latest_ms")).crossJoin(labels_of(m).agg(F.count(F.lit(1)).alias("labels")))
