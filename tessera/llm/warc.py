@@ -51,58 +51,57 @@ def packed(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return maker.compress(f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n") + maker.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, first_url: str | None, date: str) -> bytes:
-    target = quote(url or f"urn:page:{page_id}", safe="!#$%&'()*+,/:;=?@[]~-._")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    own = digest(payload)
-    revisit = refers_to is not None
-    block = http if revisit else http + payload
+def _target(page_id: int | None, url: str | None) -> str:
+    return quote(url or f"urn:page:{page_id}", safe="!#$%&'()*+,/:;=?@[]~-._")
+
+
+def page_record(
+    page_id: int | None, url: str | None, payload: bytes | None, n_bytes: int, own: str, date: str, refers_to: int | None = None, first_url: str | None = None
+) -> bytes:
+    """A response, or with refers_to a revisit, which holds the HTTP headers alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + (payload or b"")
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", record_id(page_id, url or "", own)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", _target(page_id, url)),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{own}"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
     ]
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
-    if revisit:
+    if refers_to is not None:
         headers += [
             ("WARC-Profile", PROFILE),
             ("WARC-Refers-To", record_id(refers_to, first_url or "", own)),
+            ("WARC-Refers-To-Target-URI", _target(refers_to, first_url)),
             ("X-Refers-To-Page-ID", str(refers_to)),
         ]
     return packed(headers, block)
 
 
-def marked_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, refers_to, first_url: of equal payloads the smallest id is the response.
+def _keyed(pages: DataFrame) -> DataFrame:
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    return rows.withColumn("key", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
+
+
+def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """page_id, key, first_id, first_url: the rows whose payload a smaller id has too.
 
     Payloads are equal when both their SHA-1 and SHA-256 are. Null html is empty. Rows that
     repeat the smallest id of a group are responses too; rows without an id never refer.
+    Only ids, urls and digests move.
     """
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url"),
-        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("_key", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
-    groups = (
-        rows.where(F.octet_length("payload") >= least_bytes)
-        .groupBy("_key")
-        .agg(F.min(F.struct("page_id", "url")).alias("_first"), F.count("page_id").alias("_n"))
-        .where("_n > 1 and _first.page_id is not null")
-        .select("_key", "_first")
-    )
-    refers = F.col("page_id") > F.col("_first.page_id")
-    return rows.join(groups, "_key", "left").select(
-        "page_id",
-        "url",
-        "payload",
-        F.when(refers, F.col("_first.page_id")).alias("refers_to"),
-        F.when(refers, F.col("_first.url")).alias("first_url"),
-    )
+    rows = _keyed(pages).where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= least_bytes)).select("page_id", "url", "key")
+    groups = rows.groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("_first"), F.max("page_id").alias("_last")).where("_first.page_id < _last")
+    found = rows.join(groups, "key").where(F.col("page_id") > F.col("_first.page_id"))
+    return found.select("page_id", "key", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url")).distinct()
+
+
+_MEMBER = "page_id long, key string, kind int, url string, first_id long, first_url string, n_bytes long, member binary"
 
 
 def write_archives(
@@ -110,49 +109,79 @@ def write_archives(
 ) -> DataFrame:
     """Writes ``folder``/part-NNNNNN.warc.gz and returns the manifest: file, records, bytes, sha256.
 
-    Order is by page_id, digest, url, so equal tables give equal files. An empty table gives
+    Order is by page_id, digests, url, so equal tables give equal files. An empty table gives
     an empty manifest. ``folder`` has to be a URI that all executors reach.
     """
     spark = pages.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, urls, refs, firsts = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for lo in range(0, len(keys), 500):
-                rows = range(lo, min(lo + 500, len(keys)))
-                payloads = as_bytes(batch.column(2).slice(lo, len(rows)))
-                made = [page_record(keys[i], urls[i], p, refs[i], firsts[i], date) for i, p in zip(rows, payloads, strict=True)]
-                part = batch.slice(lo, len(rows))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                ids, urls, payloads = part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))
+                made = [page_record(i, u, p, len(p), digest(p), date) for i, u, p in zip(ids, urls, payloads, strict=True)]
+                none = len(made)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([digest(p) for p in payloads]), pa.array(made, pa.binary())],
-                    names=["page_id", "url", "digest", "member"],
+                    [
+                        part.column(0),
+                        part.column(3),
+                        pa.array([1] * none, pa.int32()),
+                        part.column(1),
+                        pa.nulls(none, pa.int64()),
+                        pa.nulls(none, pa.string()),
+                        pa.array(map(len, payloads), pa.int64()),
+                        pa.array(made, pa.binary()),
+                    ],
+                    names=["page_id", "key", "kind", "url", "first_id", "first_url", "n_bytes", "member"],
                 )
 
-    order = ["page_id", "digest", "url"]
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order: a mark makes the records of its page and key revisits; sizes are summed up."""
+        mark, at = None, 0
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            out: tuple[list, list, list] = ([], [], [])
+            for i, member in enumerate(as_bytes(batch.column(7))):
+                page, key, kind, url, first, first_url, n = (c[i] for c in columns)
+                if kind == 0:
+                    mark = (page, key, first, first_url)
+                    continue
+                if mark is not None and mark[:2] == (page, key):
+                    own = base64.b32encode(bytes.fromhex(key[:40])).decode()
+                    member = page_record(page, url, None, n, own, date, *mark[2:])
+                out[0].append(i)
+                out[1].append(at)
+                out[2].append(member)
+                at += len(member)
+            kept = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(kept), batch.column(1).take(kept), batch.column(3).take(kept), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
+                names=["page_id", "key", "url", "at", "member"],
+            )
+
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    marks = revisits(pages, least_bytes).select(
+        "page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "first_id", "first_url", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("member")
+    )
     made = stored(
-        marked_revisits(pages, least_bytes)
-        .mapInArrow(pack, "page_id long, url string, digest string, member binary")
-        .repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        _keyed(pages)
+        .mapInArrow(pack, _MEMBER)
+        .unionByName(marks)
+        .repartitionByRange(n, "page_id", "key")
+        .sortWithinPartitions("page_id", "key", "kind", "url")
+        .mapInArrow(settle, "page_id long, key string, url string, at long, member binary")
         .withColumn("range", F.spark_partition_id()),
         "warc-members",
     )
-    before = made.groupBy("range").agg(F.sum(F.octet_length("member")).alias("bytes"))
-    before = before.select(
-        "range",
-        F.coalesce(F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-    )  # one row for each range
-    running = F.coalesce(
-        F.sum(F.octet_length("member")).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
+    sizes = made.groupBy("range").agg(F.max(F.col("at") + F.octet_length("member")).alias("bytes"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    starts = sizes.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    n_files = (sizes.agg(F.sum("bytes")).first()[0] or 0) // roll_bytes + 1
     placed = (
-        made.withColumn("at", running)
-        .join(before, "range")
+        made.join(F.broadcast(starts), "range")  # n rows
         .withColumn("file", F.floor((F.col("start") + F.col("at")) / roll_bytes).cast("long"))
-        .repartition(n, "file")
-        .sortWithinPartitions("file", *order)
+        .repartitionById(n_files, F.col("file").cast("int"))
+        .sortWithinPartitions("file", "page_id", "key", "url")
         .select("file", "member")
     )
 
