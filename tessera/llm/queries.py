@@ -38,7 +38,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws quality.SHARE of all documents; the target is the labelled text of quality 1."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    rows = docs.join(good, docs["doc_id"] == good["_good"], "left")
+    # by a merge join whatever the labels' size, so that one plan serves all sizes
+    rows = docs.join(good.hint("merge"), docs["doc_id"] == good["_good"], "left")
     drawn = quality.resampled(rows, F.col("_good").isNotNull(), round(quality.SHARE * docs.count()))
     return drawn.withColumnRenamed("id", "doc_id")
 
