@@ -12,6 +12,7 @@ one path to each prefix is left, the one that merging by rank would give.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ from tessera.llm.common import as_bytes, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers.
-KNOWN_WORDS, KNOWN_PAIRS = 300_000, 1_000_000
+KNOWN_WORDS, KNOWN_PAIRS = 500_000, 1_000_000
 
 
 @dataclass
@@ -39,14 +40,16 @@ class PieceModel:
     surface: list[bytes]  # what each id stands for
     byte_ids: list[int]  # of the 256 bytes; empty without byte fallback
     unknown: int
-    longest: dict[str, int] = field(default_factory=dict)  # of pieces that end with a character
+    name: str = ""  # digest of the model's file
+    sizes: list[int] = field(default_factory=list)  # characters of each id
     borders: str = ""  # characters below U+0080 that are in no piece with others
     unknown_score: float = 0.0
 
     def __post_init__(self):
         joined = set()
-        for piece in self.ids:
-            self.longest[piece[-1]] = max(self.longest.get(piece[-1], 1), len(piece))
+        self.sizes = [1] * len(self.scores)
+        for piece, at in self.ids.items():
+            self.sizes[at] = len(piece)
             if len(piece) > 1:
                 joined.update(piece)
                 if MARK in piece.lstrip(MARK):
@@ -61,7 +64,8 @@ def load(path: str = MODEL) -> PieceModel:
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
+        data = f.read()
+    proto.ParseFromString(data)
     norm = proto.normalizer_spec
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
         raise ValueError("only models that keep the text as it is can be decoded to the same text")
@@ -81,6 +85,7 @@ def load(path: str = MODEL) -> PieceModel:
         surface,
         [byte_of[b] for b in range(256)] if len(byte_of) == 256 else [],
         next(i for i, p in enumerate(pieces) if p.type == unknown_type),
+        hashlib.sha256(data).hexdigest(),
     )
 
 
@@ -99,79 +104,109 @@ def merged_by_rank(model: PieceModel, text: str) -> list[str]:
 
 
 class WordEncoder:
-    """Encodes sorted words; forward values stand for the current word's prefixes."""
+    """Encodes sorted words; forward values stand for the current word's prefixes.
+
+    A value is the number of the piece that ends the best path; characters that are no piece
+    have numbers behind the pieces', and the empty prefix has the last one. Which pieces end at
+    a character is read from an automaton over the pieces' beginnings, built as it is walked.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.n = len(model.scores)
+        self.start = self.n + 0x110000
+        self.pairs: dict[int, bool] = {}
+        self.text = {i: p for p, i in model.ids.items()}
         self.word = ""
-        self.last: list[str] = [""]  # the piece that ends the best path to each prefix
-        self.score: list[float] = [0.0]
-
-    def _apart(self, left: str, right: str) -> bool:
-        """Whether BPE leaves the two pieces as they are."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = merged_by_rank(self.model, left + right) == [left, right]
-        return known
-
-    def _alone(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = merged_by_rank(self.model, piece) == [piece]
+        self.last = [self.start]
+        self.score = [0.0]
+        self.prefixes = {p[:i] for p in model.ids for i in range(len(p) + 1)}
+        self.nodes: dict[str, int] = {}
+        self.names: list[str] = []
+        self.next: list[dict[str, int]] = []
+        self.ends: list[tuple[tuple[int, int], ...]] = []
+        self.at = [self._node("")]
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether BPE leaves two neighbours, or a first piece, as they are."""
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        parts = [self.text[x] if x < self.n else chr(x - self.n) for x in (left, right) if x != self.start]
+        known = self.pairs[left * (self.start + 1) + right] = merged_by_rank(self.model, "".join(parts)) == parts
         return known
 
-    def _step(self, i: int) -> None:
-        """Forward value of the prefix of length i from those of shorter ones."""
-        word, ids, last = self.word, self.model.ids, self.last
-        if self.model.bpe:
-            for n in range(min(i, self.model.longest.get(word[i - 1], 1)), 0, -1):
-                piece = word[i - n : i]
-                if n > 1 and piece not in ids:
-                    continue
+    def _node(self, text: str) -> int:
+        """The number of the longest end of the text that begins a piece, with the pieces that end it, longest first."""
+        while text not in self.prefixes:
+            text = text[1:]
+        node = self.nodes.get(text)
+        if node is None:
+            node = self.nodes[text] = len(self.next)
+            self.next.append({})
+            self.names.append(text)
+            tails = ((self.model.ids.get(text[i:]), len(text) - i) for i in range(len(text)))
+            self.ends.append(tuple((piece, n) for piece, n in tails if piece is not None))
+        return node
+
+    def _walk(self, word: str, common: int) -> None:
+        """The nodes of the prefixes longer than ``common``."""
+        at, moves = self.at, self.next
+        node = at[-1]
+        for c in word[common:]:
+            to = moves[node].get(c)
+            if to is None:
+                to = moves[node][c] = self._node(self.names[node] + c)
+            node = to
+            at.append(node)
+
+    def _ranked(self, word: str, common: int) -> None:
+        """BPE's forward values of the prefixes longer than ``common``."""
+        last, ends, known = self.last, self.ends, self.pairs.get
+        base = self.start + 1
+        for i, node in enumerate(self.at[common + 1 :], common + 1):
+            for piece, n in ends[node]:
                 before = last[i - n]
-                if (self._apart(before, piece) if before else self._alone(piece)):
+                apart = known(before * base + piece)
+                if apart or (apart is None and self._apart(before, piece)):
                     last.append(piece)
-                    return
-            raise ValueError(f"no path to {word[:i]!r}")
-        best, end = float("-inf"), word[i - 1]
-        for n in range(1, min(i, self.model.longest.get(word[i - 1], 1)) + 1):
-            piece = word[i - n : i]
-            at = ids.get(piece)
-            if at is not None and self.score[i - n] + self.model.scores[at] > best:
-                best, end = self.score[i - n] + self.model.scores[at], piece
-        if word[i - 1] not in ids:
-            unknown = self.score[i - 1] + self.model.unknown_score
-            if unknown > best:
-                best, end = unknown, word[i - 1]
-        last.append(end)
-        self.score.append(best)
+                    break
+            else:  # a character that is no piece
+                last.append(self.n + ord(word[i - 1]))
+
+    def _scored(self, word: str, common: int) -> None:
+        """Unigram forward values of the prefixes longer than ``common``: the best sum, and its last piece."""
+        scores, values = self.model.scores, self.score
+        for i, node in enumerate(self.at[common + 1 :], common + 1):
+            best, end = values[i - 1] + self.model.unknown_score, self.n + ord(word[i - 1])
+            for piece, n in self.ends[node]:
+                if values[i - n] + scores[piece] > best:
+                    best, end = values[i - n] + scores[piece], piece
+            self.last.append(end)
+            values.append(best)
 
     def encode(self, word: str) -> list[int]:
-        common, most = 0, min(len(word), len(self.word))
-        while common < most and word[common] == self.word[common]:
+        common, most, old = 0, min(len(word), len(self.word)), self.word
+        while common < most and word[common] == old[common]:
             common += 1
-        del self.last[common + 1 :], self.score[common + 1 :]
+        del self.last[common + 1 :], self.score[common + 1 :], self.at[common + 1 :]
         self.word = word
-        for i in range(common + 1, len(word) + 1):
-            self._step(i)
-        pieces, i = [], len(word)
-        while i:
-            pieces.append(self.last[i])
-            i -= len(self.last[i])
+        self._walk(word, common)
+        if self.model.bpe:
+            self._ranked(word, common)
+        else:
+            self._scored(word, common)
         out: list[int] = []
-        for piece in reversed(pieces):
-            at = self.model.ids.get(piece)
-            if at is not None:
+        i, last, size = len(word), self.last, self.model.sizes
+        while i:
+            at = last[i]
+            if at < self.n:
                 out.append(at)
-            elif self.model.byte_ids:
-                out += [self.model.byte_ids[b] for b in piece.encode()]
+                i -= size[at]
             else:
-                out.append(self.model.unknown)
+                raw = chr(at - self.n).encode()
+                out += [self.model.byte_ids[b] for b in reversed(raw)] if self.model.byte_ids else [self.model.unknown]
+                i -= 1
+        out.reverse()
         return out
 
 
@@ -214,6 +249,17 @@ class TextEncoder:
         return out, total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
+_CODERS: dict[str, TextEncoder] = {}
+
+
+def _coder(model: PieceModel) -> TextEncoder:
+    """The worker's encoder for the model; what it remembers serves the tasks that follow."""
+    if model.name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[model.name] = TextEncoder(model)
+    return _CODERS[model.name]
+
+
 def decoded(model: PieceModel, ids: list[int]) -> bytes:
     """UTF-8 of the text; the space that the dummy prefix stands for goes."""
     out = b"".join(map(model.surface.__getitem__, ids))
@@ -233,7 +279,7 @@ def encoded(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        coder = TextEncoder(model)
+        coder = _coder(model)
         for batch in batches:
             raw = as_bytes(batch.column(batch.num_columns - 1))
             for lo, hi in slices([len(t or b"") for t in raw]):
