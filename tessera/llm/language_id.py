@@ -28,7 +28,7 @@ SWITCH = 6.0
 #: A language comes into question for a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.02
 #: Words that one Viterbi pass takes on: bounds a worker's memory.
-PASS_WORDS = 6_000_000
+PASS_WORDS = 3_000_000
 UNDETERMINED = "und"
 
 #: First code points of Unicode's script blocks; 0 stands for letters of no listed script.
