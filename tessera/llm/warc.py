@@ -85,7 +85,7 @@ def page_record(
 def _keyed(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    return rows.withColumn("key", F.concat(F.sha1("payload"), F.sha2("payload", 256)))
+    return rows.withColumn("key", F.unhex(F.concat(F.sha1("payload"), F.sha2("payload", 256))))
 
 
 def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -101,7 +101,7 @@ def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     return found.select("page_id", "key", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url")).distinct()
 
 
-_MEMBER = "page_id long, key string, kind int, url string, first_id long, first_url string, n_bytes long, member binary"
+_MEMBER = "page_id long, key binary, kind int, url string, first_id long, first_url string, n_bytes long, member binary"
 
 
 def write_archives(
@@ -147,7 +147,7 @@ def write_archives(
                     mark = (page, key, first, first_url)
                     continue
                 if mark is not None and mark[:2] == (page, key):
-                    own = base64.b32encode(bytes.fromhex(key[:40])).decode()
+                    own = base64.b32encode(key[:20]).decode()
                     member = page_record(page, url, None, n, own, date, *mark[2:])
                 out[0].append(i)
                 out[1].append(at)
@@ -169,7 +169,7 @@ def write_archives(
         .unionByName(marks)
         .repartitionByRange(n, "page_id", "key")
         .sortWithinPartitions("page_id", "key", "kind", "url")
-        .mapInArrow(settle, "page_id long, key string, url string, at long, member binary")
+        .mapInArrow(settle, "page_id long, key binary, url string, at long, member binary")
         .withColumn("range", F.spark_partition_id()),
         "warc-members",
     )
