@@ -57,8 +57,8 @@ def importance(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col
     """One row per input row: id, log_ratio, n_grams.
 
     ``target`` marks the rows of the target model; the raw model counts all rows. log_ratio is
-    the mean over the text's n-grams of log p(target) - log p(raw), so that length alone
-    decides nothing; texts without words have 0, as has every text where no row is a target.
+    the sum over the text's n-grams of log p(target) - log p(raw), the log of the ratio of its
+    likelihoods; texts without words have 0, as has every text where no row is a target.
     Rows that repeat an id get the same noise and are drawn or left together.
     """
     spark = docs.sparkSession
@@ -79,9 +79,9 @@ def importance(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col
             for lo, hi in slices([len(t or b"") for t in texts]):
                 buckets, owner = hashed_ngrams(texts[lo:hi], hashes)
                 n = np.bincount(owner, minlength=hi - lo)
-                mean = np.bincount(owner, held.value[buckets], minlength=hi - lo) / np.maximum(1, n)
+                ratios = np.bincount(owner, held.value[buckets], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(mean), pa.array(n)], ["id", "log_ratio", "n_grams"]
+                    [batch.column(0).slice(lo, hi - lo), pa.array(ratios), pa.array(n)], ["id", "log_ratio", "n_grams"]
                 )
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

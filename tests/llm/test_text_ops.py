@@ -145,6 +145,18 @@ def test_quality_prefers_target_and_draws_k(spark, make_docs, odd_texts):
     assert {r["selected"] for r in quality.resampled(docs, F.lit(False), 0).collect()} == {False}
 
 
+def test_quality_draws_by_the_sum_of_ratios(spark, make_docs):
+    """Kinds that differ little by the word: only the sum over the text, not its mean, outweighs the noise."""
+    rng = random.Random(13)
+    words = [f"word{i}" for i in range(40)]
+    liked = {True: [1.2] * 20 + [0.8] * 20, False: [0.8] * 20 + [1.2] * 20}
+    docs = make_docs([(i, " ".join(rng.choices(words, liked[i % 2 == 0], k=150))) for i in range(600)])
+    got = quality.resampled(docs, F.col("doc_id") % 4 == 0, 300).collect()  # a half of the good ones is labelled
+    drawn = {k: np.mean([r["selected"] for r in got if r["id"] % 4 == k]) for k in range(4)}
+    assert sum(r["selected"] for r in got) == 300
+    assert min(drawn[0], drawn[2]) > 0.5 + 0.2 > 0.5 - 0.2 > max(drawn[1], drawn[3])
+
+
 def test_pieces_equal_the_library(spark, sf, make_docs, odd_texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [*odd_texts, "a  b\n\nc ", " x", "naïve café́ 😀", "12.5e-7 http://a.b/c?d=1", "x" * 3000]
