@@ -163,7 +163,7 @@ def c06(spark, sf_dir) -> DataFrame:
 
 
 def topics_of(spark, sf_dir, **options) -> DataFrame:
-    return cl.clustered(planted(spark, sf_dir), **({"levels": 6} | options))
+    return cl.clustered(planted(spark, sf_dir), **options)
 
 
 @query("c07_hierarchy")

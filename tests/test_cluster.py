@@ -8,7 +8,8 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators import cluster as cl
 from tessera.operators import providers, quality
-from tessera.session import stored
+from tessera.plans import registry
+from tessera.session import stored, table
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +81,30 @@ def test_planted_clusters(planted, method):
     assert firsts == sorted(firsts)
 
 
+def test_hierarchy_is_the_flat_cut_of_each_level(planted):
+    forest = stored(cl.spanning_forest(stored(cl.reachability(stored(vx.exact_neighbours(planted, 8), "near"), 4), "reach")), "forest")
+    got = {}
+    for r in cl.hierarchy(planted.select("id"), forest, 12, 3).collect():
+        got.setdefault((r["level"], r["lam"]), set()).add((r["part"], r["id"]))
+    for level, eps in enumerate(cl._levels(forest, 3)):
+        want = cl.flat_cut(planted.select("id"), forest, eps, 12).where("cluster <> -1").collect()
+        assert got.get((level, 1 / eps), set()) == {(r["part"], r["id"]) for r in want}
+
+
+@pytest.mark.parametrize("name", ["c07_hierarchy", "c08_probabilities"])
+def test_registered_topics_on_2000_planted_rows(spark, monkeypatch, name):
+    seen, run = [], cl.hierarchy
+    monkeypatch.setattr(cl, "hierarchy", lambda nodes, forest, size, levels: seen.append(levels) or run(nodes, forest, size, levels))
+    sf = "/root/testdata/sf0.1"
+    found = stored(registry.queries()[name](spark, sf), "found")
+    assert seen[0] >= 24
+    truth = table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("truth"))
+    rows = found.join(truth, "record_id")
+    assert rows.count() == 2000
+    assert quality.adjusted_rand(rows).first()[0] >= 0.8
+    assert found.where("cluster_id = -1").count() <= 40
+
+
 def test_layout(spark, planted):
     got = cl.layout(planted.select("id", "vector"), steps=2).collect()
     assert len(got) == 200 and np.isfinite([[r["x"], r["y"]] for r in got]).all()
