@@ -27,7 +27,7 @@ def json_lines(spark, sf_dir) -> DataFrame:
             F.col("source_type").alias("sourceType"),
             F.col("source_name").alias("sourceName"),
             F.col("record_id").alias("sourceRecordId"),
-            F.when(e % 17 != 0, F.concat(F.lit("  "), F.substring("customer_text", 1, 40), F.lit(" "))).alias("customerText"),
+            F.when(e % 17 != 0, F.concat(F.lit("  "), "customer_text", F.lit(" "))).alias("customerText"),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
             "tags",
         )

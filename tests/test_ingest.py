@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ingest, scope
 from tessera.operators import snapshot as sn
+from tessera.plans import intake
+from tessera.session import table
 
 GOOD = {"recordId": "r1", "sourceType": "t", "sourceName": "n", "sourceRecordId": "s", "customerText": "  hi ", "timestamp": "2025-01-02T03:04:05Z"}
 
@@ -97,3 +99,14 @@ def test_snapshot_golden(spark):
     back = spark.createDataFrame([("7", "v1", True)], snap.schema)
     revived = sn.difference(after, back).where("external_id = '7'").first()["change"]
     assert revived == "changed"
+
+
+def test_json_lines_carry_whole_texts(spark, sf, tmp_path):
+    tail = "x" * 5000 + ' "quoted" \\ back\nline\r\n\ttab \u0001\u2028\u00e9\U0001f600 end'
+    table(spark, sf, "documents").withColumn("text", F.concat("text", F.lit(tail))).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf, "events").write.parquet(f"{tmp_path}/events.parquet")
+    intake.json_lines(spark, str(tmp_path)).select("value").write.text(f"{tmp_path}/lines")
+    read = ingest.validated(ingest.read_lines(spark, f"{tmp_path}/lines")).select(F.col("record_key").alias("record_id"), F.col("customer_text").alias("got"))
+    both = intake.records(spark, str(tmp_path)).where("event_id % 17 <> 0").join(read, "record_id", "left")
+    assert both.where(F.endswith("customer_text", F.lit(tail))).count() > 0
+    assert both.where(~F.col("got").eqNullSafe(F.trim("customer_text"))).isEmpty()
