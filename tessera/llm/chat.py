@@ -121,7 +121,7 @@ def rendered(role: int, text: str | None, before: int, after: int, last: bool) -
 
 
 _EDGE = "conv_id long, block int, costs array<long>"
-_OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, rendered string"
+_OUT = "conv_id long, turn long, role string, place long, new_role string, action string, inserted string, cost long, rendered string"
 
 
 def _segments(turns: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
@@ -131,12 +131,13 @@ def _segments(turns: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
         yield int(ids[a]), int(a), int(b)
 
 
-_ORDER = ["conv_id", "turn", "role", "text"]
+#: text_key is a hash: the order of turns is sampled on the driver, which texts would flood.
+_ORDER = ["conv_id", "turn", "role", "text_key"]
 
 
 def _edges(turns: pd.DataFrame) -> pd.DataFrame:
     """Min-plus products of the first and the last conversation of a block, which may go on in others."""
-    turns = turns.sort_values(_ORDER[:3], kind="stable", na_position="first")
+    turns = turns.sort_values(_ORDER, kind="stable", na_position="first")
     found = list(_segments(turns))
     roles, block = turns["role"].map(role_of).tolist(), int(turns["block"].iloc[0])
     ends = [found[0], *found[1:][-1:]]
@@ -165,7 +166,7 @@ def _bounds(parts: pd.DataFrame) -> pd.DataFrame:
 
 def _repair(key, turns: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
     given = {r.conv_id: r for r in bounds.itertuples()}
-    turns = turns.sort_values(_ORDER, kind="stable", na_position="first")
+    turns = turns.sort_values([*_ORDER, "text"], kind="stable", na_position="first")
     roles, texts = turns["role"].map(role_of).tolist(), turns["text"].tolist()
     rows = []
     for conv, a, b in _segments(turns):
@@ -178,6 +179,7 @@ def _repair(key, turns: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
             cost = int(COSTS[role][before, after]) + (END_COST[after] if last else 0)
             rows.append((NAMES[after], action, NAMES.get(inserted), cost, part))
     out = turns[["conv_id", "turn", "role"]].reset_index(drop=True)
+    out["place"] = (int(key[0]) << 32) + np.arange(len(out))
     more = pd.DataFrame(rows, columns=["new_role", "action", "inserted", "cost", "rendered"])
     return pd.concat([out, more], axis=1)
 
@@ -185,11 +187,12 @@ def _repair(key, turns: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
 def repaired_turns(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """One row per turn: conv_id, turn, role, new_role, action, inserted, cost, rendered.
+    """One row per turn: conv_id, turn, role, place, new_role, action, inserted, cost, rendered.
 
-    The turns' rendered parts, put together in order, are the repaired conversation; costs add
-    up to the least there is. Order is by turn, then role, then text, nulls first; so repeated
-    turns stand one behind the other and are merged or answered like any others. Roles are
+    The turns' rendered parts, put together in the order of place, are the repaired
+    conversation; costs add up to the least there is. Order is by turn, then role, nulls first,
+    then a hash of the text; so repeated turns stand one behind the other and are merged or
+    answered like any others. place rises in this order, but is not the same in every run. Roles are
     read in any case and under their usual other names; other roles and null are free to label.
     Null text is empty. Rows without a conversation id are one conversation, -1.
     """
@@ -197,11 +200,12 @@ def repaired_turns(
         F.coalesce(F.col(conv_col).cast("long"), F.lit(-1)).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
         F.col(text_col).alias("text"),
     )
     n = max(1, -(-rows.count() // BLOCK_TURNS), int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = stored(rows.repartitionByRange(n, *_ORDER).withColumn("block", F.spark_partition_id()), "turns")
-    edges = blocks.select("conv_id", "turn", "role", "block").groupBy("block").applyInPandas(_edges, _EDGE)
+    edges = blocks.drop("text").groupBy("block").applyInPandas(_edges, _EDGE)
     spread = stored(edges, "turn-edges")
     several = spread.groupBy("conv_id").count().where("count > 1").select("conv_id")
     bounds = (
@@ -214,7 +218,7 @@ def repaired_turns(
 
 def rendered_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, cost, rendered: whole conversations, for such as fit into a row."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "rendered")))
+    parts = F.array_sort(F.collect_list(F.struct("place", "rendered")))
     return turns.groupBy("conv_id").agg(
         F.sum("cost").alias("cost"), F.array_join(F.transform(parts, lambda p: p["rendered"]), "").alias("rendered")
     )

@@ -1,8 +1,10 @@
 """Chat repair and WARC archives."""
 
+import hashlib
 import itertools
 import random
 
+import pyarrow.fs as pafs
 import pytest
 
 from tessera.llm import chat, warc
@@ -68,6 +70,19 @@ def test_chat_odd_tables(spark):
     assert len(got) == 4 and {r["conv_id"] for r in got} == {-1, 3}
 
 
+def test_repeated_turns_keep_their_order_over_blocks(spark, monkeypatch):
+    """Turns of one number and role: a legal, cheapest conversation, however they are dealt into blocks."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    rows = [(1, t // 7, "user" if t % 7 < 4 else "assistant", f"text {t}" * (t % 3), "b") for t in range(60)]
+    got = chat.repaired_turns(spark.createDataFrame(rows, CONV))
+    whole = chat.rendered_conversations(got).first()
+    roles = [line[2:-2] for line in whole["rendered"].split("\n") if line in ("<|user|>", "<|assistant|>")]
+    assert roles == ["user", "assistant"] * (len(roles) // 2)
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    path = chat.repaired([chat.role_of(r[2]) for r in ordered], chat.START, None)
+    assert whole["cost"] == sum(int(chat.COSTS[chat.role_of(r[2])][p]) for r, p in zip(ordered, path, strict=True)) + chat.END_COST[path[-1][1]]
+
+
 PAGES = "page_id long, url string, html string, key string, kind string"
 
 
@@ -79,7 +94,7 @@ def test_warc_round_trip_is_deterministic(spark):
     runs = []
     for parts in (3, 7):
         folder = fresh_path(spark, "warc")
-        manifest = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(parts), folder, roll_bytes=9000)
+        manifest = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(parts), folder, roll_bytes=9000, range_bytes=40_000)
         runs.append(sorted(tuple(r) for r in manifest.collect()))
         got = [(r["page_id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read_archives(spark, folder).collect()]
     assert runs[0] == runs[1] and len(runs[0]) > 3
@@ -106,3 +121,31 @@ def test_warc_threshold_and_empty(spark):
     folder = fresh_path(spark, "warc")
     assert warc.write_archives(spark.createDataFrame([], PAGES), folder).count() == 0
     assert warc.read_archives(spark, folder).count() == 0
+
+
+def test_warc_written_again_over_an_earlier_attempt(spark, tmp_path):
+    """Files of an attempt that was lost before the manifest: equal ones stay, others are replaced, none is left over."""
+    rows = [(i, f"u{i}", f"<p>{i}</p>" * 50, None, None) for i in range(60)]
+    pages = spark.createDataFrame(rows, PAGES)
+    manifest = sorted(tuple(r) for r in warc.write_archives(pages, f"file://{tmp_path}/one", roll_bytes=2000, range_bytes=9000).collect())
+    names = [r[0] for r in manifest]
+    assert len({n[:11] for n in names}) > 1 and any(n.endswith("-0001.warc.gz") for n in names)
+    two = tmp_path / "two"
+    two.mkdir()
+    for name in names[:-1]:
+        (two / name).write_bytes((tmp_path / "one" / name).read_bytes())
+    (two / names[0]).write_bytes(b"another table's")
+    assert sorted(tuple(r) for r in warc.write_archives(pages, f"file://{two}", roll_bytes=2000, range_bytes=9000).collect()) == manifest
+    assert sorted(p.name for p in two.iterdir() if p.is_file() and not p.name.endswith(".crc")) == names
+    assert warc.read_archives(spark, f"file://{two}").count() == 60
+
+
+def test_warc_publish_over_what_is_there(tmp_path):
+    fs = pafs.LocalFileSystem()
+    sha = hashlib.sha256(b"abc").hexdigest()
+    for before in (None, b"abc", b"xyz"):
+        (tmp_path / "made").write_bytes(b"abc")
+        if before is not None:
+            (tmp_path / "name").write_bytes(before)
+        warc.publish(fs, f"{tmp_path}/made", f"{tmp_path}/name", sha)
+        assert (tmp_path / "name").read_bytes() == b"abc" and not (tmp_path / "made").exists()
