@@ -1,11 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are compressed one by one, which makes their sizes known, put in order by ranges,
-and dealt into files by the running sum of the compressed sizes over the whole order. So
-which records a file holds depends on the records alone, not on partitions or tasks. A
-task writes a file under a temporary name and renames it; the manifest, written last by
-Spark's own committer, names the files that count. A task that is run again writes the
-same bytes.
+Records are put in order by page id, the order is cut into ranges of about ``range_bytes``
+of payload, and each range's task compresses its records one by one, straight into files
+that it closes by their compressed size. Ranges are cut by running sums over the whole
+order, so which records a file holds depends on the records alone, not on partitions or
+tasks. A task writes a file under a temporary name and renames it; the manifest, written
+last by Spark's own committer, names the files that count. A task that is run again writes
+the same bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes
 from tessera.session import stored
 
-#: Compressed bytes after which a file is closed.
-ROLL_BYTES = 16 << 20
+#: Payload bytes of a range, which one task writes, and compressed bytes after which a file is closed.
+#: A large cluster writes larger ones: one place for each range is held by the driver and every worker.
+RANGE_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
+#: What a record weighs in a range besides its payload, and rows packed in one step.
+RECORD_BYTES, STEP_ROWS = 512, 500
 #: Records of equal payloads of so many bytes are written once; the others refer to it.
 REVISIT_BYTES = 0
 LEVEL = 6
@@ -82,148 +88,176 @@ def page_record(
     return packed(headers, block)
 
 
-def _keyed(pages: DataFrame) -> DataFrame:
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    return rows.withColumn("key", F.unhex(F.concat(F.sha1("payload"), F.sha2("payload", 256))))
+#: A place in the order: whether there is an id, the id, hashes of payload and url.
+_PLACE = "S25"
 
 
-def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, key, first_id, first_url: the rows whose payload a smaller id has too.
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, place. Places sort as bytes, rows without an id first."""
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
+    )
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    number = F.coalesce(F.col("page_id"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))
+    known = F.when(F.col("page_id").isNull(), "00").otherwise("01")
+    return rows.withColumn("place", F.unhex(F.concat(known, digits(number), digits(F.xxhash64("payload")), digits(F.xxhash64("url")))))
+
+
+def _keys(pages: DataFrame) -> DataFrame:
+    """page_id, url, place, n_bytes, key: payloads are equal when both their SHA-1 and SHA-256 are."""
+    key = F.unhex(F.concat(F.sha1("payload"), F.sha2("payload", 256)))
+    return _payloads(pages).select("page_id", "url", "place", F.octet_length("payload").alias("n_bytes"), key.alias("key"))
 
-    Payloads are equal when both their SHA-1 and SHA-256 are. Null html is empty. Rows that
-    repeat the smallest id of a group are responses too; rows without an id never refer.
-    Only ids, urls and digests move.
-    """
-    rows = _keyed(pages).where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= least_bytes)).select("page_id", "url", "key")
-    groups = rows.groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("_first"), F.max("page_id").alias("_last")).where("_first.page_id < _last")
-    found = rows.join(groups, "key").where(F.col("page_id") > F.col("_first.page_id"))
-    return found.select("page_id", "key", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url")).distinct()
 
+def revisits(keys: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """place, sha, first_id, first_url: the rows whose payload a smaller id has too.
 
-_MEMBER = "page_id long, key binary, kind int, url string, first_id long, first_url string, n_bytes long, member binary"
+    Null html is empty. Rows that repeat the smallest id of a group are responses too; rows
+    without an id never refer. Only ids, urls and digests move.
+    """
+    rows = keys.where(F.col("page_id").isNotNull() & (F.col("n_bytes") >= least_bytes))
+    groups = rows.groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id < last")
+    found = rows.join(groups, "key").where(F.col("page_id") > F.col("first.page_id"))
+    return found.select("place", F.substring("key", 1, 20).alias("sha"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
+
+
+def _bounds(keys: DataFrame, range_bytes: int) -> list[bytes]:
+    """The first place of each range, by running sums of payload bytes over the whole order."""
+    n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    weight = (F.col("n_bytes") + RECORD_BYTES).cast("long").alias("weight")
+    dealt = stored(keys.select("place", weight).repartitionByRange(n, "place").withColumn("part", F.spark_partition_id()), "warc-order")
+    sizes = dealt.groupBy("part").agg(F.sum("weight").alias("bytes"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each of n parts
+    starts = sizes.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum("weight").over(before), F.lit(0))
+    ranges = dealt.join(F.broadcast(starts), "part").withColumn("range", F.floor(at / range_bytes))  # n rows
+    return [bytes(r["first"]) for r in ranges.groupBy("range").agg(F.min("place").alias("first")).orderBy("range").collect()]
+
+
+def _range_of(bounds: list[bytes]):
+    """The range of a place: the last that begins at it or before. Equal places share one."""
+    firsts = np.array(bounds, _PLACE)
+
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, np.frombuffer(b"".join(place), _PLACE), side="right") - 1)
+
+    return range_of
+
+
+def publish(fs: pafs.FileSystem, made: str, name: str, sha256: str) -> None:
+    """Gives a finished file its name, also where an earlier attempt of the task did so, or another table was written there."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        known = hashlib.sha256()
+        with fs.open_input_stream(name, compression=None) as stream:
+            while chunk := stream.read(1 << 20):
+                known.update(chunk)
+        if known.hexdigest() == sha256:
+            fs.delete_file(made)
+            return
+        fs.delete_file(name)
+    fs.move(made, name)
+
+
+class _Archive:
+    """One range's files: members go in, a manifest row comes out of each file that is closed."""
+
+    def __init__(self, folder: str, number: int, date: str, roll_bytes: int):
+        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.root, recursive=True)
+        self.number, self.date, self.roll_bytes = number, date, roll_bytes
+        self.files, self.out = 0, None
+        self.rows: list[dict] = []
+
+    def add(self, member: bytes) -> None:
+        if self.out is None:
+            self.name = f"part-{self.number:06d}-{self.files:04d}.warc.gz"
+            self.made = f"{self.root}/.{self.name}.{TaskContext.get().taskAttemptId()}.tmp"
+            self.out, self.sha, self.records, self.size = self.fs.open_output_stream(self.made, compression=None), hashlib.sha256(), 0, 0
+            headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name, "")), ("WARC-Date", self.date), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")]
+            self._write(packed(headers, b"format: WARC File Format 1.1\r\n"))
+        self._write(member)
+        self.records += 1
+        if self.size >= self.roll_bytes:
+            self.close()
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.sha.update(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            publish(self.fs, self.made, f"{self.root}/{self.name}", self.sha.hexdigest())
+            self.rows.append({"file": self.name, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()})
+            self.files, self.out = self.files + 1, None
+
+
+_MANIFEST = "file string, records long, bytes long, sha256 string"
 
 
 def write_archives(
-    pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z"
+    pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z", range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
-    """Writes ``folder``/part-NNNNNN.warc.gz and returns the manifest: file, records, bytes, sha256.
+    """Writes ``folder``/part-NNNNNN-NNNN.warc.gz and returns the manifest: file, records, bytes, sha256.
 
-    Order is by page_id, digests, url, so equal tables give equal files. An empty table gives
-    an empty manifest. ``folder`` has to be a URI that all executors reach.
+    Order is by page_id, hashes of payload and url, so equal tables give equal files. Payloads
+    move once, and each record is compressed once, behind that shuffle, as a response or as a
+    revisit. An empty table gives an empty manifest. Rows that repeat an id are told apart by
+    payload and url; rows equal in all three share a range. ``folder`` has to be a URI that
+    all executors reach.
     """
     spark = pages.sparkSession
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids, urls, payloads = part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))
-                made = [page_record(i, u, p, len(p), digest(p), date) for i, u, p in zip(ids, urls, payloads, strict=True)]
-                none = len(made)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(3),
-                        pa.array([1] * none, pa.int32()),
-                        part.column(1),
-                        pa.nulls(none, pa.int64()),
-                        pa.nulls(none, pa.string()),
-                        pa.array(map(len, payloads), pa.int64()),
-                        pa.array(made, pa.binary()),
-                    ],
-                    names=["page_id", "key", "kind", "url", "first_id", "first_url", "n_bytes", "member"],
-                )
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order: a mark makes the records of its page and key revisits; sizes are summed up."""
-        mark, at = None, 0
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            out: tuple[list, list, list] = ([], [], [])
-            for i, member in enumerate(as_bytes(batch.column(7))):
-                page, key, kind, url, first, first_url, n = (c[i] for c in columns)
-                if kind == 0:
-                    mark = (page, key, first, first_url)
-                    continue
-                if mark is not None and mark[:2] == (page, key):
-                    own = base64.b32encode(key[:20]).decode()
-                    member = page_record(page, url, None, n, own, date, *mark[2:])
-                out[0].append(i)
-                out[1].append(at)
-                out[2].append(member)
-                at += len(member)
-            kept = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(kept), batch.column(1).take(kept), batch.column(3).take(kept), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                names=["page_id", "key", "url", "at", "member"],
-            )
-
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = revisits(pages, least_bytes).select(
-        "page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "first_id", "first_url", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("member")
-    )
-    made = stored(
-        _keyed(pages)
-        .mapInArrow(pack, _MEMBER)
-        .unionByName(marks)
-        .repartitionByRange(n, "page_id", "key")
-        .sortWithinPartitions("page_id", "key", "kind", "url")
-        .mapInArrow(settle, "page_id long, key binary, url string, at long, member binary")
-        .withColumn("range", F.spark_partition_id()),
-        "warc-members",
-    )
-    sizes = made.groupBy("range").agg(F.max(F.col("at") + F.octet_length("member")).alias("bytes"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
-    starts = sizes.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
-    n_files = (sizes.agg(F.sum("bytes")).first()[0] or 0) // roll_bytes + 1
-    placed = (
-        made.join(F.broadcast(starts), "range")  # n rows
-        .withColumn("file", F.floor((F.col("start") + F.col("at")) / roll_bytes).cast("long"))
-        .repartitionById(n_files, F.col("file").cast("int"))
-        .sortWithinPartitions("file", "page_id", "key", "url")
-        .select("file", "member")
+    keys = stored(_keys(pages), "warc-keys")
+    bounds = _bounds(keys, range_bytes)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    marks = revisits(keys, least_bytes).select("place", F.lit(0).alias("kind"), none("long", "page_id"), none("string", "url"), none("binary", "payload"), "sha", "first_id", "first_url")
+    rows = _payloads(pages).select("place", F.lit(1).alias("kind"), "page_id", "url", "payload", none("binary", "sha"), none("long", "first_id"), none("string", "first_url"))
+    dealt = (
+        rows.union(marks)
+        .withColumn("range", _range_of(bounds)("place"))
+        .repartitionById(max(1, len(bounds)), "range")
+        .sortWithinPartitions("place", "kind", "url")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        name, out, sha, records, size = None, None, None, 0, 0
-
-        def close() -> pa.RecordBatch:
-            out.close()
-            fs.move(f"{root}/.{name}.{attempt}.tmp", f"{root}/{name}")
-            return pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size], "sha256": [sha.hexdigest()]})
-
+        archive: _Archive | None = None
+        at, marked = None, {}
         for batch in batches:
-            for number, member in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                wanted = f"part-{number:06d}.warc.gz"
-                if wanted != name:
-                    if out is not None:
-                        yield close()
-                    name, sha, records, size = wanted, hashlib.sha256(), 0, 0
-                    out = fs.open_output_stream(f"{root}/.{name}.{attempt}.tmp", compression=None)
-                    info = packed(
-                        [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, wanted, "")), ("WARC-Date", date), ("WARC-Filename", wanted), ("Content-Type", "application/warc-fields")],
-                        b"format: WARC File Format 1.1\r\n",
-                    )
-                    out.write(info)
-                    sha.update(info)
-                    size += len(info)
-                out.write(member)
-                sha.update(member)
-                records, size = records + 1, size + len(member)
-        if out is not None:
-            yield close()
-
-    manifest = placed.mapInArrow(write, "file string, records long, bytes long, sha256 string")
-    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+            for lo in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(lo, STEP_ROWS)
+                names = ("place", "kind", "page_id", "url", "sha", "first_id", "first_url", "range")
+                columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in names]
+                for place, kind, page, url, sha, first, first_url, number, payload in zip(*columns, as_bytes(part.column(4)), strict=True):
+                    if place != at:
+                        at, marked = place, {}
+                    if kind == 0:
+                        marked[sha] = (first, first_url)
+                        continue
+                    if archive is None or archive.number != number:
+                        if archive is not None:
+                            archive.close()
+                            yield from _listed(archive)
+                        archive = _Archive(folder, number, date, roll_bytes)
+                    own = hashlib.sha1(payload).digest()
+                    archive.add(page_record(page, url, payload, len(payload), base64.b32encode(own).decode(), date, *marked.get(own, ())))
+        if archive is not None:
+            archive.close()
+            yield from _listed(archive)
+
+    dealt.mapInArrow(write, _MANIFEST).write.mode("overwrite").json(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
+def _listed(archive: _Archive) -> Iterator[pa.RecordBatch]:
+    if archive.rows:
+        yield pa.RecordBatch.from_pylist(archive.rows)
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("file string, records long, bytes long, sha256 string").json(f"{folder}/manifest")
+    return spark.read.schema(_MANIFEST).json(f"{folder}/manifest")
 
 
 def _members(stream) -> Iterator[bytes]:
