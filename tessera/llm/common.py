@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one numpy step works on: bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -30,6 +40,13 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def parts_of(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of text, so that no more of it becomes Python objects at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    for lo, hi in slices(sizes):
+        yield batch.slice(lo, hi - lo)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -8,8 +8,9 @@
    first, then the full sets. Components join what is linked.
 4. The members of buckets that still hold more than one component are searched to the end:
    a prefix join on their rarest shingles gives all pairs from different components that can
-   be alike enough. So no bucket is capped, and a bucket of thousands of variants of one text
-   costs a few tests for each of its members, not their square.
+   be alike enough. Components meet first, their members only where two components share a
+   shingle, so pairs within a component are never listed: no bucket is capped, and a bucket
+   of thousands of variants of one text costs a few tests for each of its members.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, as_bytes, slices
+from tessera.llm.common import WordHashes, as_bytes, parts_of, slices, unused
 from tessera.llm.components import connected_components
 from tessera.session import stored
 
@@ -88,15 +89,14 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 def _sketches(width: int, n: int):
     schema = pa.schema(
-        [("id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())]
+        [("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                sets = shingle_sets(texts[lo:hi], width, hashes)
+            for part in parts_of(batch, 2):
+                sets = shingle_sets(as_bytes(part.column(2)), width, hashes)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sigs: list[bytes | None] = [None] * len(sets)
                 if full:
@@ -105,7 +105,8 @@ def _sketches(width: int, n: int):
                 digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
+                        part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(sigs, pa.binary()),
@@ -113,29 +114,28 @@ def _sketches(width: int, n: int):
                     schema=schema,
                 )
 
-    return run, "id long, n_shingles long, set_hash binary, sig binary"
+    return run, "id long, text_key long, n_shingles long, set_hash binary, sig binary"
 
 
 def _sets(width: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                sets = shingle_sets(texts[lo:hi], width, hashes)
+            for part in parts_of(batch, 1):
+                sets = shingle_sets(as_bytes(part.column(1)), width, hashes)
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
+                        part.column(0),
                         pa.ListArray.from_arrays(pa.array(offsets), values),
                     ],
                     schema=schema,
                 )
 
-    return run, "id long, shingles array<long>"
+    return run, "node long, shingles array<long>"
 
 
 def _agreeing(slack_num: int, n: int):
@@ -153,132 +153,176 @@ def _agreeing(slack_num: int, n: int):
 def _verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are alike enough."""
     least = max(0, round(100 * (num / den - SIGNATURE_SLACK)))
-    sig = sketch.select("id", "sig")
+    sig = sketch.select("node", "sig")
     near = (
-        pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a")
-        .join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
+        pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
+        .join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
         .where(_agreeing(least, n)("sig_a", "sig_b"))
         .select("a", "b")
     )
     shared = F.size(F.array_intersect("s_a", "s_b"))
     union = F.size("s_a") + F.size("s_b") - shared
     return (
-        near.join(sets.withColumnsRenamed({"id": "a", "shingles": "s_a"}), "a")
-        .join(sets.withColumnsRenamed({"id": "b", "shingles": "s_b"}), "b")
+        near.join(sets.withColumnsRenamed({"node": "a", "shingles": "s_a"}), "a")
+        .join(sets.withColumnsRenamed({"node": "b", "shingles": "s_b"}), "b")
         .where(den * shared >= num * union)
         .select("a", "b")
     )
 
 
-def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) of different parts that can be alike enough, by prefix and position.
+def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """node, part, n, at, s: the first n - ceil(n * num / den) + 1 shingles of each set (node, part, shingles), rarest first.
 
-    With the rarest shingles first, alike sets share one of the first n - ceil(n * num / den) + 1,
-    and at the first they share enough must be left of both (Bayardo et al. 2007, Xiao et al. 2008).
+    Alike sets share one of these, and at the first they share enough must be left of both
+    (Bayardo et al. 2007, Xiao et al. 2008).
     """
-    rows = sets.select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rows = sets.select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "s")))
     length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    prefixes = stored(
+    return stored(
         rows.join(common, "s")
-        .groupBy("id", "part", "n")
+        .groupBy("node", "part", "n")
         .agg(order.alias("o"))
-        .select("id", "part", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
-        .select("id", "part", "n", "at", "x.s"),
+        .select("node", "part", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
+        .select("node", "part", "n", "at", "x.s"),
         "prefixes",
     )
-    larger = prefixes.withColumnsRenamed({"id": "ia", "part": "pa", "n": "na", "at": "ta"})
-    smaller = prefixes.withColumnsRenamed({"id": "ib", "part": "pb", "n": "nb", "at": "tb"})
-    left = F.least(F.col("na") - F.col("ta"), F.col("nb") - F.col("tb"))
-    once = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ia") < F.col("ib")))
-    enough = left * (num + den) >= num * (F.col("na") + F.col("nb"))
-    return (
-        larger.join(smaller, "s")
-        .where((F.col("pa") != F.col("pb")) & once & enough & (den * F.col("nb") >= num * F.col("na")))
-        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-        .distinct()
-    )
 
 
-def near_duplicate_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    num: int = 80,
-    den: int = 100,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _meeting(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """A pair (a, b) for each shingle that prefixes of two parts share, where sizes and places allow enough in common.
 
-    A-Z are lower-cased, words are runs without ASCII white space. A text's set holds its
-    distinct shingles of ``width`` words; a text of fewer words has its whole sequence as
-    its one shingle; null and texts without words have the empty set and stay alone.
-    Texts are linked when den * shared >= num * union. component_id is the smallest id
-    that can be reached. ids are integers that don't repeat; rows with a null id are left
-    out of the search and stay. Rows that repeat one id and text are returned as often as
-    they come. An empty table gives no rows; other columns are ignored.
+    Parts are joined before members, by what the best of their members could share: a part of
+    n members that meets one other row costs n rows, and parts of one row each meet only where
+    their sizes and places allow it.
+    """
+    left, least = F.col("n") - F.col("at"), lambda a, b: F.least(F.col(a), F.col(b)) * (num + den)
+    places = prefixes.groupBy("s", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(left).alias("left"))
+    one = places.withColumnsRenamed({"part": "pa", "lo": "lo_a", "hi": "hi_a", "left": "left_a"})
+    two = places.withColumnsRenamed({"part": "pb", "lo": "lo_b", "hi": "hi_b", "left": "left_b"})
+    sizes = (den * F.col("hi_a") >= num * F.col("lo_b")) & (den * F.col("hi_b") >= num * F.col("lo_a"))
+    enough = least("left_a", "left_b") >= num * (F.col("lo_a") + F.col("lo_b"))
+    meets = one.join(two, "s").where((F.col("pa") < F.col("pb")) & sizes & enough).select("s", "pa", "pb")
+    rows = prefixes.select("s", "part", "node", "n", left.alias("left"))
+    one = rows.withColumnsRenamed({"part": "pa", "node": "a", "n": "na", "left": "left_a"})
+    two = rows.withColumnsRenamed({"part": "pb", "node": "b", "n": "nb", "left": "left_b"})
+    alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    enough = least("left_a", "left_b") >= num * (F.col("na") + F.col("nb"))
+    return meets.join(one, ["s", "pa"]).join(two, ["s", "pb"]).where(alike & enough).select("a", "b")
+
+
+def _nodes(sketch: DataFrame) -> DataFrame:
+    """node, id, set_hash, text_key, sig: one row for each distinct set, named by its smallest id.
+
+    Where one id stands for several sets, the first of them is named by the id and the others
+    by a hash of both, so that each set is a node of its own. text_key names a text that has
+    the set.
     """
+    first = F.min(F.struct("id", "text_key")).alias("first")
+    sets = sketch.where("set_hash is not null and id is not null").groupBy("set_hash").agg(first, F.max("sig").alias("sig"))
+    sets = sets.select("set_hash", "first.id", "first.text_key", "sig")
+    several = sets.groupBy("id").agg(F.min("set_hash").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "lead")
+    name = F.when(F.col("lead") != F.col("set_hash"), F.xxhash64("id", "set_hash")).otherwise(F.col("id"))
+    return sets.join(several, "id", "left").select(name.alias("node"), "id", "set_hash", "text_key", "sig")
+
+
+def _classes(sketch: DataFrame, base: DataFrame, width: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """set_hash, component_id, lead_hash: the smallest id of each set's component, and which of its sets is the first."""
     n = bands * rows
-    run, schema = _sketches(width, n)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = stored(base.mapInArrow(run, schema), "sketches")
-    reps = stored(
-        sketch.where("set_hash is not null and id is not null")
-        .groupBy("set_hash")
-        .agg(F.min("id").alias("id"), F.max("sig").alias("sig")),
-        "representatives",
-    )
+    reps = stored(_nodes(sketch), "representatives")
     band = F.explode(
         F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * rows * i + 1, 4 * rows)) for i in range(bands)))
     )
-    keyed = reps.select("id", band.alias("bucket"))
+    keyed = reps.select("node", band.alias("bucket"))
     ends = (
         keyed.groupBy("bucket")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        .agg(F.min("node").alias("first"), F.max("node").alias("last"))
         .where("first < last")
     )
     members = stored(keyed.join(ends, "bucket"), "buckets")
-    seen = members.select("id").distinct()
+    seen = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "text_key")
     run, schema = _sets(width)
-    sets = stored(base.join(seen, "id", "left_semi").mapInArrow(run, schema).dropDuplicates(["id"]), "sets")
+    texts = base.join(seen, ["id", "text_key"]).select("node", "text")
+    sets = stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")  # one text's set is as good as its copy's
     tested = (
-        members.select(F.col("first").alias("a"), F.col("id").alias("b"))
-        .union(members.select(F.col("id").alias("a"), F.col("last").alias("b")))
+        members.select(F.col("first").alias("a"), F.col("node").alias("b"))
+        .union(members.select(F.col("node").alias("a"), F.col("last").alias("b")))
         .where("a < b")
         .distinct()
     )
     links = stored(_verified(tested, reps, sets, num, den, n), "links")
-    parts = connected_components(links)
-    placed = members.join(parts, "id", "left").select(
-        "bucket", "id", "first", "last", F.coalesce("component", "id").alias("part")
-    )
+    parts = connected_components(links).withColumnRenamed("id", "node")
+    placed = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     mixed = (
         placed.groupBy("bucket")
         .agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
         .where("lo < hi")
         .select("bucket")
     )
-    rest = placed.join(mixed, "bucket", "left_semi").select("id", "part").distinct()
-    others = _prefix_pairs(stored(sets.join(rest, "id"), "mixed-sets"), num, den)
+    rest = placed.join(mixed, "bucket", "left_semi").select("node", "part").distinct()
+    others = _meeting(_prefixes(stored(sets.join(rest, "node"), "mixed-sets"), num, den), num, den).distinct()
     more = stored(_verified(others, reps, sets, num, den, n), "more-links")
     if not more.isEmpty():
-        parts = connected_components(links.union(more))
-    classes = reps.join(parts, "id", "left").select(
-        "set_hash", F.coalesce("component", "id").alias("component")
+        parts = connected_components(links.union(more)).withColumnRenamed("id", "node")
+    linked = reps.join(parts, "node").select("component", "id", "set_hash")
+    tops = linked.groupBy("component").agg(F.min(F.struct("id", "set_hash")).alias("top"))
+    moved = linked.join(tops, "component").select("set_hash", F.col("top.id").alias("top_id"), F.col("top.set_hash").alias("top_hash"))
+    return reps.select("set_hash", "id").join(moved, "set_hash", "left").select(
+        "set_hash", F.coalesce("top_id", "id").alias("component_id"), F.coalesce("top_hash", "set_hash").alias("lead_hash")
     )
+
+
+def near_duplicate_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    num: int = 80,
+    den: int = 100,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key.
+
+    A-Z are lower-cased, words are runs without ASCII white space. A text's set holds its
+    distinct shingles of ``width`` words; a text of fewer words has its whole sequence as
+    its one shingle; null and texts without words have the empty set and stay alone.
+    Texts are linked when den * shared >= num * union. component_id is the smallest id
+    that can be reached. ids are integers. Rows that repeat an id are told apart by their
+    texts: of the sets under a component's smallest id one is kept, and rows that repeat both
+    id and text share their result. Rows with a null id are left out of the search and stay;
+    component_id is that of their set, if others have it. text_key is xxhash64 of the text, null for null. An empty table gives no rows; other
+    columns are ignored.
+    """
+    run, schema = _sketches(width, bands * rows)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    sketch = stored(base.mapInArrow(run, schema), "sketches")
+    classes = _classes(sketch, base, width, num, den, bands, rows)
+    top = F.coalesce("component_id", "id")
+    lone = F.col("set_hash").isNull() | F.col("id").isNull()
     return sketch.join(classes, "set_hash", "left").select(
         F.col("id").alias("doc_id"),
         "n_shingles",
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
+        top.alias("component_id"),
+        (lone | ((F.col("id") == top) & (F.col("set_hash") == F.col("lead_hash")))).alias("kept"),
+        "text_key",
     )
 
 
+def _text_key(text_col: str) -> Column:
+    """A hash that tells the texts of one id apart."""
+    return F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
+    """The documents that stay, one of each component, with all their columns.
+
+    Rows go by id and text, so of rows that repeat an id each is judged by its own text. Rows
+    with a null id or without words stay; an empty table stays empty.
+    """
+    gone_id, gone_key = unused(docs, "gone_id"), unused(docs, "gone_key")
     gone = near_duplicate_classes(docs, id_col, text_col, **options).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    same = (F.col(id_col).cast("long") == F.col(gone_id)) & (_text_key(text_col) == F.col(gone_key))
+    return docs.join(gone, same, "left_anti")

@@ -105,6 +105,32 @@ def test_near_empty_and_repeated(make_docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_near_repeated_ids_go_by_their_texts(spark, make_docs):
+    """Of rows with one id each is judged by its own text; names that the stage uses inside are the user's to keep."""
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven"
+    docs = make_docs([(2, a), (1, a + " x"), (1, b), (1, b), (3, b), (None, a), (4, None), (4, "")])
+    docs = docs.withColumn("gone_id", F.lit(1)).withColumn("Gone_Key", F.lit(2))
+    got = nd.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert kept == sorted([(1, a + " x"), (1, b), (1, b), (0, a), (4, ""), (4, "")])
+    # near copies under one id are one component, of which one text stays
+    kept = nd.without_near_duplicates(make_docs([(1, a), (1, a + " x"), (1, a + " y"), (5, a + " z")])).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 1
+
+
+def test_near_candidates_grow_with_the_rows(spark):
+    """n near copies of one part and one row of another: what the joins list grows with n, not with its square."""
+    counts = []
+    for n in (50, 100, 200):
+        near = [(i, 0, list(range(100)) + [1000 + i, 2000 + i]) for i in range(n)]
+        sets = spark.createDataFrame([*near, (9999, 1, list(range(10, 110)))], "node long, part long, shingles array<long>")
+        prefixes = nd._prefixes(sets, 80, 100)
+        counts.append(nd._meeting(prefixes, 0, 100).count())  # with 0 the filters let all pairs through
+        assert nd._meeting(prefixes, 0, 100).where("a < 9999 and b < 9999").isEmpty()
+    assert counts[0] > 0 and counts[2] <= 2.2 * counts[1] <= 2.2 * 2.2 * counts[0]
+
+
 def test_components_chain_and_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
