@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, as_bytes, slices
+from tessera.llm.common import WordHashes, as_bytes, parts_of
 from tessera.session import stored
 
 BUCKETS = 10_000
@@ -40,33 +40,35 @@ def hashed_ngrams(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.nda
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of a partition's texts, for the target and for all."""
-    total = np.zeros((2, BUCKETS), np.int64)
+    """Bucket counts of a partition's texts."""
+    total = np.zeros(BUCKETS, np.int64)
     hashes = WordHashes()
     for batch in batches:
-        texts, target = as_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), bool)
-        for lo, hi in slices([len(t or b"") for t in texts]):
-            buckets, owner = hashed_ngrams(texts[lo:hi], hashes)
-            total[1] += np.bincount(buckets, minlength=BUCKETS)
-            total[0] += np.bincount(buckets[target[lo:hi][owner]], minlength=BUCKETS)
-    i, j = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["model", "bucket", "n"])
+        for part in parts_of(batch, 0):
+            total += np.bincount(hashed_ngrams(as_bytes(part.column(0)), hashes)[0], minlength=BUCKETS)
+    (at,) = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
 
-def importance(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _model(texts: DataFrame) -> np.ndarray:
+    """Counts of a generative model: BUCKETS sums reach the driver, whatever there is to count."""
+    total = np.full(BUCKETS, SMOOTHING / BUCKETS)
+    for bucket, n in texts.mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        total[bucket] += n
+    return total
+
+
+def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, log_ratio, n_grams.
 
-    ``target`` marks the rows of the target model; the raw model counts all rows. log_ratio is
-    the sum over the text's n-grams of log p(target) - log p(raw), the log of the ratio of its
-    likelihoods; texts without words have 0, as has every text where no row is a target.
-    Rows that repeat an id get the same noise and are drawn or left together.
+    ``target`` is the text of the target model, any table with ``text_col``; the raw model counts
+    all rows of docs. log_ratio is the sum over the text's n-grams of log p(target) - log p(raw),
+    the log of the ratio of its likelihoods; texts without words have 0, as has every text where
+    the target has no words. Rows that repeat an id get the same noise and are drawn or left
+    together.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col), F.coalesce(target, F.lit(False)))
-    sums = rows.mapInArrow(_counts, "model long, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n")).collect()
-    total = np.full((2, BUCKETS), SMOOTHING / BUCKETS)
-    for model, bucket, n in sums:  # 2 * BUCKETS rows at most
-        total[model, bucket] += n
+    total = np.stack([_model(target.select(text_col)), _model(docs.select(text_col))])
     ratio = np.log(total[0] / total[0].sum()) - np.log(total[1] / total[1].sum())
     if total[0].sum() < 2 * SMOOTHING:
         ratio[:] = 0
@@ -75,13 +77,12 @@ def importance(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                buckets, owner = hashed_ngrams(texts[lo:hi], hashes)
-                n = np.bincount(owner, minlength=hi - lo)
-                ratios = np.bincount(owner, held.value[buckets], minlength=hi - lo)
+            for part in parts_of(batch, 1):
+                buckets, owner = hashed_ngrams(as_bytes(part.column(1)), hashes)
+                n = np.bincount(owner, minlength=part.num_rows)
+                ratios = np.bincount(owner, held.value[buckets], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(ratios), pa.array(n)], ["id", "log_ratio", "n_grams"]
+                    [part.column(0), pa.array(ratios), pa.array(n)], ["id", "log_ratio", "n_grams"]
                 )
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -127,6 +128,6 @@ def top_k(keyed: DataFrame, k: int, rounds: int = 12, bins: int = 4096) -> DataF
     return keyed.withColumn("selected", ahead)
 
 
-def resampled(docs: DataFrame, target: Column, k: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """One row per input row: id, log_ratio, n_grams, gumbel_key, selected (k rows, or all if there are fewer)."""
     return top_k(stored(gumbel_keys(importance(docs, target, id_col, text_col), seed), "gumbel"), k)

@@ -36,16 +36,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws quality.SHARE of all documents; the target is the labelled text of quality 1."""
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    # by a merge join whatever the labels' size, so that one plan serves all sizes
-    rows = docs.join(good.hint("merge"), docs["doc_id"] == good["_good"], "left")
-    drawn = quality.resampled(rows, F.col("_good").isNotNull(), round(quality.SHARE * docs.count()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # by a merge join whatever the labels' size, so that one plan, and its cost, serves all sizes
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
+    drawn = quality.resampled(docs, docs.join(good, "doc_id", "left_semi"), round(quality.SHARE * docs.count()))
     return drawn.withColumnRenamed("id", "doc_id")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.repaired_turns(table(spark, sf_dir, "conversations"))
+    return chat.repaired_turns(table(spark, sf_dir, "conversations")).drop("place")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +63,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents"), num=85)
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), num=85).drop("text_key")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
