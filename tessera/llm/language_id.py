@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import parts_of
 
 #: Labelled texts that the model is fitted on, for each language.
 TRAIN_PER_LANG = 3000
@@ -27,8 +28,8 @@ BUCKETS, GRAMS = 1 << 15, (1, 2, 3, 4)
 SWITCH = 6.0
 #: A language comes into question for a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.02
-#: Words that one Viterbi pass takes on: bounds a worker's memory.
-PASS_WORDS = 3_000_000
+#: Words that one Viterbi pass takes on, and words whose n-grams are held at once: they bound a worker's memory.
+PASS_WORDS, GRAM_WORDS = 1_000_000, 50_000
 UNDETERMINED = "und"
 
 #: First code points of Unicode's script blocks; 0 stands for letters of no listed script.
@@ -53,8 +54,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+_OF_BLOCK = [_NAMES.index(n) for _, n in SCRIPTS]
+
+
 def script_of(word: str) -> int:
-    return _NAMES.index(SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1])
+    """The script of most of its letters; of equal ones, that of the first."""
+    if word.isascii():
+        return _OF_BLOCK[0]
+    found = [_OF_BLOCK[bisect_right(_STARTS, ord(c)) - 1] for c in word]
+    return found[0] if len(set(found)) == 1 else max(found, key=found.count)
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +91,20 @@ class LanguageModel:
     allowed: np.ndarray  # [scripts, languages], True where the language uses the script
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """[languages, words]; the best is 0, a language without the word's script pays for it."""
-        buckets, owners = gram_buckets(words)
-        out = np.stack([np.bincount(owners, row[buckets], len(words)) for row in self.logs])
-        ok = self.allowed[[script_of(w) for w in words]].T
-        out = np.where(ok | ~ok.any(axis=0), out, out.min(axis=0) - 2 * SWITCH)
+        """[languages, words]; the best is 0. A word is scored under the languages of its script alone; the others are ruled out.
+
+        A script that no language uses leaves all of them in question.
+        """
+        out = np.full((len(self.langs), len(words)), -np.inf)
+        scripts = np.fromiter(map(script_of, words), np.int64, len(words))
+        for script in np.unique(scripts).tolist():
+            every = np.flatnonzero(scripts == script)
+            langs = np.flatnonzero(self.allowed[script] if self.allowed[script].any() else ~self.allowed[script]).tolist()
+            for lo in range(0, len(every), GRAM_WORDS):
+                at = every[lo : lo + GRAM_WORDS]
+                buckets, owners = gram_buckets([words[i] for i in at.tolist()])
+                for i in langs:
+                    out[i, at] = np.bincount(owners, self.logs[i][buckets], len(at))
         return (out - out.max(axis=0)).astype(np.float32)
 
 
@@ -105,15 +122,15 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, key: Column, per_lang
         grams = np.zeros((len(langs), BUCKETS), np.int64)
         scripts = np.zeros((len(langs), len(_NAMES)), np.int64)
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices([len(t) for t in texts]):
+            for part in parts_of(batch, 0):
                 by: dict[str, list[str]] = {}
-                for t, k in zip(texts[lo:hi], labels[lo:hi], strict=True):
+                for t, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     by.setdefault(k, []).extend(words_of(t))
                 for k, words in by.items():
                     if words:
                         i = langs.index(k)
-                        grams[i] += np.bincount(gram_buckets(words)[0], minlength=BUCKETS)
+                        for at in range(0, len(words), GRAM_WORDS):
+                            grams[i] += np.bincount(gram_buckets(words[at : at + GRAM_WORDS])[0], minlength=BUCKETS)
                         scripts[i] += np.bincount([script_of(w) for w in words], minlength=len(_NAMES))
         both = np.concatenate([grams, scripts], axis=1)
         i, j = np.nonzero(both)
@@ -163,31 +180,66 @@ def viterbi(scores: np.ndarray, words: np.ndarray, sizes: np.ndarray, switch: fl
     return labels
 
 
-def _labelled(ids: list, model: LanguageModel, table: np.ndarray, words: np.ndarray, sizes: np.ndarray, switch: float) -> pa.RecordBatch:
-    labels = viterbi(table, words, sizes, switch)
+def _labelled(model: LanguageModel, table: np.ndarray, words: np.ndarray, sizes: np.ndarray, switch: float) -> dict[str, pa.Array]:
+    """lang_pred, score, n_words and spans of texts of so many words."""
+    labels = viterbi(table, words, sizes, switch) if model.langs else np.zeros(0, np.int64)
+    n_langs = max(1, len(model.langs))
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    votes = np.bincount(owner * len(model.langs) + labels, minlength=len(sizes) * len(model.langs)).reshape(len(sizes), -1)
-    top = votes.argmax(axis=1)
+    votes = np.bincount(owner * n_langs + labels, minlength=len(sizes) * n_langs).reshape(len(sizes), -1)
     share = votes.max(axis=1) / np.maximum(1, sizes)
     first = np.ones(len(labels), bool)
     first[1:] = (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(first)
     span_owner = owner[starts]
-    stops = np.append(starts[1:], len(labels))
+    stops = np.append(starts[1:], len(labels))[: len(starts)]
     base = (ends - sizes)[span_owner]
-    names = pa.array(model.langs)
+    names = pa.array(model.langs, pa.string())
     spans = pa.StructArray.from_arrays(
         [pa.array((starts - base).astype(np.int32)), pa.array((stops - base).astype(np.int32)), names.take(pa.array(labels[starts].astype(np.int32)))],
         names=["first_word", "end_word", "lang"],
     )
     offsets = np.concatenate([[0], np.cumsum(np.bincount(span_owner, minlength=len(sizes)))]).astype(np.int32)
     some = sizes > 0
-    pred = pa.array([model.langs[i] if ok else UNDETERMINED for i, ok in zip(top, some, strict=True)], pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pred, pa.array(np.where(some, share, 0.0)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), spans)],
-        names=["id", "lang_pred", "score", "n_words", "spans"],
-    )
+    pred = [model.langs[i] if ok else UNDETERMINED for i, ok in zip(votes.argmax(axis=1).tolist(), some.tolist(), strict=True)]
+    return {
+        "lang_pred": pa.array(pred, pa.string()),
+        "score": pa.array(np.where(some, share, 0.0)),
+        "n_words": pa.array(sizes),
+        "spans": pa.ListArray.from_arrays(pa.array(offsets), spans),
+    }
+
+
+def _passes(batches: Iterator[pa.RecordBatch], text_at: int, model: LanguageModel, switch: float) -> Iterator[tuple[list[pa.RecordBatch], dict[str, pa.Array]]]:
+    """Rows, as parts of the batches, and what _labelled() says of them, PASS_WORDS or so at a time."""
+    held: list[pa.RecordBatch] = []
+    parts: list[np.ndarray] = []
+    sizes: list[int] = []
+    known: dict[str, int] = {}
+    tables: list[np.ndarray] = []
+
+    def passed() -> dict[str, pa.Array]:
+        words = np.concatenate(parts)
+        table = np.concatenate(tables, axis=1) if tables else np.zeros((len(model.langs), 0), np.float32)
+        return _labelled(model, table, words, np.array(sizes, np.int64), switch)
+
+    for batch in batches:
+        for part in parts_of(batch, text_at):
+            flat: list[str] = []
+            for text in part.column(text_at).to_pylist():
+                words = words_of(text) if text and model.langs else []
+                sizes.append(len(words))
+                flat += words
+            held.append(part)
+            before = len(known)
+            parts.append(np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int32, len(flat)))
+            if len(known) > before:
+                tables.append(model.scores(list(known)[before:]))
+            if sum(map(len, parts)) > PASS_WORDS:
+                yield held, passed()
+                held, parts, sizes, known, tables = [], [], [], {}, []
+    if held:
+        yield held, passed()
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -201,38 +253,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        ids: list = []
-        parts: list[np.ndarray] = []
-        sizes: list[int] = []
-        known: dict[str, int] = {}
-        tables: list[np.ndarray] = []
-
-        def passed() -> pa.RecordBatch:
-            words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            table = np.concatenate(tables, axis=1) if tables else np.zeros((len(model.langs), 0), np.float32)
-            out = _labelled(ids, model, table, words, np.array(sizes, np.int64), switch)
-            for x in (ids, parts, sizes, tables, known):
-                x.clear()
-            return out
-
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts]):
-                flat: list[str] = []
-                for key, text in zip(keys[lo:hi], texts[lo:hi], strict=True):
-                    words = words_of(text) if text and model.langs else []
-                    ids.append(key)
-                    sizes.append(len(words))
-                    flat += words
-                before = len(known)
-                parts.append(np.fromiter((known.setdefault(w, len(known)) for w in flat), np.int32, len(flat)))
-                if fresh := list(known)[before:] if len(known) > before else []:
-                    tables.append(model.scores(fresh))
-                if sum(map(len, parts)) > PASS_WORDS:
-                    yield passed()
-        if ids:
-            yield passed()
+        for rows, found in _passes(batches, 1, held.value, switch):
+            ids = pa.concat_arrays([r.column(0) for r in rows])
+            yield pa.RecordBatch.from_arrays([ids, *found.values()], names=["id", *found])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
@@ -251,7 +274,25 @@ def fit_on_documents(docs: DataFrame) -> LanguageModel:
     return fit(labelled.select("doc_id", "text", "lang"), "text", "lang", F.col("doc_id"))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
-    """Documents in a known language: ``und`` goes, and texts whose score is below ``least``."""
-    found = identify(docs, model).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
-    return docs.join(found.select(F.col("id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """Rows in a known language, with all their columns: ``und`` goes, and texts whose score is below ``least``.
+
+    Each row is judged by its own text as it is read, so null and repeated ids, repeated rows
+    and columns of any name make no difference. Under a model without languages nothing can be
+    told apart: then only null and letterless texts go.
+    """
+    held, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        if not model.langs:
+            for batch in batches:
+                yield batch.filter(pa.array([bool(t and _WORD.search(t)) for t in batch.column(text_at).to_pylist()], pa.bool_()))
+            return
+        for rows, found in _passes(batches, text_at, model, switch):
+            known, at = pc.and_(pc.not_equal(found["lang_pred"], UNDETERMINED), pc.greater_equal(found["score"], least)), 0
+            for part in rows:
+                yield part.filter(known.slice(at, part.num_rows))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
