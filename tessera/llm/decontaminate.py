@@ -9,22 +9,29 @@ the spans found are merged for each document.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, slices
+from tessera.llm.common import as_bytes, parts_of, slices
 from tessera.llm.fm_index import FMIndex
+from tessera.session import fresh_path
 
 #: Words of a window.
 WINDOW = 10
-#: Words that one shard's index takes on, and occurrences located at once.
+#: Words that one index takes on, and occurrences located at once.
 SHARD_WORDS, LOCATE_ROWS = 1 << 20, 1 << 20
-#: Benchmark text that is sent to executors at once; a larger benchmark goes in blocks.
+#: Text of a shard, which a worker holds while it goes through the benchmark's blocks.
+SHARD_BYTES = 8 << 20
+#: Benchmark text of a block. Blocks lie in the shared folder; a worker holds one at a time, the driver none.
 BLOCK_BYTES = 16 << 20
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -41,67 +48,66 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items})
+        numbers = {name: i for i, name in enumerate(self.names)}
+        owners: dict[tuple[int, ...], set[int]] = {}
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for i in range(max(len(ids) - width + 1, 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(name)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
+                owners.setdefault(tuple(ids[i : i + width]), set()).add(numbers[name])
+        # for each length: the windows, and where each one's owners begin in the list of owners
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n in sorted({len(w) for w in owners}):
             same = [w for w in owners if len(w) == n]
-            self.by_length.append((np.array(same, np.int64), [sorted(owners[w]) for w in same]))
+            starts = np.cumsum([0, *(len(owners[w]) for w in same)])
+            self.by_length.append((np.array(same, np.int32), starts, np.array([i for w in same for i in owners[w]], np.int32)))
         self.shortest = min(map(len, owners), default=0)
 
 
 class Shard:
-    """Documents of one shard, with the runs of their words that go into its index."""
+    """The runs of some documents' words that go into one index."""
 
     def __init__(self, windows: Windows):
         self.windows = windows
-        self.rows: list[tuple] = []
-        self.sizes: list[int] = []
         self.runs: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
         self.offsets: list[np.ndarray] = []
         self.words = 0
 
-    def add(self, rows: list[tuple], texts: list[bytes | None]) -> None:
+    def add(self, first_doc: int, texts: list[bytes | None]) -> list[int]:
+        """Takes documents in, numbered from first_doc; returns their numbers of words."""
         flat: list[bytes] = []
-        starts = []
+        starts, counts = [], []
         for text in texts:
             starts.append(len(flat))
             flat += words_of(text)
-            self.sizes.append(len(flat) - starts[-1])
+            counts.append(len(flat) - starts[-1])
             flat.append(b"")
-        base = len(self.rows)
-        self.rows += rows
         ids = np.fromiter(map(self.windows.vocabulary.get, flat, repeat(0)), np.int32, len(flat))
         edges = np.flatnonzero(np.diff(np.concatenate([[False], ids > 0, [False]]).astype(np.int8)))
         first, last = edges[::2], edges[1::2]
         long = last - first >= max(1, self.windows.shortest)
         first, last = first[long], last[long]
-        if not len(first):
-            return
-        sizes = last - first + 1  # with the end of the run, which may be any word outside
-        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        tokens = ids[at]
-        tokens[np.cumsum(sizes) - 1] = 0
-        doc = np.searchsorted(starts, first, side="right") - 1
-        self.runs.append(tokens)
-        self.owners.append(np.repeat(base + doc, sizes))
-        self.offsets.append(at - np.repeat(np.asarray(starts)[doc], sizes))
-        self.words += len(tokens)
-
-    def found(self) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-        """Merged word spans, ends exclusive, and the items found, for each document."""
-        spans: list[list[tuple[int, int]]] = [[] for _ in self.rows]
-        items: list[set[str]] = [set() for _ in self.rows]
+        if len(first):
+            sizes = last - first + 1  # with the end of the run, which may be any word outside
+            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            tokens = ids[at]
+            tokens[np.cumsum(sizes) - 1] = 0
+            doc = np.searchsorted(starts, first, side="right") - 1
+            self.runs.append(tokens)
+            self.owners.append(np.repeat(first_doc + doc, sizes))
+            self.offsets.append(at - np.repeat(np.asarray(starts)[doc], sizes))
+            self.words += len(tokens)
+        return counts
+
+    def found(self, spans: list[list[tuple[int, int]]], items: list[set[str]]) -> None:
+        """Adds the word spans that windows cover, ends exclusive, and the items found to each document's."""
         if not self.runs:
-            return spans, items
+            return
         seq, owner, offset = (np.concatenate(x) for x in (self.runs, self.owners, self.offsets))
         index = FMIndex(seq, len(self.windows.vocabulary))
         cover = np.zeros(len(seq) + 1, np.int64)
-        for phrases, names in self.windows.by_length:
+        for phrases, starts, names in self.windows.by_length:
             lo, hi = index.search(phrases)
             some = np.flatnonzero(hi > lo)
             for a, b in slices((hi - lo)[some].tolist(), LOCATE_ROWS):
@@ -111,15 +117,14 @@ class Shard:
                 at = index.locate(rows)
                 cover += np.bincount(at, minlength=len(cover))
                 cover -= np.bincount(at + phrases.shape[1], minlength=len(cover))
-                hits = np.unique(owner[at] * len(names) + np.repeat(of, n))
-                for hit in hits.tolist():
-                    items[hit // len(names)].update(names[hit % len(names)])
+                hits = np.unique(owner[at] * len(phrases) + np.repeat(of, n))
+                for doc, phrase in zip((hits // len(phrases)).tolist(), (hits % len(phrases)).tolist(), strict=True):
+                    items[doc].update(self.windows.names[i] for i in names[starts[phrase] : starts[phrase + 1]])
         hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
         edges = np.flatnonzero(hit[1:] != hit[:-1])
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             start = int(offset[a])
             spans[owner[a]].append((start, start + b - a))
-        return spans, items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,8 +137,78 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Blocks:
+    """The benchmark's windows in the shared folder, block by block, written by Spark and read by its workers."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, width: int):
+        spark = benchmark.sparkSession
+        items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+        n_bytes = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
+        self.n = -(-n_bytes // BLOCK_BYTES)
+        self.path = fresh_path(spark, "benchmark")
+
+        def build(rows: pd.DataFrame) -> pd.DataFrame:
+            windows = Windows([(i, t.encode()) for i, t in zip(rows["item"], rows["text"], strict=True)], width)
+            return pd.DataFrame({"block": [rows["block"].iloc[0]], "data": [pickle.dumps(windows)]})
+
+        if self.n:
+            dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(self.n)))
+            dealt.groupBy("block").applyInPandas(build, "block long, data binary").write.partitionBy("block").parquet(self.path)
+
+    def __iter__(self) -> Iterator[Windows]:
+        """Loads the blocks one after the other; a single one is kept for the next round."""
+        if self.n == 1:
+            if not hasattr(self, "only"):
+                self.only = next(self._loaded())
+            yield self.only
+        else:
+            yield from self._loaded()
+
+    def _loaded(self) -> Iterator[Windows]:
+        for block in range(self.n):
+            fs, folder = pafs.FileSystem.from_uri(f"{self.path}/block={block}")
+            for file in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):  # a block that no item was dealt has none
+                if file.path.endswith(".parquet"):
+                    with fs.open_input_file(file.path) as stream:
+                        for data in ParquetFile(stream).read(columns=["data"]).column("data"):
+                            yield pickle.loads(data.as_py())
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text_at: int, blocks: Blocks) -> Iterator[tuple]:
+    """(rows, numbers of words, merged spans, items) of each shard; rows as parts of the batches."""
+    held: list[tuple[pa.RecordBatch, list[bytes | None]]] = []
+    size = 0
+
+    def searched() -> tuple:
+        n = sum(len(texts) for _, texts in held)
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        items: list[set[str]] = [set() for _ in range(n)]
+        counts: list[int] | None = None
+        for windows in chain(blocks, repeat(Windows([], 1), 0 if blocks.n else 1)):
+            shard, at, seen = Shard(windows), 0, []
+            for _, texts in held:
+                seen += shard.add(at, texts)
+                at += len(texts)
+                if shard.words >= SHARD_WORDS:
+                    shard.found(spans, items)
+                    shard = Shard(windows)
+            shard.found(spans, items)
+            counts = counts or seen
+        return [rows for rows, _ in held], counts, [merged(x) for x in spans], items
+
+    for batch in batches:
+        for part in parts_of(batch, text_at):
+            texts = as_bytes(part.column(text_at))
+            held.append((part, texts))
+            size += sum(len(t or b"") for t in texts)
+            if size >= SHARD_BYTES:
+                yield searched()
+                held, size = [], 0
+    if held:
+        yield searched()
+
+
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))
-_FOUND = "id long, n_words long, spans array<struct<first_word: long, end_word: long>>, items array<string>"
 
 
 def contamination(
@@ -151,64 +226,25 @@ def contamination(
     window; items without words or ids are ignored. Every occurrence of a window in a
     document is found. Null and wordless texts have no spans; an empty benchmark finds
     nothing. Items that repeat an id count as one item. Rows pass no shuffle: shards are
-    cut from partitions as they are read, and a lost one is indexed again.
+    cut from partitions as they are read, and a lost one is indexed again. A benchmark of
+    any size is searched in one pass, block by block from the shared folder.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(
-        "item is not null and text is not null"
-    )
-    n_bytes = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
-    n_blocks = -(-n_bytes // BLOCK_BYTES) or 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
-    found = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<first_word: long, end_word: long>>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    for block in range(n_blocks):
-        last = block == n_blocks - 1
-        rows = dealt.where(F.col("block") == block).select("item", "text").collect()  # BLOCK_BYTES or so
-        windows = spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in rows], width))
-        found = found.mapInArrow(_pass(windows, last), _FOUND if last else f"id long, text string, {_FOUND[9:]}")
-    return found
-
-
-def _pass(windows, last: bool):
-    def out(shard: Shard) -> pa.RecordBatch:
-        spans, items = shard.found()
-        for i, (_, _, old, names) in enumerate(shard.rows):
-            if old:
-                spans[i] = merged([*spans[i], *((x["first_word"], x["end_word"]) for x in old)])
-            items[i].update(names)
-        columns = [
-            pa.array([r[0] for r in shard.rows], pa.int64()),
-            pa.array(shard.sizes, pa.int64()),
-            pa.array([[{"first_word": a, "end_word": b} for a, b in x] for x in spans], _SPANS),
-            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-        ]
-        names = ["id", "n_words", "spans", "items"]
-        if not last:
-            columns.insert(1, pa.array([None if r[1] is None else r[1].decode() for r in shard.rows], pa.string()))
-            names.insert(1, "text")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    blocks = Blocks(benchmark, item_col, item_text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(windows.value)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            rows = list(zip(ids, repeat(None) if last else texts, spans, items, strict=False))
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                shard.add(rows[lo:hi], texts[lo:hi])
-                if shard.words >= SHARD_WORDS:
-                    yield out(shard)
-                    shard = Shard(windows.value)
-        if shard.rows:
-            yield out(shard)
+        for rows, counts, spans, items in _searched(batches, 1, blocks):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([r.column(0) for r in rows]),
+                    pa.array(counts, pa.int64()),
+                    pa.array([[{"first_word": a, "end_word": b} for a, b in x] for x in spans], _SPANS),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                ],
+                names=["id", "n_words", "spans", "items"],
+            )
 
-    return run
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, n_words long, spans array<struct<first_word: long, end_word: long>>, items array<string>")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,7 +260,20 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no window of the benchmark occurs, with all their columns."""
-    hit = contamination(docs, benchmark).where(F.size("spans") > 0).select(F.col("id").alias("_gone"))
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows in which no window of the benchmark occurs, with all their columns.
+
+    Each row is judged by its own text as it is read, so null and repeated ids, repeated rows
+    and columns of any name make no difference. Null and wordless texts stay; an empty
+    benchmark drops nothing, an empty table stays empty.
+    """
+    blocks, text_at = Blocks(benchmark, "item_id", "text", WINDOW), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, spans, _ in _searched(batches, text_at, blocks):
+            clean, at = pa.array([not x for x in spans]), 0
+            for part in rows:
+                yield part.filter(clean.slice(at, part.num_rows))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
