@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, slices
+from tessera.llm.common import as_bytes, parts_of
 
 #: Bounds of the training sample, in texts; the sample is drawn by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
@@ -28,6 +28,8 @@ POSITIVES, UNLABELLED = 4000, 16000
 LEAST_TEXTS, LEAST_SHARE, FEATURES = 4, 0.5, 2048
 #: Characters of the word beginnings that are features besides whole words.
 PREFIXES = range(3, 9)
+#: Bounds of the share of toxic text that the risk is corrected by.
+LEAST_PRIOR, MOST_PRIOR = 1e-3, 0.5
 EPOCHS, BATCH, RATE, L2 = 40, 512, 0.05, 1e-4
 #: Words whose features a worker remembers.
 KNOWN_WORDS = 300_000
@@ -85,19 +87,21 @@ def nonnegative_pu(pos: list[list[int]], unl: list[list[int]], n_features: int,
     rng = np.random.default_rng(seed)
 
     def dense(rows: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(rows), n_features), np.float32)
+        """Bytes of 0 and 1, made once: UNLABELLED + POSITIVES rows of FEATURES at most."""
+        out = np.zeros((len(rows), n_features), np.uint8)
         for i, r in enumerate(rows):
             out[i, r] = 1
         return out
 
+    all_pos, all_unl = dense(pos), dense(unl)
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     moment, square, t = np.zeros(n_features + 1), np.zeros(n_features + 1), 0
     half = BATCH // 2
     for _ in range(EPOCHS if pos and unl else 0):
         order = rng.permutation(len(unl))
         for lo in range(0, len(order), half):
-            u = dense([unl[i] for i in order[lo : lo + half]])
-            p = dense([pos[i] for i in rng.integers(0, len(pos), half)])
+            u = all_unl[order[lo : lo + half]].astype(np.float32)
+            p = all_pos[rng.integers(0, len(pos), half)].astype(np.float32)
             fp, fu = p @ w + b, u @ w + b
             sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
             as_negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
@@ -148,14 +152,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on at most POSITIVES texts with label 1 and UNLABELLED texts without regard to labels.
 
-    The prior is the share of label 1 among the labelled rows. Without positives every score
-    is the prior of one in a thousand.
+    The prior is the share of label 1 among the labelled rows, held between LEAST_PRIOR and
+    MOST_PRIOR: outside these the corrected risk has nothing to correct. Without positives every
+    score is LEAST_PRIOR.
     """
     counts = labelled.agg(
         F.count(label_col).alias("n"), F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("pos")
     ).first()
     n, n_pos, n_unl = counts["n"] or 0, counts["pos"] or 0, unlabelled.count()
-    prior = min(0.5, max(1e-3, n_pos / n)) if n else 1e-3
+    prior = min(MOST_PRIOR, max(LEAST_PRIOR, n_pos / n)) if n else LEAST_PRIOR
 
     def drawn(rows: DataFrame, have: int, bound: int, seed: int) -> DataFrame:
         share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
@@ -211,10 +216,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         model = held.value
         known = Features(model.vocabulary)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                rows = [known.of_words(words_of(t)) for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.scores(rows))], ["id", "score"])
+            for part in parts_of(batch, 1):
+                rows = [known.of_words(words_of(t)) for t in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(rows))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, score double")
