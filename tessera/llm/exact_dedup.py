@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
 from tessera.session import stored
 
 #: A chunk has at least MIN_CHUNK characters and ends behind a sentence mark or a vowel
@@ -106,16 +107,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns, whatever these are called.
 
-    Where the table repeats an id with an equal text, one of these rows stays. Texts move
+    Rows go by id and text: where the table repeats an id with an equal text, one of these rows
+    stays; rows with a null id group like others, and one of them stays only if no row of the
+    group has an id. Null and empty texts are one group; an empty table stays empty. Texts move
     once, for the join; repeated rows, if there are any, once more.
     """
     found = stored(exact_duplicates(docs, id_col, text_col), "exact")
-    kept = found.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_kept_sha"))
+    sha, keep, kept_sha = (unused(docs, c) for c in ("sha", "keep", "kept_sha"))
+    kept = found.where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(kept_sha))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(kept_sha))
     out = marked.join(kept, same, "left_semi")
     if not found.where("not kept and doc_id <=> keep_id").isEmpty():
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+        out = out.dropDuplicates([id_col, sha])
+    return out.drop(sha)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, slices
+from tessera.llm.common import as_bytes, parts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -270,27 +270,26 @@ def encoded(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataF
     """The rows with token_ids, n_tokens and round_trip behind their columns.
 
     round_trip says whether decoding gives the same text back, as it does unless the text
-    holds the mark itself. Null and empty texts have no tokens. Columns of these names are
-    replaced.
+    holds the mark itself. Null and empty texts have no tokens. Columns of these three names,
+    in any case of letters, are replaced; an empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip", "_text")]
-    rows = docs.select(*(docs[f"`{c}`"] for c in kept), docs[f"`{text_col}`"].alias("_text"))
+    kept = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens", "round_trip")]
+    rows, text_at = docs.select(*(docs[f"`{c}`"] for c in kept)), kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         coder = _coder(model)
         for batch in batches:
-            raw = as_bytes(batch.column(batch.num_columns - 1))
-            for lo, hi in slices([len(t or b"") for t in raw]):
-                flat, offsets = coder.encode([None if t is None else t.decode() for t in raw[lo:hi]])
+            for part in parts_of(batch, text_at):
+                raw = as_bytes(part.column(text_at))
+                flat, offsets = coder.encode([None if t is None else t.decode() for t in raw])
                 ends = offsets.tolist()
                 ids = flat.tolist()
-                same = [decoded(model, ids[a:b]) == (t or b"") for a, b, t in zip(ends, ends[1:], raw[lo:hi], strict=False)]
-                part = batch.slice(lo, hi - lo)
+                same = [decoded(model, ids[a:b]) == (t or b"") for a, b, t in zip(ends, ends[1:], raw, strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[:-1],
+                        *part.columns,
                         pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array(same, pa.bool_()),
@@ -298,7 +297,7 @@ def encoded(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataF
                     names=[*kept, "token_ids", "n_tokens", "round_trip"],
                 )
 
-    schema = T.StructType([*rows.schema.fields[:-1]])
+    schema = T.StructType([*rows.schema.fields])
     schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
     return rows.mapInArrow(run, schema)
 
