@@ -3,9 +3,13 @@
 import itertools
 import random
 import re
+import string
+import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as dc
@@ -49,6 +53,51 @@ def test_language_held_out_accuracy(spark, sf):
     assert right >= 0.95 * n
 
 
+def test_language_without_labels_is_undetermined(make_docs):
+    model = li.fit_on_documents(make_docs([(i, "some words here") for i in range(9)]).withColumn("lang", F.lit(None).cast("string")))
+    assert model.langs == []
+    got = li.identify(make_docs([(1, "some words"), (2, None), (3, "12")]), model).collect()
+    assert [(r["lang_pred"], r["score"], r["spans"]) for r in got] == [("und", 0.0, [])] * 3
+    kept = li.keep_identified(make_docs([(1, "some words"), (2, None), (3, "12"), (None, "ja")]), model)
+    assert sorted((r["text"] for r in kept.collect())) == ["ja", "some words"]
+
+
+def test_script_rules_languages_out(make_docs):
+    """One word of another script between others belongs to the only language of its script, whatever the switches cost."""
+    english = "the house and the river are near the old mill with water " * 5
+    russian = "дом стоит у старой реки и мельницы в тихом месте " * 5
+    train = make_docs([(i, english) for i in range(20)], "en").union(make_docs([(100 + i, russian) for i in range(20)], "ru"))
+    model = li.fit(train, "text", "lang", F.col("doc_id"))
+    got = li.identify(make_docs([(1, "the old mill щука near the river")]), model).first()
+    assert [(s["first_word"], s["end_word"], s["lang"]) for s in got["spans"]] == [(0, 3, "en"), (3, 4, "ru"), (4, 7, "en")]
+    scores = model.scores(["mill", "щука", "аbв"])
+    assert np.isneginf(scores).tolist() == [[False, True, True], [True, False, False]]
+
+
+def test_shards_give_the_same_whatever_their_size(monkeypatch):
+    """Documents of one task in many shards and blocks: what is found does not depend on either."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(12)]
+    items = [(str(i), " ".join(rng.choices(words, k=12)).encode()) for i in range(6)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) + " " + items[i % 6][1].decode() for i in range(40)]
+
+    class InMemory(list):
+        n = property(len)
+
+    def run(blocks):
+        batch = pa.RecordBatch.from_pydict({"text": texts})
+        out = [(n, s, sorted(x)) for _, counts, spans, found in dc._searched(iter([batch]), 0, InMemory(blocks)) for n, s, x in zip(counts, spans, found, strict=True)]
+        return out
+
+    whole = run([dc.Windows(items, 4)])
+    assert any(s for _, s, _ in whole)
+    for shard_bytes, slice_rows in ((1, 1), (700, 3)):
+        monkeypatch.setattr(dc, "SHARD_BYTES", shard_bytes)
+        monkeypatch.setattr(dc, "SHARD_WORDS", 50)
+        monkeypatch.setattr(dc, "parts_of", lambda batch, at, k=slice_rows: (batch.slice(i, k) for i in range(0, batch.num_rows, k)))
+        assert run([dc.Windows([x], 4) for x in items]) == whole
+
+
 def test_fm_index_finds_all():
     rng = np.random.default_rng(4)
     runs = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(40)] + [np.full(50, 2)] * 3
@@ -101,7 +150,7 @@ def test_contamination_against_brute_force(spark, make_docs, odd_texts, monkeypa
                     names |= owners
         want[i] = (len(w), len(hit), sorted(names))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (dc.BLOCK_BYTES, 900):  # in one pass, and in several
+    for block in (dc.BLOCK_BYTES, 900, 80):  # in one block, in several, and in over 50
         monkeypatch.setattr(dc, "BLOCK_BYTES", block)
         got = {r["id"]: (r["n_words"], sum(s["end_word"] - s["first_word"] for s in r["spans"]), r["items"]) for r in dc.contamination(make_docs(docs), bench).collect()}
         assert got == want
@@ -118,13 +167,13 @@ def test_nonnegative_pu_separates():
 
 
 def test_toxicity_held_out_and_odd(spark, sf, make_docs, odd_texts):
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit_on_documents(docs, labels)
-    rows = toxicity.score(docs, model).join(labels.withColumnRenamed("doc_id", "id"), "id").select("score", "toxic").toPandas()
+    rows = toxicity.score(docs, model).join(labels.withColumnRenamed("doc_id", "id"), "id").where(toxicity.held_out("id")).select("score", "toxic").toPandas()
     rank = rows["score"].rank()
     pos = rows["toxic"] == 1
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
-    assert auc > 0.8
+    assert auc > 0.9
     got = toxicity.score(make_docs(list(enumerate(odd_texts))), model).collect()
     assert len(got) == len(odd_texts) and all(0 <= r["score"] <= 1 for r in got)
     empty = toxicity.fit(docs.limit(0).join(labels, "doc_id"), docs.limit(0))
@@ -136,13 +185,13 @@ def test_quality_prefers_target_and_draws_k(spark, make_docs, odd_texts):
     rows = [(i, " ".join(rng.choice(["good", "fine", "clear"] if i < 50 else ["spam", "junk", "buy"]) for _ in range(30))) for i in range(100)]
     rows += [(200 + i, t) for i, t in enumerate(odd_texts)]
     docs = make_docs(rows)
-    got = {r["id"]: r for r in quality.resampled(docs, F.col("doc_id") < 25, 40).collect()}
+    got = {r["id"]: r for r in quality.resampled(docs, docs.where("doc_id < 25"), 40).collect()}
     assert sum(r["selected"] for r in got.values()) == 40
     assert min(got[i]["log_ratio"] for i in range(50)) > max(got[i]["log_ratio"] for i in range(50, 100))
     best = sorted(got.values(), key=lambda r: (-r["gumbel_key"], r["id"]))[:40]
     assert all(r["selected"] for r in best)
-    assert quality.resampled(make_docs([]), F.lit(True), 5).count() == 0
-    assert {r["selected"] for r in quality.resampled(docs, F.lit(False), 0).collect()} == {False}
+    assert quality.resampled(make_docs([]), make_docs([]), 5).count() == 0
+    assert {r["selected"] for r in quality.resampled(docs, make_docs([]), 0).collect()} == {False}
 
 
 def test_quality_draws_by_the_sum_of_ratios(spark, make_docs):
@@ -151,12 +200,59 @@ def test_quality_draws_by_the_sum_of_ratios(spark, make_docs):
     words = [f"word{i}" for i in range(40)]
     liked = {True: [1.2] * 20 + [0.8] * 20, False: [0.8] * 20 + [1.2] * 20}
     docs = make_docs([(i, " ".join(rng.choices(words, liked[i % 2 == 0], k=150))) for i in range(600)])
-    got = quality.resampled(docs, F.col("doc_id") % 4 == 0, 300).collect()  # a half of the good ones is labelled
+    got = quality.resampled(docs, docs.where("doc_id % 4 = 0"), 300).collect()  # a half of the good ones is labelled
     drawn = {k: np.mean([r["selected"] for r in got if r["id"] % 4 == k]) for k in range(4)}
     assert sum(r["selected"] for r in got) == 300
     assert min(drawn[0], drawn[2]) > 0.5 + 0.2 > 0.5 - 0.2 > max(drawn[1], drawn[3])
 
 
+def test_quality_ratios_and_keys_against_brute_force(spark, make_docs, odd_texts):
+    """Log ratios from counts of n-grams in plain Python, keys from the documented hash of seed and id."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["Alpha", "beta,", "gamma", "12", "été"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(odd_texts)]
+    top = 2**64
+
+    def grams(text):
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        hashes = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+        out = [h % quality.BUCKETS for h in hashes]
+        for a, b in itertools.pairwise(hashes):
+            h = (a * 0x9E3779B97F4A7C15 + b) % top
+            h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) % top
+            out.append((h >> 20) % quality.BUCKETS)
+        return out
+
+    def model(texts):
+        total = [quality.SMOOTHING / quality.BUCKETS] * quality.BUCKETS
+        for t in texts:
+            for g in grams(t):
+                total[g] += 1
+        return [np.log(x / sum(total)) for x in total]
+
+    good, raw = model([t for i, t in rows if i < 20]), model([t for _, t in rows])
+    docs = make_docs(rows)
+    got = {r["id"]: r for r in quality.resampled(docs, docs.where("doc_id < 20"), 30).collect()}
+    keys = {}
+    for i, t in rows:
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<q", i), seed=seed) >> 11) + 0.5) / 2**53
+        want = sum(good[g] - raw[g] for g in grams(t))
+        keys[i] = want - np.log(-np.log(u))
+        assert got[i]["log_ratio"] == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert got[i]["n_grams"] == len(grams(t))
+        assert got[i]["gumbel_key"] == pytest.approx(keys[i], rel=1e-9, abs=1e-9)
+    assert {i for i, r in got.items() if r["selected"]} == set(sorted(keys, key=lambda i: (-keys[i], i))[:30])
+
+
+def test_quality_one_is_drawn_more_than_quality_zero(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    drawn = quality.resampled(docs, docs.join(labels.where("quality = 1"), "doc_id", "left_semi"), docs.count() // 2)
+    shares = {r[0]: r[1] for r in drawn.join(labels.withColumnRenamed("doc_id", "id"), "id").groupBy("quality").agg(F.avg(F.col("selected").cast("int"))).collect()}
+    assert shares[1] > 0.6 > 0.4 > shares[0]
+
+
 def test_pieces_equal_the_library(spark, sf, make_docs, odd_texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [*odd_texts, "a  b\n\nc ", " x", "naïve café́ 😀", "12.5e-7 http://a.b/c?d=1", "x" * 3000]
@@ -201,12 +297,52 @@ def test_secret_spans_against_the_rules(make_docs, odd_texts):
 
 def test_secret_network_learns(make_docs):
     rng = random.Random(11)
-    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    rows = [(i, f"some words token={secret()} and more") for i in range(150)]
-    rows += [(200 + i, f"mail box{i}.example.com/page{i} or 4{rng.randint(10**14, 10**15)} here") for i in range(150)]
+    secret = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) + rng.choice(["", "", ",", "!"])
+    rows = [(i, f"{word()} {word()} token={secret()}{rng.choice([' ', '. ', '!'])}{word()}") for i in range(900)]
+    rows += [(1000 + i, f"{word()} box{i}.example.com/page{i} {word()} 4{rng.randint(10**14, 10**15)} {word()}") for i in range(450)]
+    rows += [(2000 + i, f"{word()} {secret()} {word()}") for i in range(150)]  # no rule names these, nor are they taken for clean
     net = secrets.fit(make_docs(rows))
-    assert net.threshold < 1
-    hidden = secrets.scan(make_docs([(1, "look: " + secret().upper()[:30] + secret()[:10]), (2, "see box7.example.com/page99")]), net)
-    got = {r["id"]: r["spans"] for r in hidden.collect()}
+    assert net.adds and net.threshold < 1
+    assert net.recall >= 0.95 and net.precision >= 0.9  # on the fold that nothing was fitted to
+    buried = "path.to.box7/" * 8 + secret()
+    texts = [(1, f"bearer {secret()} again"), (2, "see box7.example.com/page99"), (3, f"at {buried} end")]
+    got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(make_docs(texts), net).collect()}
+    assert got[1] == [("model", 7, 47)]
     assert got[2] == []
-    assert secrets.fit(make_docs([])).threshold > 1
+    assert got[3] == [("model", 3, 3 + len(buried))]  # behind the first window
+    assert not secrets.fit(make_docs([])).adds
+
+
+def test_secret_threshold_keeps_recall_on_findings_that_look_alike():
+    """On findings that nothing tells apart the threshold still recalls RECALL of the calibration fold, and the network adds nothing."""
+    rng = random.Random(15)
+    text = lambda: "".join(rng.choice("abcdefghij0123456789") for _ in range(30)).encode()
+    findings = [([w], [w], i % 10 == 0) for i in range(600) for w in secrets.windows(text(), 0, 30)]
+    rng.shuffle(findings)
+    net = secrets.trained(findings)
+    p = net.probabilities([f[1] for f in findings[::5] if f[2]])
+    assert (p >= net.threshold).mean() >= secrets.RECALL
+    assert not net.adds
+
+
+def test_secret_windows_cover_the_whole_candidate():
+    text = b"left of it: " + bytes(rng_bytes(500)) + b" right of it"
+    for n in (1, 47, 48, 49, 72, 73, 200, 500):
+        got = secrets.windows(text, 12, 12 + n)
+        assert {len(w) for w in got} == {secrets.WIDTH}
+        whole = secrets.BODY >= n or n - secrets.BODY
+        got = got[: 1 if whole is True else -(-whole // secrets.STEP) + 1]
+        bodies = [w[secrets.LEFT : secrets.LEFT + secrets.BODY].rstrip(b"\0") for w in got]
+        at, reached = 12, 12
+        for body in bodies:
+            at = text.index(body, at)
+            assert at <= reached
+            reached = max(reached, at + len(body))
+        assert reached == 12 + n
+    assert secrets.windows(text, 12, 300) != secrets.windows(text[:200] + b"x" + text[201:], 12, 300)
+
+
+def rng_bytes(n):
+    rng = random.Random(16)
+    return [rng.choice(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)]
