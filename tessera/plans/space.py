@@ -168,7 +168,8 @@ def topics_of(spark, sf_dir, **options) -> DataFrame:
 
 @query("c07_hierarchy")
 def c07(spark, sf_dir) -> DataFrame:
-    return topics_of(spark, sf_dir).select("record_id", "cluster_id", "is_noise")
+    """Of vectors reduced first."""
+    return topics_of(spark, sf_dir, dims=25).select("record_id", "cluster_id", "is_noise")
 
 
 @query("c08_probabilities")
@@ -178,7 +179,8 @@ def c08(spark, sf_dir) -> DataFrame:
 
 @query("c09_outlier_scores")
 def c09(spark, sf_dir) -> DataFrame:
-    return topics_of(spark, sf_dir, epsilon=0.09).select("record_id", "outlier_score", "is_noise")
+    """Over approximate neighbours."""
+    return topics_of(spark, sf_dir, search=vx.approximate_neighbours).select("record_id", F.round("outlier_score", 6).alias("outlier_score"), "is_noise")
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -198,12 +200,12 @@ def c10(spark, sf_dir) -> DataFrame:
 @query("c12_focus_recluster")
 def c12(spark, sf_dir) -> DataFrame:
     focus = planted(spark, sf_dir).join(_labelled(spark, sf_dir).where("cluster_id = 3").select("id"), "id", "left_semi")
-    return cl.clustered(focus, epsilon=0.09, min_cluster_size=5, min_samples=3).select("record_id", "cluster_id", F.lit(3).alias("parent_cluster"))
+    return cl.clustered(focus, min_cluster_size=5, min_samples=3).select("record_id", "cluster_id", F.lit(3).alias("parent_cluster"))
 
 
 @query("c14_layout")
 def c14(spark, sf_dir) -> DataFrame:
-    return cl.layout(planted(spark, sf_dir), steps=3).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return cl.layout(planted(spark, sf_dir), search=vx.approximate_neighbours).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("m06_chunk_analysis")

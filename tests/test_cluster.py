@@ -49,6 +49,95 @@ def test_approximate_recall(planted):
     assert exact.intersect(found).count() >= 0.9 * exact.count()
 
 
+def test_approximate_recall_at_15_on_the_table(spark):
+    """As registered: over all rows of the table, against the exact search."""
+    rows = registry.queries()
+    got = rows["c03_approximate_neighbours"](spark, "/root/testdata/sf0.1").select("id", "neighbour")
+    exact = rows["c02_exact_neighbours"](spark, "/root/testdata/sf0.1").select("id", "neighbour")
+    assert got.groupBy("id").count().where("count = 15").count() == 2000
+    assert exact.intersect(got).count() >= 0.9 * exact.count()
+
+
+def test_approximate_finds_k_for_rows_alone_in_their_cells(spark, planted):
+    rng = np.random.default_rng(3)
+    far = [(1000 + i, 9, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.standard_normal((6, 16)))]
+    rows = planted.union(spark.createDataFrame(far, planted.schema)).select("id", "vector")
+    got = vx.approximate_neighbours(rows, 12, probes=1, cells=60).groupBy("id").count()
+    assert got.count() == 206 and got.where("count <> 12").isEmpty()
+    assert vx.approximate_neighbours(rows.limit(0), 3).count() == 0
+
+
+def brute_selected(rows, method, allow_single):
+    """Walks the tree of components with dictionaries: {id: (cluster's first component or None, lam, deep)}."""
+    parts = {}
+    for r in rows:
+        parts.setdefault((r["level"], r["part"]), (r["lam"], set()))[1].add(r["id"])
+    holder = {(level, i): part for (level, part), (_, ids) in parts.items() for i in ids}
+    parent = {at: (at[0] - 1, holder[(at[0] - 1, at[1])]) if at[0] else None for at in parts}
+    kids = {}
+    for at, up in parent.items():
+        kids.setdefault(up, []).append(at)
+    node, members = {}, {}
+    for at in sorted(parts):
+        up = parent[at]
+        node[at] = node[up] if up is not None and len(kids[up]) == 1 else at
+        members.setdefault(node[at], []).append(at)
+    own = {n: sum(len(parts[at][1]) * (parts[at][0] - (parts[parent[at]][0] if parent[at] else 0)) for at in ats) for n, ats in members.items()}
+    above = {n: node[parent[n]] if parent[n] else None for n in members}
+    below = {n: [m for m in members if above[m] == n] for n in members}
+    roots = [n for n in members if above[n] is None]
+    best, take, deep = {}, {}, {}
+    for n in sorted(members, reverse=True):
+        rest = sum(best[m] for m in below[n])
+        whole = above[n] is None and len(roots) == 1 and not allow_single and below[n]
+        take[n] = not below[n] if method == "leaf" else own[n] >= rest and not whole
+        best[n] = own[n] if take[n] else rest
+        deep[n] = max([parts[at][0] for at in members[n]] + [deep[m] for m in below[n]])
+    top = {}
+    for n in sorted(members):
+        top[n] = (top[above[n]] if above[n] is not None else None) or (n if take[n] else None)
+    out = {}
+    for level, part in sorted(parts):
+        for i in parts[(level, part)][1]:
+            n = node[(level, part)]
+            out[i] = (top[n], parts[(level, part)][0], deep[n])
+    return out
+
+
+@pytest.mark.parametrize(("method", "allow_single"), [("eom", False), ("eom", True), ("leaf", False)])
+def test_selection_against_brute_force(spark, method, allow_single):
+    """Groups within groups, of unlike density: nodes that split twice, rows that fall out early, and several births."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, spread in enumerate((0.02, 0.03, 0.02, 0.08, 0.05, 0.02)):
+        center = np.array([g // 2 * 3.0, 1.0 + g % 2 * 0.45, 1.0])
+        rows += [center + rng.normal(0, spread, 3) for _ in range(40)]
+    rows += list(rng.normal(0, 2, (20, 3)))
+    data = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rows)], "id long, vector array<double>")
+    forest = stored(cl.spanning_forest(cl.reachability(stored(vx.exact_neighbours(data, 10), "near"), 4)), "forest")
+    tree = cl.hierarchy(data.select("id"), forest, 8, 12)
+    got = {r["id"]: (r["cluster"] and tuple(r["cluster"]), r["lam"], r["deep"]) for r in cl.selected(tree, method, allow_single).collect()}
+    want = brute_selected(tree.collect(), method, allow_single)
+    assert len({c for c, _, _ in want.values()}) > 2
+    assert got == want
+
+
+def test_outlier_scores_say_more_than_noise(spark):
+    """Members of dense cores have less of it than those at the rim; noise that was in a group has less than 1."""
+    found = registry.queries()["c09_outlier_scores"](spark, "/root/testdata/sf0.01").collect()
+    scores = [r["outlier_score"] for r in found]
+    assert len(found) == 500 and all(0 <= x <= 1 for x in scores) and len(set(scores)) > 5
+
+
+def test_rounds_that_do_not_settle_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "a long, b long, w double")
+    nodes = spark.range(41).select("id")
+    with pytest.raises(RuntimeError):
+        cl.components(nodes, chain, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        cl.spanning_forest(chain, max_rounds=1)
+
+
 def test_forest_has_least_weight(planted):
     edges = stored(cl.reachability(stored(vx.exact_neighbours(planted, 8), "near"), 4), "reach")
     got = cl.spanning_forest(edges).collect()
@@ -108,6 +197,13 @@ def test_registered_topics_on_2000_planted_rows(spark, monkeypatch, name):
 def test_layout(spark, planted):
     got = cl.layout(planted.select("id", "vector"), steps=2).collect()
     assert len(got) == 200 and np.isfinite([[r["x"], r["y"]] for r in got]).all()
+    xy = {r["id"]: np.array([r["x"], r["y"]]) for r in got}
+    means = [np.mean([xy[i] for i in range(t, 200, 4)], axis=0) for t in range(4)]
+    nearest = [min(range(4), key=lambda t: np.linalg.norm(xy[i] - means[t])) for i in range(200)]  # noqa: B023
+    assert np.mean([nearest[i] == i % 4 for i in range(200)]) >= 0.9
+    # equal vectors are pushed apart
+    same = cl.layout(spark.createDataFrame([(i, [1.0, 0.0, 0.0]) for i in range(30)] + [(99, [0.0, 1.0, 0.0])], "id long, vector array<double>"), steps=3).collect()
+    assert len({(round(r["x"], 3), round(r["y"], 3)) for r in same}) > 25
     two = planted.where("id < 2").select("id", "vector")
     assert sorted((r["x"], r["y"]) for r in cl.layout(two).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
     assert [(r["x"], r["y"]) for r in cl.layout(two.limit(1)).collect()] == [(0.0, 0.0)]
