@@ -8,6 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DAY = 86_400_000_000  # microseconds
+
+
+def utc_day(ts: Column) -> Column:
+    """The date of an instant in UTC; a cast to date would take the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts.cast("timestamp")) / _DAY).cast("int"))
+
+
+def utc_time(ts: Column) -> Column:
+    """ISO text of an instant in UTC, with milliseconds only where there are any microseconds."""
+    micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(_DAY))
+    part = lambda size, of: F.floor(micros / size).cast("long") % of
+    clock = (utc_day(ts).cast("string"), part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60))
+    whole = F.format_string("%sT%02d:%02d:%02dZ", *clock)
+    broken = F.format_string("%sT%02d:%02d:%02d.%03dZ", *clock, part(1000, 1000))
+    return F.when(micros % 1_000_000 == 0, whole).when(ts.isNotNull(), broken)
+
 #: Words that say nothing as a label on their own.
 GENERIC_WORDS = [
     "customer", "customers", "feedback", "general", "issue", "issues", "misc", "miscellaneous", "other", "request",

@@ -6,10 +6,8 @@ inside mapInPandas, and only with texts that the cache does not have.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,38 +18,6 @@ from tessera.session import stored
 JUNK_TYPES = ["none", "ooo", "vendor_pitch", "newsletter", "platform_notification", "other_non_support"]
 
 
-class MockEmbedder:
-    """Unit vectors drawn from a generator seeded by the text's SHA-256."""
-
-    model = "mock"
-
-    def __init__(self, dims: int = 16):
-        self.dims = dims
-
-    def run(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
-            v = np.random.default_rng(seed).standard_normal(self.dims)
-            out.append((v / np.linalg.norm(v)).tolist())
-        return out
-
-
-class KeywordSummariser:
-    """Scripted summaries for tests: the first words, and junk by keyword; texts with ``fail`` fail."""
-
-    model = "keyword"
-
-    def run(self, texts: list[str]) -> list[dict]:
-        out = []
-        for text in texts:
-            if "fail" in text:
-                raise RuntimeError("scripted failure")
-            junk = "newsletter" if "unsubscribe" in text.lower() else "none"
-            out.append({"issue": " ".join(text.split()[:8]) or "nothing", "junk_type": junk})
-        return out
-
-
 def misses(texts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct texts whose keys the cache does not have."""
     return texts.dropDuplicates(keys).join(cache.select(*keys).distinct(), keys, "left_anti")
@@ -131,15 +97,6 @@ def label_targets(representatives: DataFrame, records: DataFrame, summaries: Dat
     )
 
 
-class KeywordLabeller:
-    """Scripted labels for tests: the most frequent long word of the texts."""
-
-    def run(self, texts: list[str]) -> dict:
-        words = [w for t in texts for w in t.lower().split() if len(w) > 4]
-        top = max(sorted(set(words)), key=words.count) if words else "empty"
-        return {"label": f"about {top} texts", "coherent": bool(words)}
-
-
 def labelled(targets: DataFrame, provider) -> DataFrame:
     """cluster_id, label, coherent, error: one call for each topic; one failure is one topic's."""
     held = targets.sparkSession.sparkContext.broadcast(provider)

@@ -72,22 +72,21 @@ def applied(history: DataFrame, diff: DataFrame, dataset: str, import_id: str, e
 def admission(request: DataFrame, imports: DataFrame) -> DataFrame:
     """request rows with verdict: no-op for the same export again, rejected for other bytes under its id or an older export, else apply.
 
-    imports: dataset, export_id, digest, exported_at, source_id of earlier imports.
+    imports: dataset, export_id, digest, exported_at, source_id of earlier imports. An export
+    that is recorded more than once is the same again if any of its records has the digest.
     """
-    earlier = imports.groupBy("dataset").agg(
-        F.max("exported_at").alias("_latest"),
-        F.max_by("source_id", "exported_at").alias("_source"),
-        F.map_from_entries(F.collect_list(F.struct("export_id", "digest"))).alias("_digests"),
-    )
-    known = F.try_element_at("_digests", F.col("export_id"))
+    earlier = imports.groupBy("dataset").agg(F.max("exported_at").alias("_latest"), F.max_by("source_id", "exported_at").alias("_source"))
+    wanted = request.select("dataset", "export_id", F.col("digest").alias("_wanted")).distinct()
+    known = imports.join(wanted, ["dataset", "export_id"]).groupBy("dataset", "export_id", "_wanted").agg(F.max(F.col("digest") == F.col("_wanted")).alias("_same"))
     verdict = (
-        F.when(known == F.col("digest"), "no-op")
-        .when(known.isNotNull(), "rejected: other content under this export id")
+        F.when(F.col("_same"), "no-op")
+        .when(F.col("_same").isNotNull(), "rejected: other content under this export id")
         .when(F.col("source_id") != F.col("_source"), "rejected: another source")
         .when(F.col("exported_at") <= F.col("_latest"), "rejected: not newer")
         .otherwise("apply")
     )
-    return request.join(earlier, "dataset", "left").withColumn("verdict", verdict).drop("_latest", "_source", "_digests")
+    rows = request.join(earlier, "dataset", "left").withColumn("_wanted", F.col("digest")).join(known, ["dataset", "export_id", "_wanted"], "left")
+    return rows.withColumn("verdict", verdict).select(*request.columns, "verdict")
 
 
 def chunk_records(chunks: DataFrame) -> DataFrame:

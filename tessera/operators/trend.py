@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import utc_day
+
 #: Buckets that a baseline looks back, and the first series position that can spike.
 BASELINE, FIRST_SPIKE = 8, 3
 #: Records in the window that make a topic new, and mean count that makes one missed.
@@ -16,8 +18,8 @@ NEW_COUNT, VANISHED_MEAN = 5, 1.0
 
 
 def bucket_start(ts: Column, unit: str) -> Column:
-    """First day of the UTC day, ISO week or month."""
-    return F.date_trunc(unit, ts).cast("date")
+    """First day of the UTC day, ISO week or month, whatever the session's time zone."""
+    return F.trunc(utc_day(ts), unit) if unit != "day" else utc_day(ts)
 
 
 def topic_rows(members: DataFrame) -> DataFrame:

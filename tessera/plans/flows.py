@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import ingest, providers
+from tessera.operators import ingest
 from tessera.operators import topics as tp
 from tessera.operators import trend
+from tessera.plans import scripted
 from tessera.plans.book import query
 from tessera.plans.fixture import RECORDS, members, records, with_ctes
 from tessera.plans.intake import VECTORS, _BAD, json_lines
@@ -44,12 +45,12 @@ def s06(spark, sf_dir) -> DataFrame:
     return sinks.read_latest(spark, path)
 
 
-@query("s07_audit", with_ctes(BASE, select="SELECT 'sizes' AS recipe, '{\"top_k\":\"5\"}' AS params, 5 AS rows"))
+@query("s07_audit", with_ctes(BASE, select="SELECT 'sizes' AS recipe, '{\"top_k\":\"5\"}' AS params, cluster_id, n FROM (SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS n FROM members GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 5)"))
 def s07(spark, sf_dir) -> DataFrame:
     path = fresh_path(spark, "audit")
     top = members(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id").limit(5)
     sinks.audit(top, path, "sizes", {"top_k": "5"})
-    return spark.read.parquet(path).select("recipe", "params", F.size(F.from_json("result", "array<struct<cluster_id: long, n: long>>")).alias("rows"))
+    return spark.read.parquet(path).select("recipe", "params", F.inline(F.from_json("result", "array<struct<cluster_id: long, n: long>>")))
 
 
 @query("s08_artifact", with_ctes(BASE, BEST, select="SELECT (SELECT count(DISTINCT cluster_id) FROM members WHERE NOT is_noise) AS topics, count(*) AS rows FROM records"))
@@ -59,7 +60,7 @@ def s08(spark, sf_dir) -> DataFrame:
     return spark.read.json(f"{path}/topics").agg(F.count(F.lit(1)).alias("topics")).crossJoin(spark.read.json(f"{path}/data").agg(F.count(F.lit(1)).alias("rows")))
 
 
-@query("k01_stream_ingest", with_ctes(RECORDS, select=f"SELECT count(*) AS n FROM ({_BAD}) WHERE len(bad) = 0"))
+@query("k01_stream_ingest", with_ctes(RECORDS, select=f"SELECT r.record_id AS record_key, sha256(trim(customer_text, ' ')) AS text_hash, source_type FROM records r JOIN ({_BAD}) b ON b.record_id = r.record_id WHERE len(bad) = 0"))
 def k01(spark, sf_dir) -> DataFrame:
     lines, out, check = (fresh_path(spark, x) for x in ("lines", "upserts", "check"))
     json_lines(spark, sf_dir).select("value").repartition(2).write.text(lines)
@@ -77,7 +78,7 @@ def k01(spark, sf_dir) -> DataFrame:
 
     stream = spark.readStream.option("maxFilesPerTrigger", 1).text(lines)
     twins.upsert_stream(stream, current, write, check).awaitTermination()
-    return current().agg(F.count(F.lit(1)).alias("n"))
+    return current().select("record_key", F.sha2("customer_text", 256).alias("text_hash"), "source_type")
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
@@ -107,10 +108,10 @@ def k03(spark, sf_dir) -> DataFrame:
     return found.select("text_hash")
 
 
-@query("k04_stream_embed", "SELECT count(DISTINCT event_type || ' ' || user_id) AS vectors FROM events")
+@query("k04_stream_embed", "SELECT DISTINCT sha256(event_type || ' ' || user_id) AS text_hash, 8 AS dims FROM events")
 def k04(spark, sf_dir) -> DataFrame:
     rows = _event_stream(spark, sf_dir).select(F.col("event_id").alias("record_id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("text"))
     cache = fresh_path(spark, "vectors")
     spark.createDataFrame([], VECTORS).write.parquet(f"{cache}/batch=none")
-    twins.embed_stream(rows, "text", cache, VECTORS, providers.MockEmbedder(8), fresh_path(spark, "check")).awaitTermination()
-    return spark.read.schema(VECTORS).option("recursiveFileLookup", "true").parquet(cache).agg(F.count(F.lit(1)).alias("vectors"))
+    twins.embed_stream(rows, "text", cache, VECTORS, scripted.SeededEmbedder(8), fresh_path(spark, "check")).awaitTermination()
+    return spark.read.schema(VECTORS).option("recursiveFileLookup", "true").parquet(cache).select("text_hash", F.size("vector").alias("dims"))

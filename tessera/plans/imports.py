@@ -181,11 +181,12 @@ def b04(spark, sf_dir) -> DataFrame:
     return sn.checked_chunks(c, index)
 
 
-@query("b05_document_checks", "SELECT l_orderkey AS path, CASE WHEN count(DISTINCT l_linenumber) < count(*) THEN 'sequence repeats' WHEN min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) THEN 'sequences' END AS problem FROM lineitem WHERE l_quantity < 45 GROUP BY l_orderkey")
+@query("b05_document_checks", "SELECT path, CASE WHEN count(DISTINCT seq) < count(*) THEN 'sequence repeats' WHEN min(seq) <> 0 OR max(seq) <> count(*) - 1 THEN 'sequences' END AS problem FROM (SELECT l_orderkey AS path, l_linenumber - 1 + CASE WHEN l_quantity >= 45 THEN 1 ELSE 0 END AS seq FROM lineitem) GROUP BY path")
 def b05(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity < 45")
+    """Lines of great quantity are one place too far."""
+    rows = table(spark, sf_dir, "lineitem")
     n = rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("total_chunks"))
-    lines = rows.join(n, "l_orderkey").select(F.lit("c").alias("collection"), F.col("l_orderkey").alias("path"), (F.col("l_linenumber") - 1).alias("sequence"), F.lit("d").alias("document"), F.lit("t").alias("title"), "total_chunks")
+    lines = rows.join(n, "l_orderkey").select(F.lit("c").alias("collection"), F.col("l_orderkey").alias("path"), (F.col("l_linenumber") - 1 + (F.col("l_quantity") >= 45).cast("int")).alias("sequence"), F.lit("d").alias("document"), F.lit("t").alias("title"), "total_chunks")
     return sn.checked_documents(lines).select("path", "problem")
 
 
@@ -212,7 +213,7 @@ def _index(spark, sf_dir):
     return d, content, pieces, vectors, collections
 
 
-def _population(spark, sf_dir) -> DataFrame:
+def population(spark, sf_dir) -> DataFrame:
     d, content, pieces, vectors, collections = _index(spark, sf_dir)
     return ck.population(d, content, pieces, vectors, collections)
 
@@ -222,11 +223,11 @@ _POP = f"WITH {INDEX} "
 
 @query("m01_population", _POP + "SELECT hash, seq, pos, chunk_len FROM pop")
 def m01(spark, sf_dir) -> DataFrame:
-    return _population(spark, sf_dir).select("hash", *(F.col(c).cast("long").alias(c) for c in ("seq", "pos", "chunk_len")))
+    return population(spark, sf_dir).select("hash", *(F.col(c).cast("long").alias(c) for c in ("seq", "pos", "chunk_len")))
 
 
 query("s03_chunk_index_source", _POP + "SELECT hash, seq, concat(hash, '_', seq) AS hash_seq FROM pop")(
-    lambda spark, sf_dir: _population(spark, sf_dir).select("hash", F.col("seq").cast("long").alias("seq"), "hash_seq")
+    lambda spark, sf_dir: population(spark, sf_dir).select("hash", F.col("seq").cast("long").alias("seq"), "hash_seq")
 )
 
 
@@ -238,7 +239,7 @@ def f09(spark, sf_dir) -> DataFrame:
 
 @query("j10_layered_joins", _POP + "SELECT hash, count(*) AS chunks, count(DISTINCT doc) AS docs FROM pop GROUP BY hash")
 def j10(spark, sf_dir) -> DataFrame:
-    return _population(spark, sf_dir).groupBy("hash").agg(F.count("hash_seq").alias("chunks"), F.countDistinct("doc").alias("docs"))
+    return population(spark, sf_dir).groupBy("hash").agg(F.count("hash_seq").alias("chunks"), F.countDistinct("doc").alias("docs"))
 
 
 @query("m02_completeness", _POP + "SELECT hash, CASE WHEN substring(hash, 1, 1) = 'a' AND max(total_chunks) > 1 THEN 'sequences' ELSE 'no vector' END AS problem FROM pop WHERE (substring(hash, 1, 1) = 'a' AND total_chunks > 1) OR substring(hash, 1, 1) = 'b' GROUP BY hash")
@@ -248,23 +249,27 @@ def m02(spark, sf_dir) -> DataFrame:
     return ck.incomplete(ck.population(d, content, pieces, vectors.where("hash_seq not like 'b%'"), collections))
 
 
-@query("m03_vector_checks", _POP + "SELECT CAST(1 AS BIGINT) AS dims, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS zero")
+@query("m03_vector_checks", _POP + "SELECT count(DISTINCT CASE WHEN hash LIKE 'e%' THEN 3 ELSE 2 END) AS dims, count(*) FILTER (hash LIKE 'c%') AS not_finite, count(*) FILTER (hash LIKE 'd%') AS zero FROM pop")
 def m03(spark, sf_dir) -> DataFrame:
-    return ck.vector_problems(_population(spark, sf_dir))
+    """Vectors of some hashes are broken in one way each."""
+    d, content, pieces, vectors, collections = _index(spark, sf_dir)
+    broken = F.when(F.col("hash_seq").startswith("c"), F.array(F.lit(float("nan")), F.lit(1.0))).when(F.col("hash_seq").startswith("d"), F.array(F.lit(0.0), F.lit(0.0)))
+    broken = F.coalesce(broken.when(F.col("hash_seq").startswith("e"), F.array(*map(F.lit, (1.0, 2.0, 3.0)))).cast("array<float>"), "embedding")
+    return ck.vector_problems(ck.population(d, content, pieces, vectors.withColumn("embedding", broken), collections))
 
 
 @query("m04_chunk_texts", _POP + "SELECT hash, seq, sha256(substring(doc, CAST(pos + 1 AS BIGINT), CAST(chunk_len AS BIGINT))) AS fingerprint FROM pop WHERE chunk_len > 0")
 def m04(spark, sf_dir) -> DataFrame:
-    return ck.texts(_population(spark, sf_dir)).where("chunk_len > 0").select("hash", F.col("seq").cast("long").alias("seq"), "fingerprint")
+    return ck.texts(population(spark, sf_dir)).where("chunk_len > 0").select("hash", F.col("seq").cast("long").alias("seq"), "fingerprint")
 
 
 @query("m05_text_duplicates", _POP + """, f AS (SELECT hash, seq, sha256(substring(doc, CAST(pos + 1 AS BIGINT), CAST(chunk_len AS BIGINT))) AS fingerprint FROM pop)
 SELECT fingerprint, hash, seq, first_value(hash) OVER w AS canonical_hash, first_value(seq) OVER w AS canonical_seq, count(*) OVER (PARTITION BY fingerprint) AS copies FROM f WINDOW w AS (PARTITION BY fingerprint ORDER BY hash, seq)""")
 def m05(spark, sf_dir) -> DataFrame:
-    found = ck.duplicates(ck.texts(_population(spark, sf_dir)))
+    found = ck.duplicates(ck.texts(population(spark, sf_dir)))
     return found.select("fingerprint", "hash", F.col("seq").cast("long").alias("seq"), "canonical_hash", F.col("canonical_seq").cast("long").alias("canonical_seq"), "copies")
 
 
 @query("a18_input_digest")
 def a18(spark, sf_dir) -> DataFrame:
-    return ck.input_digest(_population(spark, sf_dir))
+    return ck.input_digest(population(spark, sf_dir))

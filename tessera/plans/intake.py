@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions import vectors as vx
 from tessera.operators import ingest, ledger, providers
 from tessera.operators import topics as tp
+from tessera.plans import scripted
 from tessera.plans.book import query
 from tessera.plans.fixture import RECORDS, members, records, with_ctes
 from tessera.plans.records import BEST, LABELS_ALL, SUMMARY, some_labels, summary_of
@@ -205,17 +207,24 @@ VECTORS = "model string, dims int, text_hash string, vector array<float>"
 @query("e01_embed_reuse", "SELECT count(*) AS records, count(DISTINCT text) AS misses, 0 AS misses_again FROM documents")
 def e01(spark, sf_dir) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("record_id"), "text")
-    items, fresh = providers.embedded(d, F.col("text"), _cache(spark, VECTORS), providers.MockEmbedder())
-    _, again = providers.embedded(d, F.col("text"), fresh, providers.MockEmbedder())
+    items, fresh = providers.embedded(d, F.col("text"), _cache(spark, VECTORS), scripted.SeededEmbedder())
+    _, again = providers.embedded(d, F.col("text"), fresh, scripted.SeededEmbedder())
     one = items.agg(F.count(F.lit(1)).alias("records"))
     return one.crossJoin(fresh.agg(F.count(F.lit(1)).alias("misses"))).crossJoin(again.agg(F.count(F.lit(1)).cast("int").alias("misses_again")))
 
 
-@query("e02_mock_vectors")
+_AXIS = " + ".join(f"{16**i} * (instr('0123456789abcdef', substr(h, {3 - i}, 1)) - 1)" for i in range(3))
+HASHED = f"""w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM documents),
+s AS (SELECT doc_id, ({_AXIS}) % 16 AS axis, sum(CASE WHEN instr('0123456789abcdef', substr(h, 4, 1)) <= 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)"""
+
+
+@query("e02_hashed_vectors", with_ctes(HASHED, select="SELECT s.doc_id, CAST(axis AS BIGINT) AS axis, round(v / norm, 6) AS value FROM s JOIN n ON n.doc_id = s.doc_id WHERE v <> 0"))
 def e02(spark, sf_dir) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("record_id"), "text")
-    _, fresh = providers.embedded(d, F.col("text"), _cache(spark, VECTORS), providers.MockEmbedder(8))
-    return fresh.select("text_hash", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    v = vx.hashed(d.select(F.col("doc_id").alias("id"), "text"), 16)
+    rows = v.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("axis", "value")).where("value <> 0")
+    return rows.select("doc_id", F.col("axis").cast("long").alias("axis"), F.round("value", 6).alias("value"))
 
 
 @query("e03_summary_representation", with_ctes(RECORDS, SUMMARY, select="SELECT record_id, sha256(summary) AS text_hash FROM summary_of WHERE summary IS NOT NULL AND junk_type = 'none'"))
@@ -231,8 +240,8 @@ def e04(spark, sf_dir) -> DataFrame:
     text = F.concat("p_type", F.when(F.col("p_size") % 9 == 0, " fail").otherwise(""))
     rows = p.select(F.col("p_partkey").alias("record_id"), text.alias("text"))
     cache = _cache(spark, "model string, prompt_hash string, text_hash string, issue string, junk_type string")
-    _, fresh = providers.summarised(rows.where("record_id % 5 = 0"), F.col("text"), cache, providers.KeywordSummariser(), "p1")
-    items, _ = providers.summarised(rows, F.col("text"), fresh, providers.KeywordSummariser(), "p1")
+    _, fresh = providers.summarised(rows.where("record_id % 5 = 0"), F.col("text"), cache, scripted.KeywordSummariser(), "p1")
+    items, _ = providers.summarised(rows, F.col("text"), fresh, scripted.KeywordSummariser(), "p1")
     return items.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -247,9 +256,9 @@ def e05(spark, sf_dir) -> DataFrame:
     return providers.checked_summaries(rows).select("event_id", "error")
 
 
-@query("e06_label_targets", with_ctes(BASE, BEST, select="SELECT cluster_id, string_agg(b.record_id || '=' || substring(customer_text, 1, 20), '|' ORDER BY rank) AS texts FROM best b JOIN records r ON r.record_id = b.record_id WHERE rank <= 5 GROUP BY cluster_id"))
+@query("e06_label_targets", with_ctes(BASE, BEST, select="SELECT cluster_id, string_agg(b.record_id || '=' || customer_text, '|' ORDER BY rank) AS texts FROM best b JOIN records r ON r.record_id = b.record_id WHERE rank <= 5 GROUP BY cluster_id"))
 def e06(spark, sf_dir) -> DataFrame:
-    r = records(spark, sf_dir).withColumn("customer_text", F.concat("record_id", F.lit("="), F.substring("customer_text", 1, 20)))
+    r = records(spark, sf_dir).withColumn("customer_text", F.concat("record_id", F.lit("="), "customer_text"))
     return providers.label_targets(tp.representatives(members(spark, sf_dir), 20), r, None, 5).select("cluster_id", F.array_join("texts", "|").alias("texts"))
 
 
@@ -259,10 +268,14 @@ def e07(spark, sf_dir) -> DataFrame:
     return out.select("cluster_id", F.array_join("texts", "|").alias("texts"), "fallbacks")
 
 
-@query("e08_label_run")
+@query("e08_label_run", with_ctes(BASE, BEST, """t AS (SELECT b.cluster_id, customer_text FROM best b JOIN records r ON r.record_id = b.record_id WHERE rank <= 5),
+w AS (SELECT cluster_id, unnest(regexp_split_to_array(lower(customer_text), '\\s+')) AS w FROM t), c AS (SELECT cluster_id, w, count(*) AS n FROM w WHERE length(w) > 4 GROUP BY 1, 2),
+top AS (SELECT cluster_id, arg_min(w, (-n, w)) AS w FROM c GROUP BY 1), f AS (SELECT cluster_id, bool_or(customer_text = 'signup') AS failed FROM t GROUP BY 1)""",
+    select="SELECT f.cluster_id, CASE WHEN NOT failed THEN concat('about ', coalesce(w, 'empty'), ' texts') END AS label, CASE WHEN NOT failed THEN w IS NOT NULL END AS coherent, CASE WHEN failed THEN 'scripted failure' END AS error FROM f LEFT JOIN top ON top.cluster_id = f.cluster_id"))
 def e08(spark, sf_dir) -> DataFrame:
+    """A topic among whose texts is a bare ``signup`` fails, and only that topic."""
     targets = providers.label_targets(tp.representatives(members(spark, sf_dir), 20), records(spark, sf_dir), None, 5)
-    return providers.labelled(targets, providers.KeywordLabeller())
+    return providers.labelled(targets, scripted.KeywordLabeller("signup"))
 
 
 @query("e09_label_validation", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tags must be a list of strings' WHEN 1 THEN 'coherent must be true or false' WHEN 2 THEN 'label must be a non-empty string' END AS error FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vx
+from tessera.operators import chunks as ck
 from tessera.operators import cluster as cl
 from tessera.operators import quality
 from tessera.operators import snapshot as sn
@@ -13,6 +14,7 @@ from tessera.operators import topics as tp
 from tessera.operators import trend
 from tessera.plans.book import query
 from tessera.plans.fixture import LABELS, labels_of, members, records, with_ctes
+from tessera.plans.imports import population
 from tessera.plans.records import BEST
 from tessera.plans.trends import BASE, LATEST, MIX, mixes, points_sql
 from tessera.session import stored, table
@@ -210,10 +212,19 @@ def c14(spark, sf_dir) -> DataFrame:
 
 @query("m06_chunk_analysis")
 def m06(spark, sf_dir) -> DataFrame:
-    found = stored(topics_of(spark, sf_dir, epsilon=0.09), "topics")
+    """The population's distinct texts, their words as vectors, clustered and laid out; copies follow their canonical chunk."""
+    rows = stored(ck.texts(population(spark, sf_dir)).where("chunk_len > 0").select("hash", "seq", "text", "fingerprint"), "chunks")
+    copies = ck.duplicates(rows)
+    first = (F.col("hash") == F.col("canonical_hash")) & (F.col("seq") == F.col("canonical_seq"))
+    name = F.concat_ws("_", "canonical_hash", F.col("canonical_seq").cast("string")).alias("record_id")
+    own = rows.join(copies.where(first).select("hash", "seq", name), ["hash", "seq"])
+    vectors = stored(vx.hashed(own, 32, "record_id"), "chunk-vectors")
+    found = stored(cl.clustered(vectors, search=vx.approximate_neighbours), "topics")
+    places = cl.layout(vectors, search=vx.approximate_neighbours).withColumnRenamed("id", "record_id")
     named = found.select(F.col("record_id").alias("id"), "cluster_id", "probability")
-    ranks = cl.central(named, planted(spark, sf_dir).select("id", "vector"), 50).select(F.col("id").alias("record_id"), "rank")
-    return found.join(ranks, "record_id", "left").select("record_id", "cluster_id", "is_noise", "rank")
+    ranks = cl.central(named, vectors, 50).select(F.col("id").alias("record_id"), "rank")
+    made = found.join(ranks, "record_id", "left").join(places, "record_id")
+    return copies.select("hash", "seq", name).join(made, "record_id").select("hash", "seq", "record_id", "cluster_id", "is_noise", "rank", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 TRUTH = "m AS (SELECT vec_id, label AS truth, CASE WHEN vec_id % 7 = 0 THEN -1 WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS cluster_id FROM embeddings), t AS (SELECT truth, cluster_id, CAST(count(*) AS DOUBLE) AS n FROM m WHERE cluster_id <> -1 GROUP BY 1, 2), a AS (SELECT truth, sum(n) AS n FROM t GROUP BY 1), b AS (SELECT cluster_id, sum(n) AS n FROM t GROUP BY 1), s AS (SELECT sum(n) AS n FROM t)"

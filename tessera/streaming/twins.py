@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.text import utc_day
 from tessera.operators import ingest, providers
 
 #: Epoch days are counted from a Thursday; weeks that begin on Monday start four days on.
@@ -33,7 +34,7 @@ def bucket_counts(members: DataFrame, unit: str, delay: str) -> DataFrame:
     """bucket, cluster_id, count: tumbling counts; rows later than the delay are dropped. Noise has its own rows."""
     window = F.window("ts", _SIZES[unit], _SIZES[unit], _STARTS[unit])
     counted = members.withWatermark("ts", delay).groupBy(window.alias("w"), "cluster_id").agg(F.count(F.lit(1)).alias("count"))
-    return counted.select(F.col("w.start").cast("date").alias("bucket"), "cluster_id", "count")
+    return counted.select(utc_day(F.col("w.start")).alias("bucket"), "cluster_id", "count")
 
 
 def distinct_texts(records: DataFrame, delay: str) -> DataFrame:

@@ -8,7 +8,7 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators import cluster as cl
 from tessera.operators import providers, quality
-from tessera.plans import registry
+from tessera.plans import registry, scripted
 from tessera.session import stored, table
 
 
@@ -212,18 +212,19 @@ def test_layout(spark, planted):
 def test_embedding_reuse(spark):
     rows = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one")], "record_id string, text string")
     cache = spark.createDataFrame([], "model string, dims int, text_hash string, vector array<float>")
-    items, fresh = providers.embedded(rows, F.col("text"), cache, providers.MockEmbedder(4))
+    items, fresh = providers.embedded(rows, F.col("text"), cache, scripted.SeededEmbedder(4))
     assert fresh.count() == 2 and {r["status"] for r in items.collect()} == {"embedded"}
     more = rows.union(spark.createDataFrame([("d", "three")], rows.schema))
-    items, again = providers.embedded(more, F.col("text"), fresh, providers.MockEmbedder(4))
+    items, again = providers.embedded(more, F.col("text"), fresh, scripted.SeededEmbedder(4))
     assert again.count() == 1 and items.where("status = 'reused'").count() == 3
 
 
 def test_text_goldens(spark):
-    row = spark.createDataFrame([("Great gummies", "They arrived melted", ["shipping", "melting"])], "title string, text string, tags array<string>")
-    fields = {"title": F.col("title"), "customerText": F.col("text"), "tags": tx.joined(F.col("tags"))}
-    assert row.select(tx.rendered_fields(fields)).first()[0] == "title: Great gummies\ncustomerText: They arrived melted\ntags: shipping, melting"
-    assert row.select(tx.rendered_template("{title} :: {missing} :: {tags}", fields)).first()[0] == "Great gummies ::  :: shipping, melting"
+    """Nulls and empty lists leave no line, lists are joined, and a template's unknown names are empty."""
+    row = spark.createDataFrame([("Kettle", "It whistles at night", ["kitchen", "noise"], None)], "title string, text string, tags array<string>, color string")
+    fields = {"name": F.col("title"), "body": F.col("text"), "color": F.col("color"), "tags": tx.joined(F.col("tags"))}
+    assert row.select(tx.rendered_fields(fields)).first()[0] == "name: Kettle\nbody: It whistles at night\ntags: kitchen, noise"
+    assert row.select(tx.rendered_template("<{name}> {nothing}/{tags}", fields)).first()[0] == "<Kettle> /kitchen, noise"
 
 
 def test_utf16_slices(spark):

@@ -3,8 +3,9 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import trend
+from tessera.operators import ingest, trend
 
 MEMBERS = "cluster_id long, is_noise boolean, ts timestamp"
 
@@ -48,3 +49,22 @@ def test_no_rows(spark):
 def test_empty_window_has_no_sections(spark):
     w = trend.windowed(trend.points(weekly(spark, [5, 6]), "week"), "2030-01-01", "2030-02-01")
     assert w.count() == 0 and trend.rising(w).count() == 0
+
+
+def test_utc_whatever_the_session_says(spark):
+    """Buckets, parsed and printed times of an instant that New York has on another day."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([("2024-01-02T02:00:00Z",), ("2024-01-02T02:00",), ("20240102",), ("2024-01-01T23:59:59.999999Z",), ("2024-07-01T05:06:07.250+05:00",)], "t string")
+        ts = ingest.parsed_timestamp(F.col("t"))
+        week, month, day = (trend.bucket_start(ts, unit).cast("string") for unit in ("week", "month", "day"))
+        got = rows.select(day, week, month, ingest.timestamp_text(ts), F.unix_millis(ts)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [tuple(r) for r in got] == [
+        ("2024-01-02", "2024-01-01", "2024-01-01", "2024-01-02T02:00:00Z", 1704160800000),
+        ("2024-01-02", "2024-01-01", "2024-01-01", "2024-01-02T02:00:00Z", 1704160800000),
+        ("2024-01-02", "2024-01-01", "2024-01-01", "2024-01-02T00:00:00Z", 1704153600000),
+        ("2024-01-01", "2024-01-01", "2024-01-01", "2024-01-01T23:59:59.999Z", 1704153599999),
+        ("2024-07-01", "2024-07-01", "2024-07-01", "2024-07-01T00:06:07.250Z", 1719792367250),
+    ]
