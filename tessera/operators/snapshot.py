@@ -155,8 +155,8 @@ def checked_manifests(manifests: DataFrame, schema: str = "chunk-bundle", versio
 
 
 def checked_files(files: DataFrame, declared: DataFrame) -> DataFrame:
-    """name, problem: files (binaryFile rows) against declared name, sha256 and bytes."""
-    got = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("_sha"), F.col("length").alias("_n"))
+    """name, problem: files against declared ones, both name, sha256, bytes; files that aren't declared are not looked at."""
+    got = files.select("name", F.col("sha256").alias("_sha"), F.col("bytes").alias("_n"))
     problem = (
         F.when(F.col("_sha").isNull(), "missing").when(F.col("_n") != F.col("bytes"), "bytes").when(F.col("_sha") != F.col("sha256"), "sha256")
     )

@@ -160,10 +160,15 @@ def s02(spark, sf_dir) -> DataFrame:
     return rows.select("external_id", "vector_id", F.col("vector").isNotNull().alias("has_vector"), F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first_value"))
 
 
-@query("b02_file_checksums", "SELECT 0 AS problems")
+@query("b02_file_checksums", "SELECT 'vectors.f32' AS file, CAST(sum(4 * len(embedding)) AS BIGINT) AS bytes, 0 AS problems FROM embeddings UNION ALL SELECT 'gone.ndjson', NULL, 1")
 def b02(spark, sf_dir) -> DataFrame:
+    """Of the raw vectors, and of a file that is declared and isn't there."""
     path = _written(spark, sf_dir)
-    return bundle.file_problems(spark, path).agg(F.count("problem").cast("int").alias("problems"))
+    sums = bundle.file_sums(spark, path)
+    gone = spark.range(1).select(F.lit("gone.ndjson").alias("name"), F.lit("00").alias("sha256"), F.lit(1).cast("long").alias("bytes"))
+    found = sn.checked_files(sums, sums.union(gone)).join(sums.select("name", "bytes"), "name", "left")
+    top = F.substring_index("name", "/", 1).alias("file")
+    return found.where("name like 'vectors.f32%' or name like 'gone%'").groupBy(top).agg(F.sum("bytes").alias("bytes"), F.count("problem").cast("int").alias("problems"))
 
 
 @query("b03_vector_index", "SELECT count(*) AS vectors, CAST(count(*) FILTER (same > 1) AS INT) AS problems, true AS contiguous FROM (SELECT count(*) OVER (PARTITION BY d.text) AS same FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)")

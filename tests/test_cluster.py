@@ -129,6 +129,17 @@ def test_outlier_scores_say_more_than_noise(spark):
     assert len(found) == 500 and all(0 <= x <= 1 for x in scores) and len(set(scores)) > 5
 
 
+def test_chunk_analysis_covers_the_population(spark, sf):
+    """Every chunk has its canonical chunk's topic and place, ranks are 1 to 50 at most, and copies agree."""
+    rows = stored(registry.queries()["m06_chunk_analysis"](spark, sf), "analysis")
+    chunks = registry.queries()["m04_chunk_texts"](spark, sf)
+    assert rows.count() == chunks.count() == rows.join(chunks, ["hash", "seq"]).count()
+    assert rows.where("x is null or y is null or is_noise <> (cluster_id = -1) or (is_noise and rank is not null)").isEmpty()
+    assert rows.groupBy("record_id").agg(F.countDistinct("cluster_id", "x", "y").alias("n")).where("n > 1").isEmpty()
+    ranks = rows.where("rank is not null").select("cluster_id", "rank").distinct().groupBy("cluster_id").agg(F.max("rank").alias("m"), F.count("rank").alias("n"))
+    assert ranks.where("m <> n or m > 50").isEmpty() and not ranks.isEmpty()
+
+
 def test_rounds_that_do_not_settle_raise(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "a long, b long, w double")
     nodes = spark.range(41).select("id")
