@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on: bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
@@ -21,6 +22,12 @@ def unused(rows: DataFrame, name: str) -> str:
     return name
 
 
+def with_row_key(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with a 64-bit hash of id and text, and its column's name, which the table didn't have."""
+    key = unused(rows, "row_key")
+    return rows.withColumn(key, F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.lit(2), F.col(text_col))), key
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes, without decoding them."""
     if pa.types.is_large_string(column.type):

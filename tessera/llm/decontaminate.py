@@ -21,7 +21,7 @@ from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, parts_of, slices
+from tessera.llm.common import as_bytes, parts_of, slices, with_row_key
 from tessera.llm.fm_index import FMIndex
 from tessera.session import fresh_path
 
@@ -260,20 +260,13 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows in which no window of the benchmark occurs, with all their columns.
 
-    Each row is judged by its own text as it is read, so null and repeated ids, repeated rows
-    and columns of any name make no difference. Null and wordless texts stay; an empty
-    benchmark drops nothing, an empty table stays empty.
+    Rows go by a hash of id and text, so null and repeated ids are judged by their own texts,
+    whatever the table's columns are called. Null and wordless texts stay; an empty benchmark
+    drops nothing, an empty table stays empty.
     """
-    blocks, text_at = Blocks(benchmark, "item_id", "text", WINDOW), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, spans, _ in _searched(batches, text_at, blocks):
-            clean, at = pa.array([not x for x in spans]), 0
-            for part in rows:
-                yield part.filter(clean.slice(at, part.num_rows))
-                at += part.num_rows
-
-    return docs.mapInArrow(run, docs.schema)
+    marked, key = with_row_key(docs, id_col, text_col)
+    hit = contamination(marked, benchmark, key, text_col).where(F.size("spans") > 0).select(F.col("id").alias(key))
+    return marked.join(hit, key, "left_anti").drop(key)

@@ -14,11 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import parts_of
+from tessera.llm.common import parts_of, with_row_key
 
 #: Labelled texts that the model is fitted on, for each language.
 TRAIN_PER_LANG = 3000
@@ -274,25 +273,15 @@ def fit_on_documents(docs: DataFrame) -> LanguageModel:
     return fit(labelled.select("doc_id", "text", "lang"), "text", "lang", F.col("doc_id"))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text", switch: float = SWITCH, id_col: str = "doc_id") -> DataFrame:
     """Rows in a known language, with all their columns: ``und`` goes, and texts whose score is below ``least``.
 
-    Each row is judged by its own text as it is read, so null and repeated ids, repeated rows
-    and columns of any name make no difference. Under a model without languages nothing can be
-    told apart: then only null and letterless texts go.
+    Rows go by a hash of id and text, so null and repeated ids are judged by their own texts,
+    whatever the table's columns are called. Under a model without languages nothing can be
+    told apart: then only null and letterless texts go. An empty table stays empty.
     """
-    held, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        if not model.langs:
-            for batch in batches:
-                yield batch.filter(pa.array([bool(t and _WORD.search(t)) for t in batch.column(text_at).to_pylist()], pa.bool_()))
-            return
-        for rows, found in _passes(batches, text_at, model, switch):
-            known, at = pc.and_(pc.not_equal(found["lang_pred"], UNDETERMINED), pc.greater_equal(found["score"], least)), 0
-            for part in rows:
-                yield part.filter(known.slice(at, part.num_rows))
-                at += part.num_rows
-
-    return docs.mapInArrow(run, docs.schema)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    marked, key = with_row_key(docs, id_col, text_col)
+    found = identify(marked, model, key, text_col, switch).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
+    return marked.join(found.select(F.col("id").alias(key)), key, "left_anti").drop(key)
