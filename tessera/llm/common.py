@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +54,18 @@ def parts_of(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, hi - lo)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task function, which at its end gives back what Arrow holds unused: workers live on, and the next stage needs it."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return bounded
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -21,7 +21,7 @@ from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, parts_of, slices, with_row_key
+from tessera.llm.common import as_bytes, lean, parts_of, slices, with_row_key
 from tessera.llm.fm_index import FMIndex
 from tessera.session import fresh_path
 
@@ -244,7 +244,7 @@ def contamination(
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, spans array<struct<first_word: long, end_word: long>>, items array<string>")
+    return rows.mapInArrow(lean(run), "id long, n_words long, spans array<struct<first_word: long, end_word: long>>, items array<string>")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

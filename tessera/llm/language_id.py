@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import parts_of, with_row_key
+from tessera.llm.common import lean, parts_of, with_row_key
 
 #: Labelled texts that the model is fitted on, for each language.
 TRAIN_PER_LANG = 3000
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, key: Column, per_lang
             [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j])], ["i", "j", "n"]
         )
 
-    sums = chosen.mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    sums = chosen.mapInArrow(lean(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((len(langs), BUCKETS + len(_NAMES)))
     for i, j, n in sums:
         both[i, j] = n
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
-        run, "id long, lang_pred string, score double, n_words long, spans array<struct<first_word: int, end_word: int, lang: string>>"
+        lean(run), "id long, lang_pred string, score double, n_words long, spans array<struct<first_word: int, end_word: int, lang: string>>"
     )
 
 

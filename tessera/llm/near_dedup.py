@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, as_bytes, parts_of, slices, unused
+from tessera.llm.common import WordHashes, as_bytes, lean, parts_of, slices, unused
 from tessera.llm.components import connected_components
 from tessera.session import stored
 
@@ -244,7 +244,7 @@ def _classes(sketch: DataFrame, base: DataFrame, width: int, num: int, den: int,
     seen = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "text_key")
     run, schema = _sets(width)
     texts = base.join(seen, ["id", "text_key"]).select("node", "text")
-    sets = stored(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")  # one text's set is as good as its copy's
+    sets = stored(texts.mapInArrow(lean(run), schema).dropDuplicates(["node"]), "sets")  # one text's set is as good as its copy's
     tested = (
         members.select(F.col("first").alias("a"), F.col("node").alias("b"))
         .union(members.select(F.col("node").alias("a"), F.col("last").alias("b")))
@@ -297,7 +297,7 @@ def near_duplicate_classes(
     """
     run, schema = _sketches(width, bands * rows)
     base = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    sketch = stored(base.mapInArrow(run, schema), "sketches")
+    sketch = stored(base.mapInArrow(lean(run), schema), "sketches")
     classes = _classes(sketch, base, width, num, den, bands, rows)
     top = F.coalesce("component_id", "id")
     lone = F.col("set_hash").isNull() | F.col("id").isNull()

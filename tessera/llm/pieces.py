@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, parts_of
+from tessera.llm.common import as_bytes, lean, parts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers.
-KNOWN_WORDS, KNOWN_PAIRS = 500_000, 1_000_000
+KNOWN_WORDS, KNOWN_PAIRS = 200_000, 400_000
 
 
 @dataclass
@@ -299,7 +299,7 @@ def encoded(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataF
 
     schema = T.StructType([*rows.schema.fields])
     schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decoded_texts(rows: DataFrame, model: PieceModel, ids_col: str = "token_ids") -> DataFrame:
