@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, pieces, quality, secrets, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, language_id, pieces, quality, secrets, toxicity, warc
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.near_dedup import near_duplicate_classes
 from tessera.session import fresh_path, table
@@ -71,6 +71,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(docs, secrets.fit(docs))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digested(docs, bpe.load()).drop("text")
+
+
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -162,6 +167,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_secrets": op10_secrets,
+        "op12_bpe": op12_bpe,
     }
 
 
