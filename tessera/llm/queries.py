@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, language_id, pieces, quality, secrets, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, language_id, pieces, quality, secrets, spelling, toxicity, warc
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.near_dedup import near_duplicate_classes
 from tessera.session import fresh_path, table
@@ -76,6 +76,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digested(docs, bpe.load()).drop("text")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -155,6 +159,41 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN low ON low.id = d.doc_id
 """ % {"lower": _AZ.format("text")}
 
 
+#: CRC-32 by its bits: a byte goes in, then eight steps follow, marked -1.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(octet_length(encode({0}))),
+  lambda i: [CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+OP13_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(%(lower)s, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), d AS (SELECT id, run, count(*) AS n FROM r GROUP BY id, run),
+h AS (SELECT run, n, %(crc)s AS h FROM (SELECT run, n, id || ':' || run AS k FROM d)),
+o AS (
+  SELECT CASE WHEN h %% 97 = 0 THEN substr(run, 1, CAST(h %% length(run) AS INT)) || substr(run, CAST(h %% length(run) AS INT) + 2) ELSE run END AS word, n
+  FROM h
+), w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT word, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+same AS (SELECT word, a || '*' || b AS k FROM cut),
+p AS (
+  SELECT x.word, y.word AS near FROM same x JOIN same y ON x.k = y.k AND x.word <> y.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON a || b = w.word
+  UNION SELECT w.word, cut.word FROM cut JOIN w ON a || b = w.word
+), f AS (
+  SELECT p.word, w.n, count(*) AS n_near, arg_min(near, (-v.n, near)) AS best, max(v.n) AS best_n
+  FROM p JOIN w ON w.word = p.word JOIN w v ON v.word = near GROUP BY p.word, w.n
+), g AS (SELECT word, n_near, best AS form, best_n AS form_n, best_n >= 2 * n AS strong FROM f),
+step AS (
+  SELECT word, form AS root FROM g WHERE strong
+  UNION SELECT step.word, g.form FROM step JOIN g ON g.word = step.root AND g.strong
+), last AS (SELECT word, root FROM step WHERE root NOT IN (SELECT word FROM g WHERE strong))
+SELECT w.word, n, CASE WHEN strong THEN form END AS form, coalesce(root, w.word) AS root, coalesce(n_near, 0) AS n_near,
+       CASE WHEN strong THEN form_n END AS form_n
+FROM w LEFT JOIN g ON g.word = w.word LEFT JOIN last ON last.word = w.word
+""" % {"lower": _AZ.format("text"), "crc": _CRC32.format("k")}
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -168,8 +207,9 @@ def queries() -> dict:
         "op9_near_dedup": op9_near_dedup,
         "op10_secrets": op10_secrets,
         "op12_bpe": op12_bpe,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op13_spelling": OP13_SQL}
