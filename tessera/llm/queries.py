@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, language_id, pieces, quality, secrets, spelling, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, language_id, pieces, prefix_trie, quality, secrets, spelling, toxicity, warc
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.near_dedup import near_duplicate_classes
 from tessera.session import fresh_path, table
@@ -71,6 +71,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(docs, secrets.fit(docs))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digested(docs, bpe.load()).drop("text")
@@ -163,6 +167,32 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN low ON low.id = d.doc_id
 _CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(octet_length(encode({0}))),
   lambda i: [CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
   lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, octet_length(encode(coalesce(text, ''))) AS b,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list({'k': k, 'b': b} ORDER BY turn NULLS FIRST, role, k) AS s FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, s, %(crc)s %% 9 AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS id FROM own)),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(o.s, [])[1:h], c.s[h + 1:]) AS s FROM c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id %% 5
+), p AS (
+  SELECT conv_id, d, len(s) = d AS ends, s[d].b AS b, sha256(array_to_string(list_transform(s[1:d], lambda x: x.k), ',')) AS p,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(s[1:d - 1], lambda x: x.k), ',')) END AS up
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM r)
+), n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, (count(*) - 1) * coalesce(any_value(b), 0) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY p, d
+), k AS (SELECT up, count(*) AS n_children FROM n GROUP BY up),
+s AS (
+  SELECT p.p, count(*) FILTER (WHERE k.up IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN k ON k.up = n.p GROUP BY p.p
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.p = n.p LEFT JOIN k ON k.up = n.p LEFT JOIN n a ON a.p = n.up
+""" % {"crc": _CRC32.format("id")}
 
 OP13_SQL = r"""
 WITH RECURSIVE r AS (
@@ -206,10 +236,11 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_secrets": op10_secrets,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_bpe": op12_bpe,
         "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op13_spelling": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_spelling": OP13_SQL}
