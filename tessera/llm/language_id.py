@@ -7,13 +7,13 @@ labels the words. A text's language is the one that most of its words were given
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ SCRIPTS = [
 ]
 _STARTS = [s for s, _ in SCRIPTS]
 _NAMES = sorted({n for _, n in SCRIPTS})
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
@@ -108,7 +108,8 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, key: Column, per_lang: int = TRAIN_PER_LANG) -> LanguageModel:
-    """Counts n-grams on the executors; only languages x BUCKETS sums reach the driver."""
+    """Counts n-grams on the executors; only languages x BUCKETS sums reach the driver. Rows without text or language teach nothing."""
+    labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     langs = sorted(counts)
     if not langs:

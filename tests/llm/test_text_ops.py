@@ -346,3 +346,66 @@ def test_secret_windows_cover_the_whole_candidate():
 def rng_bytes(n):
     rng = random.Random(16)
     return [rng.choice(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)]
+
+
+def test_numerals_are_no_letters(make_docs):
+    """Numbers that aren't decimal digits leave a text undetermined, and the first stage drops it."""
+    model = li.fit_on_documents(make_docs([(i, "the cat sat on a mat") for i in range(12)] + [(50, None)]))
+    docs = make_docs([(1, "½ ² ³"), (2, "Ⅷ ① 12"), (3, "½ cat"), (4, "ª")])
+    got = {r.id: r.lang_pred for r in li.identify(docs, model).collect()}
+    assert got == {1: "und", 2: "und", 3: "en", 4: "en"}
+    assert sorted(r.doc_id for r in li.keep_identified(docs, model).collect()) == [3, 4]
+    nothing = li.fit_on_documents(make_docs([]))
+    assert sorted(r.doc_id for r in li.keep_identified(docs, nothing).collect()) == [3, 4]
+
+
+def test_rows_without_text_or_language_teach_nothing(spark):
+    rows = spark.createDataFrame([(1, "ab ab", "x"), (2, None, "x"), (3, "cd", None), (4, "", "y")], "id long, text string, lang string")
+    assert li.fit(rows, "text", "lang", F.col("id")).langs == ["x", "y"]
+
+
+def test_word_scores_and_vote_in_plain_python(make_docs):
+    """Scores by counting each word's n-grams one by one, labels by trying every sequence, the vote by counting."""
+    from itertools import product
+
+    texts = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("кот и собака", "ru")]
+    spark_rows = make_docs([]).sparkSession.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, text string, lang string")
+    model = li.fit(spark_rows, "text", "lang", F.col("id"))
+
+    def grams(word):
+        marked = f"\x02{word}\x03"
+        return [marked[i : i + n] for n in li.GRAMS for i in range(len(marked) - n + 1)]
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        return h % li.BUCKETS
+
+    counts = {lang: [0.5] * li.BUCKETS for lang in model.langs}
+    for text, lang in texts:
+        for word in text.split():
+            for g in grams(word):
+                counts[lang][bucket(g)] += 1
+    totals = {lang: sum(c) for lang, c in counts.items()}
+
+    def score(word, lang):
+        latin = word.isascii()
+        if latin == (lang == "ru"):
+            return -np.inf
+        return sum(np.log(counts[lang][bucket(g)] / totals[lang]) for g in grams(word))
+
+    for text in ("the hund and chat", "кот the dog", "die katze le chien"):
+        words = text.split()
+        best, chosen = -np.inf, None
+        for labels in product(model.langs, repeat=len(words)):
+            raw = [[score(w, lang) for lang in model.langs] for w in words]
+            total = sum(r[model.langs.index(lang)] - max(r) for r, lang in zip(raw, labels, strict=True))
+            total -= li.SWITCH * sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+            if total > best:
+                best, chosen = total, labels
+        votes = {lang: chosen.count(lang) for lang in model.langs}
+        row = li.identify(make_docs([(1, text)]), model).collect()[0]
+        assert [s.lang for s in row.spans for _ in range(s.end_word - s.first_word)] == list(chosen)
+        assert row.score == max(votes.values()) / len(words) and votes[row.lang_pred] == max(votes.values())
