@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, lean, parts_of
+from tessera.llm.common import WordIds, as_bytes, lean, parts_of
 
 MODEL = "byte_bpe_50k.json"
-#: Symbols that one index covers, about, and words that are remembered: bytes of memory, bytes of the longest.
-INDEX_SYMBOLS, KNOWN_BYTES, KNOWN_WORD = 1 << 18, 128 << 20, 64
-#: Memory of a remembered word besides its text: its object, its place in the table, its ids.
-WORD_COST = 200
+#: Symbols that one index covers, about, and memory of the words that a worker remembers.
+INDEX_SYMBOLS, KNOWN_BYTES = 1 << 18, 128 << 20
 #: Code points that Unicode gave letters and numbers after the version which these tokenizers know.
 NEWER_LETTERS = (
     r"\x{558}\x{58b}-\x{58c}\x{88f}\x{c5c}\x{cdc}\x{208f}\x{209d}-\x{209f}\x{a7ce}-\x{a7cf}\x{a7d2}\x{a7d4}\x{a7dd}\x{a7e2}\x{a7f1}"
@@ -181,15 +179,7 @@ class TextEncoder:
         self.model = model
         self.plain, self.exact = (regex.compile(word_pattern(x)).findall for x in (False, True))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(model.added, key=len, reverse=True))) + ")").split if model.added else None
-        self.forget()
-
-    def forget(self) -> None:
-        added = list(self.model.added)
-        self.known = {w: i for i, w in enumerate(added)}
-        self.held = 0
-        self.sizes = np.ones(len(added), np.int64)
-        self.starts = np.arange(len(added), dtype=np.int64)
-        self.tokens = np.array([self.model.added[w] for w in added], np.int32)
+        self.ids = WordIds(KNOWN_BYTES, model.added)
 
     def words(self, text: str, odd: bool) -> list[str]:
         find = self.exact if odd else self.plain
@@ -201,16 +191,13 @@ class TextEncoder:
     def _learn(self, fresh: list[str]) -> None:
         raw = [w.encode() for w in fresh]
         ends = np.cumsum([len(w) for w in raw]).tolist()
-        tokens, sizes, lo = [self.tokens], [self.sizes], 0
+        tokens, sizes, lo = [], [], 0
         while lo < len(raw):
             hi = max(lo + 1, bisect_left(ends, (ends[lo - 1] if lo else 0) + INDEX_SYMBOLS))
             ids, counts = merged(self.model, raw[lo:hi])
-            tokens.append(ids.astype(np.int32)), sizes.append(counts)
+            tokens.append(ids), sizes.append(counts)
             lo = hi
-        self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
-        self.tokens, self.sizes = np.concatenate(tokens), np.concatenate(sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.held += ends[-1] + WORD_COST * len(fresh)
+        self.ids.learn(fresh, np.concatenate(tokens), np.concatenate(sizes))
 
     def encode(self, texts: list[str | None], odd: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text behind the other, and the offsets of the texts; odd: texts with NEWER characters."""
@@ -220,36 +207,13 @@ class TextEncoder:
             if text:
                 flat += self.words(text, strange)
             counts.append(len(flat))
-        fresh = sorted(set(flat) - self.known.keys())
+        fresh = self.ids.unknown(flat)
         if fresh:
             self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.tokens[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
-        if self.held > KNOWN_BYTES or any(len(w) > KNOWN_WORD for w in fresh):
-            self._trim(fresh)
+        out, total = self.ids.of(flat)
+        self.ids.trim(fresh)
         return out, total[counts]
 
-    def _trim(self, fresh: list[str]) -> None:
-        """Long words go at once; all go when they take too much."""
-        if self.held > KNOWN_BYTES:
-            self.forget()
-            return
-        keep = len(self.sizes) - len(fresh)
-        stay = [w for w in fresh if len(w) <= KNOWN_WORD]
-        at = np.fromiter(map(self.known.__getitem__, stay), np.int64, len(stay))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.tokens[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        for w in fresh:
-            del self.known[w]
-        self.tokens = np.concatenate([self.tokens[: int(self.sizes[:keep].sum())], ids])
-        self.sizes = np.concatenate([self.sizes[:keep], sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.held -= sum(len(w.encode()) + WORD_COST for w in fresh if len(w) > KNOWN_WORD)
-        self.known.update(zip(stay, range(keep, keep + len(stay)), strict=True))
-
 
 _CODERS: dict[str, TextEncoder] = {}
 

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import as_bytes, lean, parts_of
+from tessera.llm.common import WordIds, as_bytes, lean, parts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words and pairs of pieces that a worker remembers.
-KNOWN_WORDS, KNOWN_PAIRS = 200_000, 400_000
+#: Memory of the words that a worker remembers, pairs of pieces that it does, and steps of its automaton.
+KNOWN_BYTES, KNOWN_PAIRS, KNOWN_STEPS = 48 << 20, 400_000, 400_000
 
 
 @dataclass
@@ -125,6 +125,7 @@ class WordEncoder:
         self.names: list[str] = []
         self.next: list[dict[str, int]] = []
         self.ends: list[tuple[tuple[int, int], ...]] = []
+        self.steps = 0
         self.at = [self._node("")]
 
     def _apart(self, left: int, right: int) -> bool:
@@ -148,6 +149,14 @@ class WordEncoder:
             self.ends.append(tuple((piece, n) for piece, n in tails if piece is not None))
         return node
 
+    def rest(self) -> None:
+        """Lets go of the current word, and of the automaton where it has grown large."""
+        self.word = ""
+        del self.last[1:], self.score[1:], self.at[1:]
+        if self.steps > KNOWN_STEPS:
+            self.nodes, self.names, self.next, self.ends, self.steps = {}, [], [], [], 0
+            self.at = [self._node("")]
+
     def _walk(self, word: str, common: int) -> None:
         """The nodes of the prefixes longer than ``common``."""
         at, moves = self.at, self.next
@@ -156,6 +165,7 @@ class WordEncoder:
             to = moves[node].get(c)
             if to is None:
                 to = moves[node][c] = self._node(self.names[node] + c)
+                self.steps += 1
             node = to
             at.append(node)
 
@@ -211,42 +221,32 @@ class WordEncoder:
 
 
 class TextEncoder:
-    """Token ids of texts; words that were seen keep their ids, up to KNOWN_WORDS of them."""
+    """Token ids of texts; short words that were seen keep their ids, up to KNOWN_BYTES of memory."""
 
     def __init__(self, model: PieceModel):
         self.model = model
         b = re.escape(model.borders)
         self.split = re.compile(f"{MARK}+[^{MARK}{b}]*|[^{MARK}{b}]+|[{b}]").findall
         self.words = WordEncoder(model)
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.tokens = np.zeros(0, np.int32)
+        self.ids = WordIds(KNOWN_BYTES)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text behind the other, and the offsets of the texts."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-            self.starts, self.sizes, self.tokens = self.starts[:0], self.sizes[:0], self.tokens[:0]
         flat: list[str] = []
-        counts = []
+        counts = [0]
         for text in texts:
-            before = len(flat)
             if text:
                 flat += self.split((MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK))
-            counts.append(len(flat) - before)
-        fresh = sorted(set(flat) - self.known.keys())
+            counts.append(len(flat))
+        fresh = self.ids.unknown(flat)
         if fresh:
             ids = [self.words.encode(w) for w in fresh]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.tokens = np.concatenate([self.tokens, np.fromiter((t for x in ids for t in x), np.int32, int(sizes.sum()))])
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.tokens[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
-        return out, total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+            self.ids.learn(fresh, np.fromiter((t for x in ids for t in x), np.int32, int(sizes.sum())), sizes)
+        out, total = self.ids.of(flat)
+        self.ids.trim(fresh)
+        self.words.rest()
+        return out, total[counts]
 
 
 _CODERS: dict[str, TextEncoder] = {}

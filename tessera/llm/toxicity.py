@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, parts_of
+from tessera.llm.common import KNOWN_WORD, as_bytes, parts_of
 
 #: Bounds of the training sample, in texts; the sample is drawn by a hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
@@ -55,9 +55,11 @@ class Features(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
+        found = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
+        if len(word) <= KNOWN_WORD:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def of_words(self, words: set[bytes]) -> list[int]:
@@ -142,11 +144,12 @@ def calibrated(weights: np.ndarray, bias: float, pos: list[list[int]], unl: list
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.binary())
     for batch in batches:
-        words = [sorted(words_of(t)) for t in as_bytes(batch.column(0))]
-        marks = [sorted({f for w in ws for f in features_of(w)}) for ws in words]
-        kind = pa.list_(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, kind), pa.array(marks, kind)], ["positive", "words", "marks"])
+        for part in parts_of(batch, 0):
+            words = [sorted(words_of(t)) for t in as_bytes(part.column(0))]
+            marks = [sorted({f for w in ws for f in features_of(w)}) for ws in words]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(words, kind), pa.array(marks, kind)], ["positive", "words", "marks"])
 
 
 def fit(labelled: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:

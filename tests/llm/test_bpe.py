@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, queries
+from tessera.llm.common import KNOWN_WORD
 
 ODD = [
     "a<|endoftext|>b <|endoftext|>", "<|endoftext|><|endoftext|>", " \n\n  x", "don't WE'LL we'll've", "é" * 3000, "a" * 4001, "½ ² Ⅷ",
@@ -60,7 +61,7 @@ def test_what_is_remembered_is_bounded_and_does_not_matter(model, library, monke
     for i in range(60):
         text = f"word{i} some words here {'long' * 40}{i % 3} again some"
         assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
-        assert encoder.held <= 3000 + 20 * 300 and not any(len(w) > bpe.KNOWN_WORD for w in encoder.known)
+        assert encoder.ids.held <= 3000 and not any(len(w) > KNOWN_WORD for w in encoder.ids.known)
 
 
 def test_many_indexes_give_what_one_gives(model, library, monkeypatch):
