@@ -8,9 +8,10 @@
    first, then the full sets. Components join what is linked.
 4. The members of buckets that still hold more than one component are searched to the end:
    a prefix join on their rarest shingles gives all pairs from different components that can
-   be alike enough. Components meet first, their members only where two components share a
-   shingle, so pairs within a component are never listed: no bucket is capped, and a bucket
-   of thousands of variants of one text costs a few tests for each of its members.
+   be alike enough. Components meet first, by one test of their pivots; their members only
+   where distances from the pivots leave a link open. So neither pairs within a component nor
+   all pairs between two are listed: no bucket is capped, and a bucket of thousands of
+   variants of one text, or of two, costs a few tests for each of its members.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BANDS, ROWS = 26, 5
 #: A pair whose signatures agree in a share this far below the threshold is not tested on
 #: its sets: 0.16 is five standard deviations of 130 minima at 0.85.
 SIGNATURE_SLACK = 0.16
+#: Distances are sums of rounded shares.
+_ROUNDING = 1e-9
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -190,26 +193,62 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _meeting(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """A pair (a, b) for each shingle that prefixes of two parts share, where sizes and places allow enough in common.
-
-    Parts are joined before members, by what the best of their members could share: a part of
-    n members that meets one other row costs n rows, and parts of one row each meet only where
-    their sizes and places allow it.
-    """
-    left, least = F.col("n") - F.col("at"), lambda a, b: F.least(F.col(a), F.col(b)) * (num + den)
-    places = prefixes.groupBy("s", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(left).alias("left"))
+def _meetings(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """s, pa < pb: parts whose prefixes share the shingle s, where the best of their members could share enough."""
+    places = prefixes.groupBy("s", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("left"))
     one = places.withColumnsRenamed({"part": "pa", "lo": "lo_a", "hi": "hi_a", "left": "left_a"})
     two = places.withColumnsRenamed({"part": "pb", "lo": "lo_b", "hi": "hi_b", "left": "left_b"})
     sizes = (den * F.col("hi_a") >= num * F.col("lo_b")) & (den * F.col("hi_b") >= num * F.col("lo_a"))
-    enough = least("left_a", "left_b") >= num * (F.col("lo_a") + F.col("lo_b"))
-    meets = one.join(two, "s").where((F.col("pa") < F.col("pb")) & sizes & enough).select("s", "pa", "pb")
-    rows = prefixes.select("s", "part", "node", "n", left.alias("left"))
-    one = rows.withColumnsRenamed({"part": "pa", "node": "a", "n": "na", "left": "left_a"})
-    two = rows.withColumnsRenamed({"part": "pb", "node": "b", "n": "nb", "left": "left_b"})
+    enough = F.least("left_a", "left_b") * (num + den) >= num * (F.col("lo_a") + F.col("lo_b"))
+    return one.join(two, "s").where((F.col("pa") < F.col("pb")) & sizes & enough).select("s", "pa", "pb")
+
+
+def _overlap(a: str, b: str) -> tuple[Column, Column]:
+    """Sizes of what two sets share and of their union."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared, F.size(a) + F.size(b) - shared
+
+
+def _between(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join parts, and pairs (a, b) that have to be tested, of sets (node, part, shingles).
+
+    Parts meet before their members. The Jaccard distance is a metric: where the pivots of two
+    parts are farther apart than the threshold and both parts' reaches together, no members are
+    linked; where the pivots are linked, the parts are one and no more is asked. Only between
+    those, and only for members that are far enough from their pivots, pairs are listed.
+    """
+    prefixes = _prefixes(sets, num, den)
+    meets = stored(_meetings(prefixes, num, den), "meetings")
+    first = sets.groupBy("part").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("size"))
+    pivots = stored(sets.join(first, ["part", "node"]).withColumnsRenamed({"node": "pivot", "shingles": "core"}), "pivots")
+    shared, union = _overlap("shingles", "core")
+    off = F.when(F.col("size") > 1, 1 - shared / union).otherwise(0.0)
+    members = stored(sets.join(pivots, "part").select("node", "part", off.alias("off")), "members")
+    about = pivots.select("part", "pivot", "size").join(members.groupBy("part").agg(F.max("off").alias("reach")), "part")
+    pairs = meets.select("pa", "pb").distinct()
+    for end, side in (("a", "pa"), ("b", "pb")):
+        pairs = pairs.join(about.toDF(side, end, f"size_{end}", f"reach_{end}"), side)
+    pairs = stored(pairs, "part-pairs")
+    alone = (F.col("size_a") == 1) & (F.col("size_b") == 1)
+    met = pairs.where(~alone)
+    for end, side in (("a", "pa"), ("b", "pb")):
+        met = met.join(pivots.select(F.col("part").alias(side), F.col("core").alias(f"core_{end}")), side)
+    shared, union = _overlap("core_a", "core_b")
+    beyond = (1 - shared / union) - (1 - num / den)
+    met = stored(met.select("pa", "pb", "a", "b", "reach_a", "reach_b", beyond.alias("beyond"), (den * shared >= num * union).alias("linked")), "pivot-pairs")
+    links = met.where("linked").select("a", "b")
+    one = connected_components(met.where("linked").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    close = met.where(~F.col("linked") & (F.col("beyond") <= F.col("reach_a") + F.col("reach_b") + _ROUNDING))
+    for side in ("pa", "pb"):
+        close = close.join(one.toDF(side, f"top_{side}"), side, "left")
+    close = close.where(F.coalesce("top_pa", "pa") != F.coalesce("top_pb", "pb")).select("pa", "pb", "beyond", "reach_b")
+    rows = prefixes.join(members, ["node", "part"]).select("s", "part", "node", "n", (F.col("n") - F.col("at")).alias("left"), "off")
+    left, right = (rows.toDF("s", f"p{x}", x, f"n{x}", f"left_{x}", f"off_{x}") for x in ("a", "b"))
     alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    enough = least("left_a", "left_b") >= num * (F.col("na") + F.col("nb"))
-    return meets.join(one, ["s", "pa"]).join(two, ["s", "pb"]).where(alike & enough).select("a", "b")
+    enough = F.least("left_a", "left_b") * (num + den) >= num * (F.col("na") + F.col("nb"))
+    some = close.join(meets, ["pa", "pb"]).join(left, ["s", "pa"]).where(F.col("off_a") + F.col("reach_b") >= F.col("beyond") - _ROUNDING)
+    some = some.join(right, ["s", "pb"]).where(alike & enough & (F.col("off_a") + F.col("off_b") >= F.col("beyond") - _ROUNDING))
+    return links, pairs.where(alone).select("a", "b").union(some.select("a", "b")).distinct()
 
 
 def _nodes(sketch: DataFrame) -> DataFrame:
@@ -261,8 +300,8 @@ def _classes(sketch: DataFrame, base: DataFrame, width: int, num: int, den: int,
         .select("bucket")
     )
     rest = placed.join(mixed, "bucket", "left_semi").select("node", "part").distinct()
-    others = _meeting(_prefixes(stored(sets.join(rest, "node"), "mixed-sets"), num, den), num, den).distinct()
-    more = stored(_verified(others, reps, sets, num, den, n), "more-links")
+    sure, others = _between(stored(sets.join(rest, "node").select("node", "part", "shingles"), "mixed-sets"), num, den)
+    more = stored(sure.union(_verified(others, reps, sets, num, den, n)), "more-links")
     if not more.isEmpty():
         parts = connected_components(links.union(more)).withColumnRenamed("id", "node")
     linked = reps.join(parts, "node").select("component", "id", "set_hash")

@@ -119,16 +119,46 @@ def test_near_repeated_ids_go_by_their_texts(spark, make_docs):
     assert len(kept) == 1 and kept[0]["doc_id"] == 1
 
 
+def _own(part, n, base, start):
+    """n near copies of a set, each with two shingles of its own."""
+    return [(start + i, part, [*base, 10_000 * (part + 1) + 2 * i, 10_000 * (part + 1) + 2 * i + 1]) for i in range(n)]
+
+
 def test_near_candidates_grow_with_the_rows(spark):
-    """n near copies of one part and one row of another: what the joins list grows with n, not with its square."""
-    counts = []
-    for n in (50, 100, 200):
-        near = [(i, 0, list(range(100)) + [1000 + i, 2000 + i]) for i in range(n)]
-        sets = spark.createDataFrame([*near, (9999, 1, list(range(10, 110)))], "node long, part long, shingles array<long>")
-        prefixes = nd._prefixes(sets, 80, 100)
-        counts.append(nd._meeting(prefixes, 0, 100).count())  # with 0 the filters let all pairs through
-        assert nd._meeting(prefixes, 0, 100).where("a < 9999 and b < 9999").isEmpty()
-    assert counts[0] > 0 and counts[2] <= 2.2 * counts[1] <= 2.2 * 2.2 * counts[0]
+    """Two parts of n rows that share one shingle, that are alike by two thirds, that are linked; and a part with one foreign row."""
+    for other, most in ([0, *range(500, 599)], 0), (range(20, 120), 0), (range(5, 105), 1), (range(10, 110), 1):
+        for n in (40, 160):
+            rows = _own(0, n, range(100), 0) + _own(1, n, other, 1000)
+            sets = spark.createDataFrame(rows, "node long, part long, shingles array<long>")
+            links, pairs = nd._between(sets, 80, 100)
+            assert links.count() + pairs.count() <= most
+        links, pairs = nd._between(spark.createDataFrame([*_own(0, 60, range(100), 0), (9999, 1, list(other))], sets.schema), 80, 100)
+        assert links.count() + pairs.count() <= 60
+
+
+def test_near_links_between_parts_are_complete(spark):
+    """Whatever the parts are, links and tested pairs join what brute force over all pairs joins."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        base = rng.choice([range(0, 40), range(5, 45), range(8, 48), range(60, 100)])
+        rows.append((i, rng.choice([i, 200 + i % 3, 210 + i % 2]), sorted(rng.sample([*base], rng.randint(30, 40)) + [1000 + rng.randrange(40)])))
+    sets = {i: set(s) for i, _, s in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+
+    def joined(links):
+        top = {}
+        find = lambda x: x if top.get(x, x) == x else find(top[x])
+        for a, b in [(f"p{p}", i) for i, p, _ in rows] + links:
+            top[find(a)] = find(b)
+        return {frozenset(i for i in sets if find(i) == r) for r in map(find, sets)}
+
+    links, pairs = nd._between(spark.createDataFrame(rows, "node long, part long, shingles array<long>"), 80, 100)
+    links, pairs = [tuple(r) for r in links.collect()], [tuple(r) for r in pairs.collect()]
+    assert all(alike(*x) for x in links)
+    want = [(a, b) for a in sets for b in sets if a < b and alike(a, b)]
+    assert joined(links + [x for x in pairs if alike(*x)]) == joined(want)
+    assert len(pairs) < len(sets) ** 2 / 2
 
 
 def test_components_chain_and_star(spark):
