@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes, with built-in functions only.
 
-A text is cut where its own characters say so, therefore equal texts are cut alike
-wherever they stand. Chunks become identifiers, a document becomes the ordered list
+A text is cut where its own characters say so, in any script, therefore equal passages are
+cut alike wherever they stand. Chunks become identifiers, a document becomes the ordered list
 of its identifiers, and only these short lists are moved and compared: a long text
 is read once, where it lies.
 
@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import unused
 from tessera.session import stored
 
-#: A chunk has at least MIN_CHUNK characters and ends behind a sentence mark or a vowel
-#: pair at a word's end, a test of the last two characters; without one it ends at MAX_CHUNK.
-MIN_CHUNK, MAX_CHUNK = 2048, 16384
-CUT = r"(?:[.!?] |[aeiou][aeiou] )"
+#: A chunk has at least MIN_CHUNK characters and ends where three characters stand again within
+#: the next few, in scripts of thousands of characters one; without that it ends at MAX_CHUNK.
+MIN_CHUNK, MAX_CHUNK = 1024, 16384
+_LARGE = r"\p{IsHan}\p{IsHangul}"
+CUT = rf"(?:([^{_LARGE}]{{3}}).{{0,3}}\1|([{_LARGE}]).?\2)"
+#: Copies of a repeated row that one array lists.
+COPIES = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -99,9 +102,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.coalesce("keep_id", "doc_id").alias("keep_id"),
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             "text_sha256",
-            F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"),
+            "_copies",
+            F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(COPIES))).alias("_from"),
         )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))
+        .select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, "_copies") - 1)).alias("_copy"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 0))
     )
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

@@ -28,6 +28,34 @@ def test_exact_odd_rows(make_docs, odd_texts):
         assert {r["keep_id"] for r in group} == {min(r["doc_id"] for r in group)}
 
 
+def test_exact_chunks_are_cut_by_content_in_every_script(spark):
+    """What stands before a text moves its first chunks and no others; few chunks are cut by length alone."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    texts = {
+        "latin": " ".join(word("etaoinshrdlcumwfgypb") for _ in range(15_000)),
+        "cyrillic": " ".join(word("оеаинтсрвлкмдпуяыьгз") for _ in range(15_000)),
+        "arabic": " ".join(word("ابتثجحخدرزسشصضطعغفقكلمنهوي") for _ in range(15_000)),
+        "chinese": "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(64_000)),
+        "korean": "".join(rng.choices(" 은" + "".join(map(chr, range(0xAC00, 0xB1E0))), [9.0, 2.0, *(10 / (i + 15) for i in range(1504))], k=60_000)),
+        "thai": "".join(rng.choices([*map(chr, range(0x0E01, 0x0E2F))], [1 / (i + 3) for i in range(46)], k=60_000)),
+        "no spaces": "".join(chr(rng.randrange(97, 123)) for _ in range(60_000)),
+    }
+    rows = [(k, t, "新 prefix " * 30 + t) for k, t in texts.items()]
+    for r in spark.createDataFrame(rows, "k string, a string, b string").select("k", ed.chunks(F.col("a")).alias("a"), ed.chunks(F.col("b")).alias("b")).collect():
+        assert "".join(r.a) == texts[r.k] and len(r.a) > 4
+        assert sum(len(c) == ed.MAX_CHUNK for c in r.a) <= len(r.a) // 2, r.k
+        assert len(set(r.b) - set(r.a)) <= max(8, len(r.b) // 3), r.k
+        assert r.a[-1] == r.b[-1]
+
+
+def test_exact_many_copies_of_a_row(make_docs, monkeypatch):
+    monkeypatch.setattr(ed, "COPIES", 4)
+    got = ed.exact_duplicates(make_docs([(5, "x y")] * 11 + [(4, "x\ty"), (6, "z")] * 4)).collect()
+    assert len(got) == 19 and sum(r["kept"] for r in got) == 2
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(5, 4, 15), (4, 4, 15), (6, 6, 4)}
+
+
 def test_exact_empty(make_docs):
     assert ed.exact_duplicates(make_docs([])).count() == 0
     assert ed.without_exact_duplicates(make_docs([])).columns == make_docs([]).columns
