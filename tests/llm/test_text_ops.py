@@ -311,7 +311,26 @@ def test_secret_network_learns(make_docs):
     assert got[1] == [("model", 7, 47)]
     assert got[2] == []
     assert got[3] == [("model", 3, 3 + len(buried))]  # behind the first window
+    clean = [
+        "see https://www.example.com/articles/2024/05/01/how-to-bake-bread for it", "http://arxiv.org/abs/2103.01234v2 again", "github.com/user/repo/blob/main/src/index2.js",
+        "id 550e8400-e29b-41d4-a716-446655440000 is it", "ID 550E8400-E29B-41D4-A716-446655440000.", "in /usr/local/lib/python3.11/site-packages/foo/bar_2.py there",
+        "the user_profile_settings_v2_final is", "class OrderLineItemController2 does", "at 2024-05-01T12.33.10.123456 or so", "card 4111111111111111 paid", "isbn 978-3-16-148410-0 of it", "doi 10.1000/xyz.2020.123456 says",
+    ]
+    keys = [f"the {rng.choice(['bearer', 'value', 'old one'])} {''.join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice([24, 32, 48])))} went" for _ in range(100)]
+    spans = {r["id"]: r["spans"] for r in secrets.scan(make_docs(list(enumerate(clean + keys))), net).collect()}
+    assert [clean[i] for i in range(len(clean)) if spans[i]] == []
+    assert sum(bool(spans[len(clean) + i]) for i in range(100)) >= 95
     assert not secrets.fit(make_docs([])).adds
+    assert not secrets.fit(make_docs([(1, None), (2, "see box7.example.com/page99")])).adds
+
+
+def test_secret_look_alikes_are_told_from_keys_never_seen():
+    """A network of made findings alone, on made findings of another seed."""
+    net = secrets.trained(secrets.look_alikes(1600))
+    others = secrets.look_alikes(800, seed=99)
+    told, truth = net.probabilities([f[0] for f in others]) >= net.threshold, np.array([f[2] for f in others])
+    assert told[truth].mean() >= 0.95 and told[~truth].mean() <= 0.01
+    assert secrets.look_alikes(50) == secrets.look_alikes(50)
 
 
 def test_secret_threshold_keeps_recall_on_findings_that_look_alike():
