@@ -29,24 +29,78 @@ def test_parameters(n, want):
     assert cl.parameters(n, 8) == (8, 8)
 
 
-def test_exact_neighbours_are_exact(spark, planted, monkeypatch):
-    monkeypatch.setattr(vx, "BLOCK_ROWS", 60)
-    rows = planted.collect()
-    v = np.array([r["vector"] for r in rows])
+def brute_neighbours(v, k):
     sim = v @ v.T
-    np.fill_diagonal(sim, -2)
+    np.fill_diagonal(sim, -np.inf)
+    return [sorted((j for j in range(len(v)) if j != i), key=lambda j: (-round(sim[i, j], 12), j))[:k] for i in range(len(v))]  # noqa: B023
+
+
+def neighbour_lists(found):
     got = {}
-    for r in vx.exact_neighbours(planted, 5).collect():
+    for r in found.collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
-    for i in range(200):
-        want = sorted(range(200), key=lambda j: (-round(sim[i, j], 12), j))[:5]  # noqa: B023
-        assert [got[i][k] for k in range(1, 6)] == want
+    return {i: [ranks[x] for x in sorted(ranks)] for i, ranks in got.items()}
 
 
-def test_approximate_recall(planted):
-    exact = vx.exact_neighbours(planted, 5).select("id", "neighbour")
-    found = vx.approximate_neighbours(planted, 5).select("id", "neighbour")
-    assert exact.intersect(found).count() >= 0.9 * exact.count()
+@pytest.mark.parametrize("pivots", [1, 7, 60])
+def test_exact_neighbours_are_exact(planted, monkeypatch, pivots):
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 60)
+    v = np.array([r["vector"] for r in planted.orderBy("id").collect()])
+    assert neighbour_lists(vx.exact_neighbours(planted, 5, pivots=pivots)) == dict(enumerate(brute_neighbours(v, 5)))
+
+
+def test_exact_neighbours_of_vectors_of_any_length(spark):
+    """Copies, zero vectors, long and short ones; more neighbours than a cell has rows."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((90, 5)) * rng.choice([0.0, 0.3, 1.0, 4.0], (90, 1))
+    v[40:55] = v[3]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    assert neighbour_lists(vx.exact_neighbours(rows, 12, pivots=9)) == dict(enumerate(brute_neighbours(v, 12)))
+    assert vx.exact_neighbours(rows.limit(0), 3).count() == 0
+
+
+def test_pruned_cells_are_fewer_pairs(spark):
+    """On rows in groups a row asks few cells beside its own; pairs compared are a small part of all."""
+    rng = np.random.default_rng(7)
+    centers = rng.standard_normal((20, 16)) * 3
+    v = centers[np.arange(1000) % 20] + rng.normal(0, 0.1, (1000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    own, asked = vx.pruned_cells(rows, 8, 40)
+    sizes = own.groupBy("cell").count()
+    pairs = own.select("cell").unionByName(asked.select("cell")).join(sizes, "cell").agg(F.sum("count")).first()[0]
+    assert pairs <= 0.2 * 1000**2
+    assert neighbour_lists(vx.exact_neighbours(rows, 8, pivots=40)) == dict(enumerate(brute_neighbours(v, 8)))
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Two thirds of 2,400 rows in one narrow group, 300 of them equal, the others spread."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal(12) * 2 + rng.normal(0, 0.2, (1600, 12)), rng.standard_normal((800, 12))])
+    v[:300] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").cache(), v
+
+
+def test_cells_are_bounded_whatever_the_rows(skewed):
+    rows, _ = skewed
+    tree = stored(vx.cell_tree(vx._data(rows, "id", "vector"), 6), "tree")
+    own = tree.where("rank = 1")
+    assert own.count() == own.select("id").distinct().count() == 2400
+    assert own.groupBy("cell").count().agg(F.max("count")).first()[0] <= vx.CELL_MOST
+    assert tree.groupBy("id").count().agg(F.max("count")).first()[0] <= 6
+
+
+def test_approximate_recall_on_skewed_cells(skewed):
+    """Judged by similarity, as any of equal rows is as good a neighbour as the next."""
+    rows, v = skewed
+    sim = v @ v.T
+    np.fill_diagonal(sim, -np.inf)
+    least = np.sort(sim, axis=1)[:, -10]
+    got = vx.approximate_neighbours(rows, 10).collect()
+    assert len(got) == 24_000
+    assert np.mean([sim[r["id"], r["neighbour"]] >= least[r["id"]] - 1e-9 for r in got]) >= 0.9
 
 
 def test_approximate_recall_at_15_on_the_table(spark):
@@ -58,11 +112,13 @@ def test_approximate_recall_at_15_on_the_table(spark):
     assert exact.intersect(got).count() >= 0.9 * exact.count()
 
 
-def test_approximate_finds_k_for_rows_alone_in_their_cells(spark, planted):
+def test_approximate_finds_k_for_rows_alone_in_their_cells(spark, planted, monkeypatch):
+    monkeypatch.setattr(vx, "CELL_ROWS", 4)
+    monkeypatch.setattr(vx, "CELL_MOST", 8)
     rng = np.random.default_rng(3)
     far = [(1000 + i, 9, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.standard_normal((6, 16)))]
     rows = planted.union(spark.createDataFrame(far, planted.schema)).select("id", "vector")
-    got = vx.approximate_neighbours(rows, 12, probes=1, cells=60).groupBy("id").count()
+    got = vx.approximate_neighbours(rows, 12, probes=1).groupBy("id").count()
     assert got.count() == 206 and got.where("count <> 12").isEmpty()
     assert vx.approximate_neighbours(rows.limit(0), 3).count() == 0
 
