@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators import cluster as cl
+from tessera.operators import dendrogram as dg
 from tessera.operators import providers, quality
+from tessera.operators.components import components
 from tessera.plans import registry, scripted
 from tessera.session import stored, table
 
@@ -123,46 +125,29 @@ def test_approximate_finds_k_for_rows_alone_in_their_cells(spark, planted, monke
     assert vx.approximate_neighbours(rows.limit(0), 3).count() == 0
 
 
-def brute_selected(rows, method, allow_single):
-    """Walks the tree of components with dictionaries: {id: (cluster's first component or None, lam, deep)}."""
-    parts = {}
-    for r in rows:
-        parts.setdefault((r["level"], r["part"]), (r["lam"], set()))[1].add(r["id"])
-    holder = {(level, i): part for (level, part), (_, ids) in parts.items() for i in ids}
-    parent = {at: (at[0] - 1, holder[(at[0] - 1, at[1])]) if at[0] else None for at in parts}
-    kids = {}
-    for at, up in parent.items():
-        kids.setdefault(up, []).append(at)
-    node, members = {}, {}
-    for at in sorted(parts):
-        up = parent[at]
-        node[at] = node[up] if up is not None and len(kids[up]) == 1 else at
-        members.setdefault(node[at], []).append(at)
-    own = {n: sum(len(parts[at][1]) * (parts[at][0] - (parts[parent[at]][0] if parent[at] else 0)) for at in ats) for n, ats in members.items()}
-    above = {n: node[parent[n]] if parent[n] else None for n in members}
-    below = {n: [m for m in members if above[m] == n] for n in members}
-    roots = [n for n in members if above[n] is None]
-    best, take, deep = {}, {}, {}
-    for n in sorted(members, reverse=True):
-        rest = sum(best[m] for m in below[n])
-        whole = above[n] is None and len(roots) == 1 and not allow_single and below[n]
-        take[n] = not below[n] if method == "leaf" else own[n] >= rest and not whole
-        best[n] = own[n] if take[n] else rest
-        deep[n] = max([parts[at][0] for at in members[n]] + [deep[m] for m in below[n]])
-    top = {}
-    for n in sorted(members):
-        top[n] = (top[above[n]] if above[n] is not None else None) or (n if take[n] else None)
-    out = {}
-    for level, part in sorted(parts):
-        for i in parts[(level, part)][1]:
-            n = node[(level, part)]
-            out[i] = (top[n], parts[(level, part)][0], deep[n])
-    return out
-
-
-@pytest.mark.parametrize(("method", "allow_single"), [("eom", False), ("eom", True), ("leaf", False)])
-def test_selection_against_brute_force(spark, method, allow_single):
-    """Groups within groups, of unlike density: nodes that split twice, rows that fall out early, and several births."""
+def brute_condensed(edges, size):
+    """Single linkage over sets of points: ({id: (lam, chain)}, {chain: (lam, size, parts, parent, born)})."""
+    part = {x: (frozenset([x]), None) for a, b, _ in edges for x in (a, b)}
+    falls, chains, parent = {}, {}, {}
+    for rank, (a, b, w) in enumerate(sorted(edges, key=lambda e: (e[2], e[0], e[1]))):
+        (one, left), (two, right) = part[a], part[b]
+        whole, lam = one | two, 1 / max(w, 1e-9)
+        chain = left if right is None else right
+        if len(whole) >= size and (left is None) == (right is None):
+            chain = rank
+            chains[rank] = [lam, len(whole), 0]
+        if left is not None and right is not None:
+            chains[rank][2] = 2
+            parent[left] = parent[right] = (rank, lam)
+        if len(whole) >= size:
+            falls |= {x: (lam, chain) for side, its in ((one, left), (two, right)) if its is None for x in side}
+        for x in whole:
+            part[x] = (whole, chain)
+    return falls, {c: (*v, *parent.get(c, (None, 0.0))) for c, v in chains.items()}
+
+
+def grouped_rows(spark):
+    """Groups within groups, of unlike density: chains that split twice, rows that fall out early, and several roots."""
     rng = np.random.default_rng(8)
     rows = []
     for g, spread in enumerate((0.02, 0.03, 0.02, 0.08, 0.05, 0.02)):
@@ -170,10 +155,74 @@ def test_selection_against_brute_force(spark, method, allow_single):
         rows += [center + rng.normal(0, spread, 3) for _ in range(40)]
     rows += list(rng.normal(0, 2, (20, 3)))
     data = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rows)], "id long, vector array<double>")
-    forest = stored(cl.spanning_forest(cl.reachability(stored(vx.exact_neighbours(data, 10), "near"), 4)), "forest")
-    tree = cl.hierarchy(data.select("id"), forest, 8, 12)
-    got = {r["id"]: (r["cluster"] and tuple(r["cluster"]), r["lam"], r["deep"]) for r in cl.selected(tree, method, allow_single).collect()}
-    want = brute_selected(tree.collect(), method, allow_single)
+    return stored(cl.spanning_forest(cl.reachability(stored(vx.exact_neighbours(data, 10), "near"), 4)), "forest")
+
+
+@pytest.fixture(scope="module")
+def grouped_forest(spark):
+    return grouped_rows(spark)
+
+
+def in_python(tree):
+    falls = {r["id"]: (r["lam"], r["chain"]) for r in tree.falls.collect()}
+    return falls, {r["chain"]: (r["lam"], r["size"], r["parts"], r["parent"], r["born"]) for r in tree.chains.collect()}
+
+
+@pytest.mark.parametrize("edges", [9, 40, 100_000])
+def test_condensed_tree_is_single_linkage(grouped_forest, monkeypatch, edges):
+    """In one bucket and in many, the tree that a walk over all merges gives."""
+    monkeypatch.setattr(dg, "BUCKET_EDGES", edges)
+    want = brute_condensed([tuple(r) for r in grouped_forest.select("a", "b", "w").collect()], 8)
+    assert len(want[1]) > 8 and {v[2] for v in want[1].values()} == {0, 2}
+    tree = dg.condensed(grouped_forest, 8)
+    assert in_python(tree) == want
+    if edges == 9:
+        assert grouped_forest.count() > 20 * edges
+
+
+def test_condensed_tree_of_chains_stars_and_equal_weights(spark, monkeypatch):
+    """A chain of rising weights, a star of one weight, names that are no numbers, trees too small for a cluster, none at all."""
+    monkeypatch.setattr(dg, "BUCKET_EDGES", 6)
+    edges = [(f"c{i:02d}", f"c{i + 1:02d}", 0.1 * (i + 1)) for i in range(30)] + [("hub", f"s{i:02d}", 0.5) for i in range(20)]
+    edges += [(min(a, b), max(a, b), 0.0) for a, b in [("s03", "t0"), ("t0", "t1"), ("c00", "hub"), ("z1", "z2")]]
+    forest = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "a string, b string, w double")
+    for size in (2, 5):
+        assert in_python(dg.condensed(forest, size)) == brute_condensed([tuple(r) for r in forest.collect()], size)
+    assert dg.condensed(forest, 500).chains.isEmpty()
+    assert dg.condensed(forest.limit(0), 5) is None
+
+
+def brute_selected(falls, chains, method, allow_single):
+    """Walks the chains with dictionaries: {id: (cluster or None, lam, deep)}."""
+    below = {c: [d for d in chains if chains[d][3] == c] for c in chains}
+    own = {c: sum(lam - born for lam, at in falls.values() if at == c) + (size * (end - born) if parts else 0) for c, (end, size, parts, _, born) in chains.items()}
+    roots = [c for c in chains if chains[c][3] is None]
+    best, take, deep = {}, {}, {}
+
+    def weigh(c):
+        for d in below[c]:
+            weigh(d)
+        rest = sum(best[d] for d in below[c])
+        whole = roots == [c] and not allow_single and below[c]
+        take[c] = not below[c] if method == "leaf" else own[c] >= rest and not whole
+        best[c] = own[c] if take[c] else rest
+        deep[c] = max([chains[c][0]] + [deep[d] for d in below[c]])
+
+    for c in roots:
+        weigh(c)
+
+    def cluster(c):
+        up = chains[c][3]
+        return (cluster(up) if up is not None else None) or (c if take[c] else None)
+
+    return {i: (cluster(c), lam, deep[c]) for i, (lam, c) in falls.items()}
+
+
+@pytest.mark.parametrize(("method", "allow_single"), [("eom", False), ("eom", True), ("leaf", False)])
+def test_selection_against_brute_force(grouped_forest, method, allow_single):
+    tree = dg.condensed(grouped_forest, 8)
+    got = {r["id"]: (r["cluster"], r["lam"], r["deep"]) for r in cl.selected(tree, method, allow_single).collect()}
+    want = brute_selected(*in_python(tree), method, allow_single)
     assert len({c for c, _, _ in want.values()}) > 2
     assert got == want
 
@@ -200,7 +249,7 @@ def test_rounds_that_do_not_settle_raise(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "a long, b long, w double")
     nodes = spark.range(41).select("id")
     with pytest.raises(RuntimeError):
-        cl.components(nodes, chain, max_rounds=1)
+        components(nodes, chain, max_rounds=1)
     with pytest.raises(RuntimeError):
         cl.spanning_forest(chain, max_rounds=1)
 
@@ -228,7 +277,7 @@ def test_forest_has_least_weight(planted):
 
 @pytest.mark.parametrize("method", ["eom", "leaf"])
 def test_planted_clusters(planted, method):
-    found = stored(cl.clustered(planted.select("id", "vector"), min_cluster_size=12, min_samples=5, levels=4, method=method), "found")
+    found = stored(cl.clustered(planted.select("id", "vector"), min_cluster_size=12, min_samples=5, method=method), "found")
     rows = found.join(planted.select(F.col("id").alias("record_id"), "truth"), "record_id")
     assert quality.adjusted_rand(rows).first()[0] >= 0.8
     assert found.count() == 200
@@ -237,23 +286,10 @@ def test_planted_clusters(planted, method):
     assert firsts == sorted(firsts)
 
 
-def test_hierarchy_is_the_flat_cut_of_each_level(planted):
-    forest = stored(cl.spanning_forest(stored(cl.reachability(stored(vx.exact_neighbours(planted, 8), "near"), 4), "reach")), "forest")
-    got = {}
-    for r in cl.hierarchy(planted.select("id"), forest, 12, 3).collect():
-        got.setdefault((r["level"], r["lam"]), set()).add((r["part"], r["id"]))
-    for level, eps in enumerate(cl._levels(forest, 3)):
-        want = cl.flat_cut(planted.select("id"), forest, eps, 12).where("cluster <> -1").collect()
-        assert got.get((level, 1 / eps), set()) == {(r["part"], r["id"]) for r in want}
-
-
 @pytest.mark.parametrize("name", ["c07_hierarchy", "c08_probabilities"])
-def test_registered_topics_on_2000_planted_rows(spark, monkeypatch, name):
-    seen, run = [], cl.hierarchy
-    monkeypatch.setattr(cl, "hierarchy", lambda nodes, forest, size, levels: seen.append(levels) or run(nodes, forest, size, levels))
+def test_registered_topics_on_2000_planted_rows(spark, name):
     sf = "/root/testdata/sf0.1"
     found = stored(registry.queries()[name](spark, sf), "found")
-    assert seen[0] >= 24
     truth = table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("truth"))
     rows = found.join(truth, "record_id")
     assert rows.count() == 2000
