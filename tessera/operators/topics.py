@@ -80,18 +80,20 @@ def facet_values(rows: DataFrame, facet: str) -> DataFrame:
 def facets(members: DataFrame, records: DataFrame, facet: str, clusters: Sequence[int] = (), top: int = TOP_FACETS) -> DataFrame:
     """cluster_id, value, count: the first ``top`` values by count, then value; the rest as one, if any.
 
-    Noise is left out; no clusters means all of them.
+    The rest is what is left of the topic's total. A value that is called as the rest is counted with it, so no
+    name comes twice. Noise is left out; no clusters means all of them.
     """
     rows = _noiseless(members).select("cluster_id", "record_id")
     if clusters:
         rows = rows.where(F.col("cluster_id").isin(list(clusters)))
     counted = facet_values(rows.join(records, "record_id"), facet).groupBy("cluster_id", "value").agg(F.count(F.lit(1)).alias("count"))
+    # a limit on a rank: each task keeps its own first ones of a topic before they meet
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("count"), "value"))
-    name = F.when(place <= top, F.col("value")).otherwise(F.lit(OTHER))
-    ranked = counted.withColumn("_value", name)
-    first = ranked.where(F.col("_value") == F.col("value")).select("cluster_id", "value", "count")
-    rest = ranked.where(F.col("_value") != F.col("value")).groupBy("cluster_id").agg(F.sum("count").alias("count"))
-    return first.unionByName(rest.select("cluster_id", F.lit(OTHER).alias("value"), "count"))
+    first = counted.withColumn("_n", place).where(F.col("_n") <= top).select("cluster_id", "value", "count")
+    told = first.select("cluster_id", (-F.col("count")).alias("count"))
+    rest = counted.select("cluster_id", "count").union(told).groupBy("cluster_id").agg(F.sum("count").alias("count")).where(F.col("count") > 0)
+    both = first.unionByName(rest.select("cluster_id", F.lit(OTHER).alias("value"), "count"))
+    return both.groupBy("cluster_id", "value").agg(F.sum("count").alias("count"))
 
 
 def latest_labels(labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators import ingest
 from tessera.operators import topics as tp
@@ -16,8 +17,12 @@ from tessera.plans.records import BEST, flat
 from tessera.plans.trends import BASE, points_sql
 from tessera.session import fresh_path, table
 from tessera.sources import sinks
+from tessera.sources.keyed import KeyedTable
 from tessera.streaming import twins
 
+#: Files that a stream's fixture is written to at a time, by ranges of time.
+_FILES = 4
+
 
 @query("s04_run_output", with_ctes(BASE, select="SELECT 'r1' AS run_id, count(*) AS n FROM members UNION ALL SELECT 'r2', count(*) FROM members WHERE NOT is_noise"))
 def s04(spark, sf_dir) -> DataFrame:
@@ -62,27 +67,23 @@ def s08(spark, sf_dir) -> DataFrame:
 
 @query("k01_stream_ingest", with_ctes(RECORDS, select=f"SELECT r.record_id AS record_key, sha256(trim(customer_text, ' ')) AS text_hash, source_type FROM records r JOIN ({_BAD}) b ON b.record_id = r.record_id WHERE len(bad) = 0"))
 def k01(spark, sf_dir) -> DataFrame:
+    """In four micro-batches of several files, by two streams, one after the other."""
     lines, out, check = (fresh_path(spark, x) for x in ("lines", "upserts", "check"))
-    json_lines(spark, sf_dir).select("value").repartition(2).write.text(lines)
-    empty = ingest.accepted(ingest.validated(spark.read.text(lines).limit(0))).drop("value", "normalized_json")
-    state = {"at": None}
-
-    def current() -> DataFrame:
-        if state["at"] is not None:
-            return spark.read.parquet(state["at"])
-        return empty.select("*", F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), F.lit(True).alias("is_active"))
-
-    def write(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/{number}")
-        state["at"] = f"{out}/{number}"
-
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(lines)
-    twins.upsert_stream(stream, current, write, check).awaitTermination()
-    return current().select("record_key", F.sha2("customer_text", 256).alias("text_hash"), "source_type")
+    ordered = json_lines(spark, sf_dir).repartitionByRange(_FILES, "event_id")
+    ordered.where("event_id % 2 = 0").select("value").write.text(lines)
+    fields = ingest.accepted(ingest.validated(spark.read.text(lines).limit(0))).drop("value", "normalized_json").schema.fields
+    schema = T.StructType([*fields, T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()), T.StructField("is_active", T.BooleanType())])
+    target = KeyedTable(spark, out, "record_key", schema, 16)
+    for _ in range(2):  # the second stream goes on where the first ended
+        stream = spark.readStream.option("maxFilesPerTrigger", _FILES // 2).text(lines)
+        twins.upsert_stream(stream, target, check).awaitTermination()
+        ordered.where("event_id % 2 = 1").select("value").write.mode("append").text(lines)
+    twins.upsert_stream(spark.readStream.option("maxFilesPerTrigger", _FILES // 2).text(lines), target, check).awaitTermination()
+    return target.read().select("record_key", F.sha2("customer_text", 256).alias("text_hash"), "source_type")
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
-    """Events as a stream of files in the order of their times."""
+    """Events as a stream of files in the order of their times; a micro-batch takes several."""
     path = fresh_path(spark, "events")
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", (F.col("user_id") % 13 - 1).alias("cluster_id"))
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
@@ -90,15 +91,16 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     for i in range(4):  # one after the other, as files come in
         after = F.col("ts") >= F.lit(first + i * quarter) if i else F.lit(True)
         before = F.col("ts") < F.lit(first + (i + 1) * quarter) if i < 3 else F.lit(True)
-        rows.where(after & before).coalesce(1).write.mode("append").json(path)
-    return twins.json_stream(spark, path, "event_id long, ts timestamp, event_type string, user_id long, cluster_id long")
+        rows.where(after & before).repartitionByRange(_FILES, "ts").write.mode("append").json(path)
+    return twins.json_stream(spark, path, "event_id long, ts timestamp, event_type string, user_id long, cluster_id long", _FILES)
 
 
-@query("k02_stream_counts", with_ctes(RECORDS, select="SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS bucket, user_id % 13 - 1 AS cluster_id, count(*) AS count FROM records WHERE CAST(date_trunc('week', ts) AS DATE) + INTERVAL 7 day <= (SELECT max(ts) - INTERVAL 2 day FROM records) GROUP BY 1, 2"))
+@query("k02_stream_counts", with_ctes(RECORDS, select="""SELECT bucket, cluster_id, count, CAST(sum(count) OVER (PARTITION BY bucket) AS BIGINT) AS total FROM (
+  SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS bucket, user_id % 13 - 1 AS cluster_id, count(*) AS count FROM records WHERE CAST(date_trunc('week', ts) AS DATE) + INTERVAL 7 day <= (SELECT max(ts) - INTERVAL 2 day FROM records) GROUP BY 1, 2)"""))
 def k02(spark, sf_dir) -> DataFrame:
     counts = twins.bucket_counts(_event_stream(spark, sf_dir), "week", "2 days")
     found = twins.drained(counts, fresh_path(spark, "counts"), fresh_path(spark, "check"))
-    return found.select(F.col("bucket").cast("string").alias("bucket"), "cluster_id", "count")
+    return found.select(F.col("bucket").cast("string").alias("bucket"), "cluster_id", "count", "total")
 
 
 @query("k03_stream_dedup", "SELECT DISTINCT sha256(event_type || ' ' || user_id) AS text_hash FROM events")

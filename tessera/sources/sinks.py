@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 
 def write_run(rows: DataFrame, path: str, run_id: str) -> None:
     """Replaces the partition of one run and leaves the others as they are."""
@@ -12,14 +16,32 @@ def write_run(rows: DataFrame, path: str, run_id: str) -> None:
 
 
 def write_latest(rows: DataFrame, path: str, version: str) -> None:
-    """Writes a version to a folder of its own, then points to it; readers see the old one or the new one."""
-    rows.write.mode("overwrite").parquet(f"{path}/versions/{version}")
-    rows.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").json(f"{path}/latest")
+    """Makes rows the only version.
+
+    They are written to a folder of their own; then the pointer, a small file, is written aside and renamed over
+    the old one, so that a reader finds the old version or the new one at any time; then the versions that were complete
+    before are removed. A writer that dies leaves the old version in place, and an unfinished folder that the next one removes.
+    """
+    spark = rows.sparkSession
+    before = files.names(spark, f"{path}/versions")
+    folder = f"{version}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/versions/{folder}")
+    files.write_json(spark, f"{path}/latest.json", {"version": version, "folder": folder}, replace=True)
+    for old in before:
+        files.remove(spark, f"{path}/versions/{old}")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/latest").first()[0]
-    return spark.read.parquet(f"{path}/versions/{version}")
+    """The version that the pointer names now."""
+    return spark.read.parquet(f"{path}/versions/{latest_version(spark, path)['folder']}")
+
+
+def latest_version(spark: SparkSession, path: str) -> dict:
+    """The pointer: version and folder."""
+    found = files.read_json(spark, f"{path}/latest.json")
+    if found is None:
+        raise FileNotFoundError(f"no version was written to {path}")
+    return found
 
 
 def audit(result: DataFrame, path: str, recipe: str, params: dict[str, str]) -> None:

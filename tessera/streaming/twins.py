@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import utc_day
 from tessera.operators import ingest, providers
+from tessera.sources.keyed import KeyedTable
 
 #: Epoch days are counted from a Thursday; weeks that begin on Monday start four days on.
 _STARTS = {"day": "0 days", "week": "4 days"}
 _SIZES = {"day": "1 day", "week": "7 days"}
 
 
-def upsert_stream(lines: DataFrame, read_current: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Validates JSON lines and upserts each micro-batch; a batch that is delivered again changes nothing more.
+def upsert_stream(lines: DataFrame, table: KeyedTable, checkpoint: str, stream: str = "records") -> StreamingQuery:
+    """Validates JSON lines and upserts each micro-batch into the table; a batch that is delivered again changes nothing more.
 
-    read_current gives the table as it is, write replaces it under the batch's number.
+    All that the stream has to know is in the table's version files and the checkpoint, so a stream that is started
+    anew, in another session too, goes on where the last one ended.
     """
 
+    def merge(current: DataFrame, fresh: DataFrame) -> DataFrame:
+        return ingest.upserted(current, fresh, F.current_timestamp()).drop("change")
+
     def batch(rows: DataFrame, number: int) -> None:
         good = ingest.accepted(ingest.validated(rows.select("value")))
         fresh = good.drop("value", "normalized_json").withColumn("batch_index", F.monotonically_increasing_id())
-        write(ingest.upserted(read_current(), fresh, F.current_timestamp()).drop("change"), number)
+        table.upsert(fresh, merge, stream, number)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def bucket_counts(members: DataFrame, unit: str, delay: str) -> DataFrame:
-    """bucket, cluster_id, count: tumbling counts; rows later than the delay are dropped. Noise has its own rows."""
+    """bucket, cluster_id, count, total: tumbling counts of each topic, and of its bucket over all topics and noise.
+
+    Two aggregations in one stream: topics are counted first, and the counts of a bucket, one row for each topic, are
+    gathered when its window closes. Rows later than the delay are dropped, from both. Noise has its own rows.
+    """
     window = F.window("ts", _SIZES[unit], _SIZES[unit], _STARTS[unit])
     counted = members.withWatermark("ts", delay).groupBy(window.alias("w"), "cluster_id").agg(F.count(F.lit(1)).alias("count"))
-    return counted.select(utc_day(F.col("w.start")).alias("bucket"), "cluster_id", "count")
+    whole = F.window(F.window_time("w"), _SIZES[unit], _SIZES[unit], _STARTS[unit])
+    gathered = counted.groupBy(whole.alias("w")).agg(F.sum("count").alias("total"), F.collect_list(F.struct("cluster_id", "count")).alias("topics"))
+    return gathered.select(utc_day(F.col("w.start")).alias("bucket"), F.inline("topics"), "total").select("bucket", "cluster_id", "count", "total")
 
 
 def distinct_texts(records: DataFrame, delay: str) -> DataFrame:
@@ -62,5 +71,6 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+def json_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """JSON lines of a folder, so many files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
