@@ -98,8 +98,12 @@ def label_targets(representatives: DataFrame, records: DataFrame, summaries: Dat
 
 
 def labelled(targets: DataFrame, provider) -> DataFrame:
-    """cluster_id, label, coherent, error: one call for each topic; one failure is one topic's."""
+    """cluster_id, label, coherent, error, prompt_tokens, completion_tokens: one call for each topic; one failure is one topic's.
+
+    Tokens are the usage that the provider reports with its result, null where it reports none.
+    """
     held = targets.sparkSession.sparkContext.broadcast(provider)
+    names = ["cluster_id", "label", "coherent", "error", "prompt_tokens", "completion_tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -107,12 +111,46 @@ def labelled(targets: DataFrame, provider) -> DataFrame:
             for key, texts in zip(rows["cluster_id"], rows["texts"], strict=True):
                 try:
                     got = held.value.run(list(texts))
-                    out.append((key, got["label"], got["coherent"], None))
+                    usage = got.get("usage") or {}
+                    out.append((key, got["label"], got["coherent"], None, usage.get("prompt_tokens"), usage.get("completion_tokens")))
                 except Exception as e:
-                    out.append((key, None, None, str(e)[:200]))
-            yield pd.DataFrame(out, columns=["cluster_id", "label", "coherent", "error"])
+                    out.append((key, None, None, str(e)[:200], None, None))
+            yield pd.DataFrame(out, columns=names).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+
+    schema = "cluster_id long, label string, coherent boolean, error string, prompt_tokens long, completion_tokens long"
+    return targets.select("cluster_id", "texts").mapInPandas(run, schema)
 
-    return targets.select("cluster_id", "texts").mapInPandas(run, "cluster_id long, label string, coherent boolean, error string")
+
+def label_run(targets: DataFrame, provider, path: str, run_id: str) -> DataFrame:
+    """labelled(), once: labels are appended to path with run_id and created_at, and all items come back.
+
+    A run whose every topic failed is an error and appends nothing.
+    """
+    items = stored(labelled(targets, provider), "labels")
+    good = items.where("error is null")
+    if not items.isEmpty() and good.isEmpty():
+        failed = [r[0] for r in items.orderBy("cluster_id").select("cluster_id").limit(50).collect()]
+        raise RuntimeError(f"every topic failed: {failed}")
+    good.select(F.lit(run_id).alias("run_id"), "cluster_id", "label", "coherent", F.current_timestamp().alias("created_at")).write.mode("append").parquet(path)
+    return items
+
+
+def token_usage(items: DataFrame) -> DataFrame:
+    """One row: prompt, completion and total tokens of all calls that reported them, and how many did."""
+    prompt, completion = (F.coalesce(F.sum(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens"))
+    return items.agg(prompt.alias("prompt"), completion.alias("completion"), (prompt + completion).alias("total"), F.count("prompt_tokens").alias("calls"))
+
+
+def label_report(representatives: DataFrame, records: DataFrame, summaries: DataFrame | None, prompt: str, k: int = 10, limit: int = 500) -> DataFrame:
+    """cluster_id, rank, record_id, block, truncated, from_summary, prompt_hash: what a label run showed of each representative."""
+    rows = representatives.where(F.col("rank") <= k).join(records.select("record_id", "source_name", F.col("product").alias("title"), "customer_text"), "record_id")
+    if summaries is None:
+        rows = rows.withColumn("_s", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(summaries.select("record_id", F.nullif("summary", F.lit("")).alias("_s")), "record_id", "left")
+    text = F.coalesce("_s", "customer_text")
+    block = representative_block(F.col("rank"), F.col("source_name"), F.col("title"), text, limit)
+    return rows.select("cluster_id", "rank", "record_id", block.alias("block"), (F.length(text) > limit).alias("truncated"), F.col("_s").isNotNull().alias("from_summary"), F.sha2(F.lit(prompt), 256).alias("prompt_hash"))
 
 
 def _kind(name: str) -> Column:

@@ -6,9 +6,14 @@ snapshot: external_id, version_hash, active.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import identity_hash
+from tessera.session import stored
+
 
 def record_id(dataset: Column, external_id: Column, version_hash: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.array(dataset, external_id, version_hash)), 256), 1, 32)
@@ -89,9 +94,22 @@ def admission(request: DataFrame, imports: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict).select(*request.columns, "verdict")
 
 
+def merged_metadata(given: Column, own: Column) -> Column:
+    """JSON text of the given JSON object's entries, keys in order, and the own struct under ``chunk``, which wins; null and what is no object give nothing."""
+    entries = F.map_entries(F.coalesce(F.try_variant_get(F.try_parse_json(given), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    kept = F.array_sort(F.transform(F.filter(entries, lambda e: e["key"] != "chunk"), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("json"))))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+    parts = F.transform(kept, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"]))
+    return F.concat(F.lit("{"), F.array_join(F.array_append(parts, F.concat(F.lit('"chunk":'), F.to_json(own))), ","), F.lit("}"))
+
+
 def chunk_records(chunks: DataFrame) -> DataFrame:
-    """Records of chunks: key, source, title, text, timestamp and merged metadata as JSON."""
+    """Records of chunks: key, source, title, text, timestamp and metadata as JSON.
+
+    Where chunks bring metadata of their own, JSON text, it is merged in, see merged_metadata().
+    """
     own = F.struct("collection", "path", "sequence", "total_chunks")
+    metadata = merged_metadata(F.col("metadata"), own) if "metadata" in chunks.columns else F.to_json(own)
     return chunks.select(
         F.col("external_id").alias("record_key"),
         F.lit("memory").alias("source_type"),
@@ -100,7 +118,7 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
         F.col("title"),
         F.trim("text").alias("customer_text"),
         F.col("modified_at").alias("ts"),
-        F.to_json(own).alias("metadata"),
+        metadata.alias("metadata"),
     )
 
 
@@ -185,6 +203,21 @@ def vector_bytes(values: Column) -> Column:
     return packed(values)
 
 
+def unit_bytes(payload: Column) -> Column:
+    """Float32 bytes of a vector brought to unit length; the zero vector stays."""
+    import numpy as np
+
+    def unit(data: bytes) -> bytes:
+        v = np.frombuffer(bytes(data), "<f4").astype(np.float64)
+        return (v / (np.sqrt(v @ v) or 1.0)).astype("<f4").tobytes()
+
+    @F.pandas_udf("binary")
+    def units(data):
+        return data.map(lambda b: None if b is None else unit(b))
+
+    return units(payload)
+
+
 def checked_vectors(index: DataFrame, fingerprint: str, dims: int, normalized: bool) -> DataFrame:
     """vector_id, problem (first that applies): index rows vector_id, document, sequence, fingerprint, offset, length, vector."""
     by = Window.partitionBy("vector_id")
@@ -242,9 +275,65 @@ def checked_documents(chunks: DataFrame) -> DataFrame:
     return found.select("collection", "path", problem.alias("problem"))
 
 
-def stored_vectors(incoming: DataFrame, store: DataFrame) -> DataFrame:
-    """vector_id, original, sha, verdict: new, known, or conflict where the id has other bytes."""
-    rows = incoming.withColumn("sha", F.sha2("original", 256))
-    old = store.select(F.col("vector_id"), F.col("sha").alias("_sha"))
-    verdict = F.when(F.col("_sha").isNull(), "new").when(F.col("_sha") == F.col("sha"), "known").otherwise("conflict")
-    return rows.join(old, "vector_id", "left").withColumn("verdict", verdict).drop("_sha")
+def stored_vectors(incoming: DataFrame, store: DataFrame, normalized: bool = False) -> DataFrame:
+    """vector_id, original, sha, derived, transformation, verdict: new, known, or conflict where the id has other bytes or another transformation.
+
+    derived is the original where vectors are declared to be of unit length, else brought to it, as float32 bytes; the zero vector stays.
+    store: vector_id, sha, and transformation where it was kept.
+    """
+    unit = F.col("original") if normalized else unit_bytes(F.col("original"))
+    change = "none" if normalized else "l2-normalize"
+    rows = incoming.withColumn("sha", F.sha2("original", 256)).withColumn("derived", unit).withColumn("transformation", F.lit(change))
+    before = F.col("transformation") if "transformation" in store.columns else F.lit(change)
+    old = store.select("vector_id", F.col("sha").alias("_sha"), before.alias("_change"))
+    same = (F.col("_sha") == F.col("sha")) & (F.col("_change") == change)
+    verdict = F.when(F.col("_sha").isNull(), "new").when(same, "known").otherwise("conflict")
+    return rows.join(old, "vector_id", "left").withColumn("verdict", verdict).drop("_sha", "_change")
+
+
+def added_vectors(incoming: DataFrame, store: DataFrame, normalized: bool = False) -> DataFrame:
+    """What an import appends to the store: its new vectors. One conflict refuses the import."""
+    rows = stored(stored_vectors(incoming, store, normalized), "incoming-vectors")
+    wrong = [r[0] for r in rows.where("verdict = 'conflict'").orderBy("vector_id").select("vector_id").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"vectors were imported before with other bytes or normalization: {wrong}")
+    return rows.where("verdict = 'new'").drop("verdict")
+
+
+def reconciled(chunks: DataFrame, index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """side, id, problem: what chunks, vector index and manifest say against each other, in one pass over the first two.
+
+    chunks: external_id, identity, vector, collection, path, document, sequence, active (JSON text). index: vector, identity,
+    document, sequence, fingerprint. manifest, one row: chunk_count, vector_count, document_count. vector is
+    the id that both sides name a vector by, identity the one that the content gives: of a chunk
+    its collection, path, document and sequence, of a vector its document, sequence and fingerprint. An id may have several
+    problems. A side's orphans are ``unknown vector`` (chunk) and ``unreferenced`` (vector).
+    """
+    text = lambda *names: [F.col(n).cast("string") for n in names]
+    left = chunks.select(
+        F.lit(1).alias("_c"), "external_id", F.col("vector").alias("_wants"), F.struct("collection", "path").alias("_doc"),
+        (F.col("identity") != identity_hash(F.lit("chunk"), *text("collection", "path", "document", "sequence"))).alias("_cid"), (~F.coalesce("active", F.lit("")).isin("true", "false")).alias("_kind"),
+    )
+    right = index.select(F.lit(1).alias("_v"), F.col("vector").alias("_has"), (F.col("identity") != identity_hash(F.lit("vector"), *text("document", "sequence", "fingerprint"))).alias("_vid"))
+    met = stored(left.join(right, F.col("_wants") == F.col("_has"), "full"), "reconciled")
+    tell = lambda rows, side, at, problem: rows.select(F.lit(side).alias("side"), F.col(at).cast("string").alias("id"), F.lit(problem).alias("problem"))
+    chunk, vector = met.where("_c = 1"), met.where("_v = 1")
+    twice = lambda rows, at: rows.groupBy(at).count().where("count > 1")
+    # a vector that several chunks name comes back as often
+    vectors = vector.groupBy("_has").agg(F.max("_vid").alias("_vid"), F.max("_c").alias("_c"))
+    found = [
+        tell(chunk.where("_v is null"), "chunk", "external_id", "unknown vector"),
+        tell(chunk.where("_cid"), "chunk", "external_id", "identity"),
+        tell(chunk.where("_kind"), "chunk", "external_id", "active is not true or false"),
+        tell(twice(chunk, "external_id"), "chunk", "external_id", "external id repeats"),
+        tell(vectors.where("_c is null"), "vector", "_has", "unreferenced"),
+        tell(vectors.where("_vid"), "vector", "_has", "identity"),
+        tell(twice(right, "_has"), "vector", "_has", "vector id repeats"),
+    ]
+    counts = met.agg(F.count("_c").alias("chunk_count"), F.countDistinct("_doc").alias("document_count")).crossJoin(right.agg(F.count("_v").alias("vector_count")))  # one row each
+    names = ("chunk_count", "vector_count", "document_count")
+    said = manifest.select(*(F.col(n).alias(f"_{n}") for n in names)).crossJoin(counts)
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("id"), F.col(f"_{n}").cast("long").alias("said"), F.col(n).alias("found")) for n in names))).alias("x")
+    wrong = said.select(sides).select("x.*").where("said is null or said <> found")
+    found.append(wrong.select(F.lit("manifest").alias("side"), "id", F.format_string("says %s, has %s", F.coalesce(F.col("said").cast("string"), F.lit("nothing")), F.col("found").cast("string")).alias("problem")))
+    return reduce(DataFrame.unionByName, found)

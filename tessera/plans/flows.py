@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import ingest
-from tessera.operators import topics as tp
 from tessera.operators import trend
 from tessera.plans import scripted
 from tessera.plans.book import query
 from tessera.plans.fixture import RECORDS, members, records, with_ctes
 from tessera.plans.intake import VECTORS, _BAD, json_lines
-from tessera.plans.records import BEST, flat
 from tessera.plans.trends import BASE, points_sql
 from tessera.session import fresh_path, table
 from tessera.sources import sinks
@@ -58,13 +56,6 @@ def s07(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(path).select("recipe", "params", F.inline(F.from_json("result", "array<struct<cluster_id: long, n: long>>")))
 
 
-@query("s08_artifact", with_ctes(BASE, BEST, select="SELECT (SELECT count(DISTINCT cluster_id) FROM members WHERE NOT is_noise) AS topics, count(*) AS rows FROM records"))
-def s08(spark, sf_dir) -> DataFrame:
-    path = fresh_path(spark, "artifact")
-    sinks.write_artifact(flat(tp.summaries(members(spark, sf_dir))), records(spark, sf_dir).select("record_id", tp.shortened(F.col("customer_text")).alias("text")), path)
-    return spark.read.json(f"{path}/topics").agg(F.count(F.lit(1)).alias("topics")).crossJoin(spark.read.json(f"{path}/data").agg(F.count(F.lit(1)).alias("rows")))
-
-
 @query("k01_stream_ingest", with_ctes(RECORDS, select=f"SELECT r.record_id AS record_key, sha256(trim(customer_text, ' ')) AS text_hash, source_type FROM records r JOIN ({_BAD}) b ON b.record_id = r.record_id WHERE len(bad) = 0"))
 def k01(spark, sf_dir) -> DataFrame:
     """In four micro-batches of several files, by two streams, one after the other."""

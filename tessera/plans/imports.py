@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import chunks as ck
 from tessera.operators import snapshot as sn
 from tessera.plans.book import query
@@ -82,9 +83,14 @@ def b07a(spark, sf_dir) -> DataFrame:
     return sn.admission(request, imports).select("id", "verdict")
 
 
-@query("b08_chunk_records", """SELECT CAST(doc_id AS VARCHAR) AS record_key, source AS source_name, trim(text, ' ') AS customer_text, concat('{"collection":"', source, '","path":"', lang, '/', doc_id, '","sequence":0,"total_chunks":1}') AS metadata FROM documents""")
+@query("b08_chunk_records", """SELECT CAST(doc_id AS VARCHAR) AS record_key, source AS source_name, trim(text, ' ') AS customer_text, concat('{', CASE WHEN doc_id % 3 = 1 THEN concat('"a b":[1,null],"lang":"', lang, '",') ELSE '' END,
+  '"chunk":{"collection":"', source, '","path":"', lang, '/', doc_id, '","sequence":0,"total_chunks":1}}') AS metadata FROM documents""")
 def b08(spark, sf_dir) -> DataFrame:
-    return sn.chunk_records(_chunks(spark, sf_dir)).select("record_key", "source_name", "customer_text", "metadata")
+    """A third of the chunks brings metadata, one of whose keys the record's own takes, and a third brings no object."""
+    given = F.concat(F.lit('{"lang":"'), F.substring_index("path", "/", 1), F.lit('","chunk":7,"a b":[1,null]}'))
+    k = F.col("vector_id") % 3
+    chunks = _chunks(spark, sf_dir).withColumn("metadata", F.when(k == 1, given).when(k == 2, "[1]"))
+    return sn.chunk_records(chunks).select("record_key", "source_name", "customer_text", "metadata")
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
@@ -105,12 +111,15 @@ def _chunks(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("b09_vector_store", "SELECT vec_id AS vector_id, CASE WHEN vec_id % 3 = 0 THEN 'new' WHEN vec_id % 3 = 1 THEN 'known' ELSE 'conflict' END AS verdict FROM embeddings")
+@query("b09_vector_store", "SELECT vec_id AS vector_id, CASE WHEN vec_id % 4 = 0 THEN 'new' WHEN vec_id % 4 = 1 THEN 'known' ELSE 'conflict' END AS verdict, 'l2-normalize' AS transformation, round(3 * embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: 9.0 * x * x))), 4) AS first_value, len(embedding) * 4 AS bytes FROM embeddings")
 def b09(spark, sf_dir) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), sn.vector_bytes(F.col("embedding")).alias("original"))
-    k = F.col("vector_id") % 3
-    store = v.where(k != 0).select("vector_id", F.when(k == 1, F.sha2("original", 256)).otherwise("other").alias("sha"))
-    return sn.stored_vectors(v, store).select("vector_id", "verdict")
+    """Vectors of length 3; the store has a fourth of them, another with other bytes, and another as it came."""
+    long = F.transform("embedding", lambda x: (x * 3).cast("float"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), sn.vector_bytes(long).alias("original"))
+    k = F.col("vector_id") % 4
+    store = v.where(k != 0).select("vector_id", F.when(k == 2, "other").otherwise(F.sha2("original", 256)).alias("sha"), F.when(k == 3, "none").otherwise("l2-normalize").alias("transformation"))
+    found = sn.stored_vectors(v, store)
+    return found.select("vector_id", "verdict", "transformation", F.round(F.get(sn.vector_values(F.col("derived")), F.lit(0)).cast("double"), 4).alias("first_value"), F.octet_length("derived").cast("long").alias("bytes"))
 
 
 @query("b10_import_items", f"WITH {CTES} SELECT external_id, CASE WHEN active THEN 'active' ELSE 'inactive' END AS state, 'import-2' AS import_id FROM snap UNION ALL SELECT external_id, 'deleted', 'import-2' FROM cur WHERE external_id NOT IN (SELECT external_id FROM snap)")
@@ -195,6 +204,30 @@ def b05(spark, sf_dir) -> DataFrame:
     return sn.checked_documents(lines).select("path", "problem")
 
 
+@query("b05_reconciliation", """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'twice' ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents),
+v AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT -1 - vec_id FROM embeddings WHERE vec_id % 50 = 0)
+SELECT 'chunk' AS side, id, 'unknown vector' AS problem FROM c WHERE doc_id NOT IN (SELECT id FROM v)
+UNION ALL SELECT 'chunk', id, 'identity' FROM c WHERE doc_id % 11 = 0 UNION ALL SELECT 'chunk', id, 'active is not true or false' FROM c WHERE doc_id % 13 = 0
+UNION ALL SELECT 'chunk', id, 'external id repeats' FROM c GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'vector', CAST(id AS VARCHAR), 'unreferenced' FROM v WHERE id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'vector', CAST(id AS VARCHAR), 'identity' FROM v WHERE id % 9 = 5
+UNION ALL SELECT 'manifest', 'vector_count', concat('says ', (SELECT count(*) FROM embeddings), ', has ', (SELECT count(*) FROM v)) WHERE (SELECT count(*) FROM embeddings) <> (SELECT count(*) FROM v)
+UNION ALL SELECT 'manifest', 'document_count', concat('says nothing, has ', (SELECT count(*) FROM documents))""")
+def b05r(spark, sf_dir) -> DataFrame:
+    """Chunks of documents and vectors of embeddings, each with its faults; the manifest counts other vectors and no documents."""
+    k, own = F.col("doc_id"), [F.col(c).cast("string") for c in ("collection", "path", "document", "sequence")]
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection"), F.concat_ws("/", "lang", k.cast("string")).alias("path"), F.sha2("text", 256).alias("document"), F.lit(0).alias("sequence"))
+    chunks = d.select(
+        F.when(k % 17 == 0, "twice").otherwise(k.cast("string")).alias("external_id"), F.when(k % 11 == 0, "other").otherwise(tx.identity_hash(F.lit("chunk"), *own)).alias("identity"),
+        k.alias("vector"), "collection", "path", "document", "sequence", F.when(k % 13 == 0, '"yes"').otherwise("true").alias("active"),
+    )
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector"))
+    v = e.where("vector % 7 <> 0").union(e.where("vector % 50 = 0").select(-1 - F.col("vector")))
+    parts = [F.lit("d"), F.lit("0"), F.lit("model-1")]
+    index = v.select("vector", F.when(F.col("vector") % 9 == 5, "other").otherwise(tx.identity_hash(F.lit("vector"), *parts)).alias("identity"), F.lit("d").alias("document"), F.lit(0).alias("sequence"), F.lit("model-1").alias("fingerprint"))
+    manifest = d.agg(F.count(F.lit(1)).alias("chunk_count")).crossJoin(e.agg(F.count(F.lit(1)).alias("vector_count"))).withColumn("document_count", F.lit(None).cast("long"))
+    return sn.reconciled(chunks, index, manifest)
+
+
 # the chunk index: documents as content, slices of 400 characters as chunks
 
 INDEX = """docs AS (SELECT doc_id, source AS collection, sha256(text) AS hash, doc_id % 9 <> 0 AS active, text FROM documents),

@@ -273,9 +273,13 @@ w AS (SELECT cluster_id, unnest(regexp_split_to_array(lower(customer_text), '\\s
 top AS (SELECT cluster_id, arg_min(w, (-n, w)) AS w FROM c GROUP BY 1), f AS (SELECT cluster_id, bool_or(customer_text = 'signup') AS failed FROM t GROUP BY 1)""",
     select="SELECT f.cluster_id, CASE WHEN NOT failed THEN concat('about ', coalesce(w, 'empty'), ' texts') END AS label, CASE WHEN NOT failed THEN w IS NOT NULL END AS coherent, CASE WHEN failed THEN 'scripted failure' END AS error FROM f LEFT JOIN top ON top.cluster_id = f.cluster_id"))
 def e08(spark, sf_dir) -> DataFrame:
-    """A topic among whose texts is a bare ``signup`` fails, and only that topic."""
+    """A topic among whose texts is a bare ``signup`` fails, and only that topic; the others' labels are appended, beside those of a run before."""
     targets = providers.label_targets(tp.representatives(members(spark, sf_dir), 20), records(spark, sf_dir), None, 5)
-    return providers.labelled(targets, scripted.KeywordLabeller("signup"))
+    path = fresh_path(spark, "labels")
+    providers.label_run(targets.where("cluster_id < 2"), scripted.KeywordLabeller(), path, "r1")
+    items = providers.label_run(targets, scripted.KeywordLabeller("signup"), path, "r2")
+    kept = spark.read.parquet(path).where("run_id = 'r2'").select("cluster_id", "label", "coherent", F.lit(None).cast("string").alias("error"))
+    return kept.union(items.where("error is not null").select("cluster_id", "label", "coherent", "error"))
 
 
 @query("e09_label_validation", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tags must be a list of strings' WHEN 1 THEN 'coherent must be true or false' WHEN 2 THEN 'label must be a non-empty string' END AS error FROM events")
@@ -288,10 +292,13 @@ def e09(spark, sf_dir) -> DataFrame:
     return providers.checked_labels(rows).select("event_id", "error")
 
 
-@query("e10_label_report", with_ctes(BASE, BEST, select="SELECT b.cluster_id, count(*) AS blocks, count(*) FILTER (length(customer_text) > 500) AS truncated FROM best b JOIN records r ON r.record_id = b.record_id WHERE rank <= 10 GROUP BY b.cluster_id"))
+@query("e10_label_report", with_ctes(BASE, BEST, SUMMARY, select="""SELECT cluster_id, rank, record_id, sha256(concat('Record ', rank, chr(10), 'Source: ', source_name, chr(10), CASE WHEN product IS NOT NULL THEN concat('Title: ', product, chr(10)) ELSE '' END,
+  'Text: ', CASE WHEN length(t) > 500 THEN concat(substring(t, 1, 497), '...') ELSE t END)) AS block_hash, length(t) > 500 AS truncated, summary IS NOT NULL AS from_summary, sha256('Name the topic.') AS prompt_hash
+FROM (SELECT b.cluster_id, rank, b.record_id, source_name, product, coalesce(summary, customer_text) AS t, summary FROM best b JOIN records r ON r.record_id = b.record_id JOIN summary_of s ON s.record_id = b.record_id WHERE rank <= 10)"""))
 def e10(spark, sf_dir) -> DataFrame:
-    rows = tp.representatives(members(spark, sf_dir), 10).join(records(spark, sf_dir).select("record_id", "customer_text"), "record_id")
-    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.length("customer_text") > 500).alias("truncated"))
+    best = tp.representatives(members(spark, sf_dir), 20)
+    report = providers.label_report(best, records(spark, sf_dir), summary_of(spark, sf_dir).select("record_id", "summary"), "Name the topic.")
+    return report.select("cluster_id", "rank", "record_id", F.sha2("block", 256).alias("block_hash"), "truncated", "from_summary", "prompt_hash")
 
 
 @query("e12_summary_report", with_ctes(RECORDS, SUMMARY, select="SELECT record_id, status, CASE WHEN status = 'summarized' THEN junk_type END AS junk_type, CASE WHEN status = 'summarized' THEN summary END AS summary FROM summary_of WHERE status IS NOT NULL"))
@@ -307,11 +314,11 @@ def e13(spark, sf_dir) -> DataFrame:
     return records(spark, sf_dir).select("record_id", F.when(F.contains(low, F.lit("license")), "license").when(F.contains(low, F.lit("error")), "error").otherwise("none").alias("label"))
 
 
-@query("a09_token_usage", "SELECT event_type, CAST(sum(length(event_type) + user_id % 5) AS BIGINT) AS prompt, CAST(sum(user_id % 3) AS BIGINT) AS completion, CAST(sum(length(event_type) + user_id % 5 + user_id % 3) AS BIGINT) AS total FROM events GROUP BY event_type")
+@query("a09_token_usage", with_ctes(BASE, BEST, select="SELECT CAST(sum(n) AS BIGINT) AS prompt, 3 * count(*) AS completion, CAST(sum(n) AS BIGINT) + 3 * count(*) AS total, count(*) AS calls FROM (SELECT b.cluster_id, sum(length(customer_text)) AS n, bool_or(customer_text = 'signup') AS failed FROM best b JOIN records r ON r.record_id = b.record_id WHERE rank <= 5 GROUP BY 1) WHERE NOT failed"))
 def a09(spark, sf_dir) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    prompt, completion = F.length("event_type") + F.col("user_id") % 5, F.col("user_id") % 3
-    return e.groupBy("event_type").agg(F.sum(prompt).alias("prompt"), F.sum(completion).alias("completion"), F.sum(prompt + completion).alias("total"))
+    """What the calls of a label run report; a call that fails reports nothing."""
+    targets = providers.label_targets(tp.representatives(members(spark, sf_dir), 20), records(spark, sf_dir), None, 5)
+    return providers.token_usage(providers.labelled(targets, scripted.KeywordLabeller("signup")))
 
 
 # the ledger: a run for each order, chained by keys
@@ -347,12 +354,43 @@ def r02(spark, sf_dir) -> DataFrame:
     return ledger.latest(runs(spark, sf_dir)).select("view_id", "type", "id")
 
 
-@query("l01_append_run")
+RUNS4 = """runs4 AS (
+  SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'embed' WHEN 1 THEN 'cluster' WHEN 2 THEN 'trend' ELSE 'label' END AS type, CASE WHEN o_custkey % 4 = 0 THEN 'failed' ELSE 'succeeded' END AS status,
+         o_orderkey // 4 % 50 AS view_id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 3 THEN o_orderkey - 2 ELSE o_orderkey - 1 END AS input_run, CASE WHEN o_orderkey % 4 = 2 AND o_custkey % 3 > 0 THEN o_custkey % 3 END AS version FROM orders)"""
+
+
+def runs4(spark, sf_dir) -> DataFrame:
+    """A run for each order, four of which make a chain in one view; the greater id is the later run."""
+    k, at = F.col("o_orderkey") % 4, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("o_orderkey") * 60)
+    input_run = F.when(k == 3, F.col("o_orderkey") - 2).when(k > 0, F.col("o_orderkey") - 1)
+    version = F.when((k == 2) & (F.col("o_custkey") % 3 > 0), F.col("o_custkey") % 3)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), F.when(k == 0, "embed").when(k == 1, "cluster").when(k == 2, "trend").otherwise("label").alias("type"), F.when(F.col("o_custkey") % 4 == 0, "failed").otherwise("succeeded").alias("status"),
+        (F.floor(F.col("o_orderkey") / 4) % 50).alias("view_id"), at.alias("created_at"), at.alias("completed_at"), F.to_json(F.struct(input_run.alias("run_id"))).alias("input_refs"), F.to_json(F.struct(version.alias("mathVersion"))).alias("stats"),
+    )
+
+
+@query("l01_append_run", with_ctes(BASE, select="""SELECT 1 AS id, 'cluster' AS type, 'succeeded' AS status, '{"k": 15}' AS params, '{"run_id": 0}' AS input_refs, concat('members.noise=', count(*) FILTER (is_noise), ',members.rows=', count(*), ',topics.rows=', count(DISTINCT CASE WHEN NOT is_noise THEN cluster_id END)) AS stats, 'read,write' AS phases, NULL AS error FROM members
+UNION ALL SELECT 2, 'layout', 'failed', '{}', '{}', '', 'write', 'no place to write to'"""))
 def l01(spark, sf_dir) -> DataFrame:
-    path = fresh_path(spark, "ledger")
-    ledger.append(runs(spark, sf_dir), path)
-    ledger.append(runs(spark, sf_dir).limit(1).withColumn("type", F.lit("layout")), path)
-    return spark.read.parquet(path).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """A run that writes members and topics, whose rows are counted on the way, and one that fails."""
+    path, out = fresh_path(spark, "ledger"), fresh_path(spark, "run")
+    with ledger.Recorder(spark, path, 1, 7, "cluster", {"k": 15}, {"run_id": 0}) as run:
+        with run.phase("read"):
+            m = members(spark, sf_dir)
+        with run.phase("write"):
+            run.watched(m, "members", noise=F.count_if("is_noise")).write.parquet(f"{out}/members")
+            run.watched(spark.read.parquet(f"{out}/members").where("not is_noise").groupBy("cluster_id").count(), "topics").write.parquet(f"{out}/topics")
+    try:
+        with ledger.Recorder(spark, path, 2, 7, "layout") as run, run.phase("write"):
+            run.watched(spark.range(3), "places")
+            raise OSError("no place to write to")
+    except OSError:
+        pass
+    pairs = F.array_sort(F.transform(F.map_entries("stats"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    timed = F.aggregate(F.map_values("phases"), F.lit(True), lambda ok, s: ok & (s >= 0))
+    rows = spark.read.schema(ledger.RUN).parquet(path).where(timed & (F.col("completed_at") >= F.col("created_at")))
+    return rows.select(F.col("id").cast("int").alias("id"), "type", "status", "params", "input_refs", F.array_join(pairs, ",").alias("stats"), F.array_join(F.array_sort(F.map_keys("phases")), ",").alias("phases"), "error")
 
 
 @query("l02_resolve_run", with_ctes(RUNS, select="SELECT v.view_id, v.wanted AS run_id, r.id IS NOT NULL AS usable FROM (SELECT view_id, max(id) AS wanted FROM runs GROUP BY view_id) v LEFT JOIN runs r ON r.id = v.wanted AND r.view_id = v.view_id AND r.status = 'succeeded' AND r.type = 'cluster'"))
@@ -374,10 +412,19 @@ def l04(spark, sf_dir) -> DataFrame:
     return ledger.matching(r.where("type = 'trend'"), defaults)
 
 
-@query("l05_view_delete", with_ctes(RUNS, select="SELECT id FROM runs WHERE view_id <> 3"))
+@query("l05_view_delete", with_ctes(BASE, RUNS, select="""SELECT 'run' AS part, id, NULL AS n FROM runs WHERE view_id <> 3
+UNION ALL SELECT 'output', r.id, (SELECT count(*) FROM members WHERE cluster_id = r.view_id) FROM runs r WHERE view_id <> 3 AND id IN (SELECT max(id) FROM runs WHERE view_id IN (2, 3, 4) GROUP BY view_id)"""))
 def l05(spark, sf_dir) -> DataFrame:
-    gone = spark.createDataFrame([(3,)], "view_id long")
-    return ledger.without_views(runs(spark, sf_dir), gone).select("id")
+    """Three views' newest runs have an output; one view goes."""
+    path, out = fresh_path(spark, "ledger"), fresh_path(spark, "outputs")
+    rows = runs(spark, sf_dir)
+    rows.write.parquet(path)
+    newest = rows.where("view_id in (2, 3, 4)").groupBy("view_id").agg(F.max("id").alias("run_id"))
+    written = members(spark, sf_dir).join(newest, F.col("cluster_id") == F.col("view_id")).select("record_id", "run_id")
+    written.write.partitionBy("run_id").parquet(out)
+    left = ledger.delete_view(spark, path, [out], 3)
+    kept = spark.read.schema("record_id string, run_id long").parquet(out).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return left.select(F.lit("run").alias("part"), "id", F.lit(None).cast("long").alias("n")).union(kept.select(F.lit("output"), F.col("run_id"), "n"))
 
 
 @query("l07_space_collection", "SELECT vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND lang <> 'en')")
@@ -387,9 +434,12 @@ def l07(spark, sf_dir) -> DataFrame:
     return ledger.referenced(v, left, "vec_id").select("vec_id")
 
 
-@query("v11_health_warnings", with_ctes(RUNS, select="""SELECT view_id, array_to_string(list_filter([CASE WHEN c IS NULL THEN 'no cluster run' END, CASE WHEN t IS NULL THEN 'no trend run' END, CASE WHEN ref <> c THEN 'trend run is of another cluster run' END], lambda x: x IS NOT NULL), ';') AS warnings FROM (
-  SELECT v.view_id, c.id AS c, t.id AS t, t.input_run AS ref FROM (SELECT DISTINCT view_id FROM runs) v
-  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY completed_at DESC, created_at DESC, id DESC) AS rn FROM runs WHERE status = 'succeeded' AND type = 'cluster') WHERE rn = 1) c ON c.view_id = v.view_id
-  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY completed_at DESC, created_at DESC, id DESC) AS rn FROM runs WHERE status = 'succeeded' AND type = 'trend') WHERE rn = 1) t ON t.view_id = v.view_id)"""))
+_NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY id DESC) AS rn FROM runs4 WHERE status = 'succeeded' AND type = '{}') WHERE rn = 1"
+
+
+@query("v11_health_warnings", with_ctes(RUNS4, select=f"""SELECT view_id, array_to_string(list_filter([CASE WHEN c IS NULL THEN 'no cluster run' END, CASE WHEN n IS NULL THEN 'no labels' END, CASE WHEN named <> c THEN 'label run is of another cluster run' END,
+  CASE WHEN t IS NULL THEN 'no trend run' END, CASE WHEN ref <> c THEN 'trend run is of another cluster run' END, CASE WHEN t IS NOT NULL AND coalesce(version, 1) < 2 THEN 'trend run is of version 1, not 2' END], lambda x: x IS NOT NULL), ';') AS warnings FROM (
+  SELECT v.view_id, c.id AS c, t.id AS t, t.input_run AS ref, t.version, n.id AS n, n.input_run AS named FROM (SELECT DISTINCT view_id FROM runs4) v
+  LEFT JOIN ({_NEWEST.format('cluster')}) c ON c.view_id = v.view_id LEFT JOIN ({_NEWEST.format('trend')}) t ON t.view_id = v.view_id LEFT JOIN ({_NEWEST.format('label')}) n ON n.view_id = v.view_id)"""))
 def v11(spark, sf_dir) -> DataFrame:
-    return ledger.warnings(runs(spark, sf_dir))
+    return ledger.warnings(runs4(spark, sf_dir))

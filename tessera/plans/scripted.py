@@ -47,4 +47,5 @@ class KeywordLabeller:
             raise RuntimeError("scripted failure")
         words = [w for t in texts for w in t.lower().split() if len(w) > 4]
         top = max(sorted(set(words)), key=words.count) if words else "empty"
-        return {"label": f"about {top} texts", "coherent": bool(words)}
+        usage = {"prompt_tokens": sum(map(len, texts)), "completion_tokens": 3}  # a token is a character of the texts, a word of the label
+        return {"label": f"about {top} texts", "coherent": bool(words), "usage": usage}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as vx
 from tessera.operators import chunks as ck
 from tessera.operators import cluster as cl
+from tessera.operators import evidence as ev
 from tessera.operators import quality
 from tessera.operators import snapshot as sn
 from tessera.operators import topics as tp
@@ -15,9 +16,11 @@ from tessera.operators import trend
 from tessera.plans.book import query
 from tessera.plans.fixture import LABELS, labels_of, members, records, with_ctes
 from tessera.plans.imports import population
-from tessera.plans.records import BEST
-from tessera.plans.trends import BASE, LATEST, MIX, mixes, points_sql
-from tessera.session import stored, table
+from tessera.plans.intake import RUNS4, runs4
+from tessera.plans.records import BEST, LAYOUT
+from tessera.plans.trends import BASE, LATEST, MIX, points_sql
+from tessera.session import fresh_path, stored, table
+from tessera.sources import sinks
 
 PLANTED = """raw AS (
   SELECT vec_id AS id, label, list_transform(range(1, 65), lambda i: 0.3 * CAST(embedding[i] AS DOUBLE) + CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END) AS r FROM embeddings),
@@ -91,37 +94,109 @@ query("x21_rounded_similarity", with_ctes(PLANTED, CENTROIDS, SEARCH, select="SE
 query("v06_topic_search", with_ctes(PLANTED, CENTROIDS, SEARCH, select="SELECT * FROM found ORDER BY similarity DESC, cluster_id LIMIT 5"))(topic_search)
 
 
-@query("v07_question_evidence", with_ctes(BASE, LABELS, LATEST, PLANTED, CENTROIDS, SEARCH, select="SELECT f.cluster_id, similarity, row_number() OVER (ORDER BY similarity DESC, f.cluster_id) = 1 AND similarity >= 0.2 AS matched, label FROM (SELECT * FROM found ORDER BY similarity DESC, cluster_id LIMIT 5) f LEFT JOIN latest l ON l.cluster_id = f.cluster_id"))
+PROVENANCE = """provenance AS (SELECT record_id, CASE WHEN event_id % 4 = 0 THEN 'i9' ELSE concat('i', event_id % 3) END AS import_id FROM records WHERE event_id % 5 <> 0)"""
+
+
+def provenance(spark, sf_dir) -> DataFrame:
+    """Records that came by an import: the selected one holds every fourth, the others were introduced by one of three."""
+    r = records(spark, sf_dir).where("event_id % 5 <> 0").select("record_id", "event_id")
+    versions = r.select("record_id", F.concat(F.lit("i"), (F.col("event_id") % 3).cast("string")).alias("introduced_by"))
+    imports = spark.range(10).select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("import_id"))
+    items = r.where("event_id % 4 = 0").select(F.lit("i9").alias("import_id"), "record_id")
+    return sn.provenance(r.select("record_id"), versions, imports, items, "i9")
+
+
+FACETS = "facets AS (SELECT cluster_id, string_agg(concat(v, '=', n), ',' ORDER BY v) AS facets FROM (SELECT cluster_id, coalesce(sentiment, '(none)') AS v, count(*) AS n FROM members m JOIN records r ON r.record_id = m.record_id WHERE NOT is_noise GROUP BY 1, 2) GROUP BY cluster_id)"
+TRENDS = """trends AS (SELECT p.cluster_id, string_agg(concat(CAST(p.bucket AS VARCHAR), '=', p.count), ',' ORDER BY p.bucket) AS series,
+  max(CASE WHEN b.spike > 0 THEN CAST(b.bucket AS VARCHAR) END) AS spike_bucket, round(greatest(max(b.spike), 0), 6) AS spike
+  FROM points p JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY spike DESC, count DESC, bucket DESC) AS rn FROM points) WHERE rn = 1) b ON b.cluster_id = p.cluster_id GROUP BY p.cluster_id)"""
+TOLD = """told AS (SELECT b.cluster_id, string_agg(concat_ws(':', rank, b.record_id, r.source_name, coalesce(product, ''), sha256(customer_text), timestamp_ms, coalesce(import_id, '')), '|' ORDER BY rank) AS representatives
+  FROM best b JOIN records r ON r.record_id = b.record_id LEFT JOIN provenance v ON v.record_id = b.record_id WHERE rank <= 10 GROUP BY b.cluster_id)"""
+EVIDENCE = """evidence AS (SELECT s.cluster_id, label, l.summary AS label_summary, s.size, round(s.mean_probability, 6) AS mean_probability, mix, representatives, series, spike, spike_bucket, facets
+  FROM (SELECT cluster_id, count(*) AS size, avg(probability) AS mean_probability FROM members WHERE NOT is_noise GROUP BY 1) s JOIN mixes m ON m.cluster_id = s.cluster_id JOIN told t ON t.cluster_id = s.cluster_id
+  JOIN trends p ON p.cluster_id = s.cluster_id JOIN facets f ON f.cluster_id = s.cluster_id LEFT JOIN latest l ON l.cluster_id = s.cluster_id)"""
+_EVIDENCE = (BASE, BEST, LABELS, LATEST, MIX, points_sql(), PROVENANCE, FACETS, TRENDS, TOLD, EVIDENCE)
+
+
+def evidence(spark, sf_dir) -> DataFrame:
+    """topic_evidence() with its lists as text."""
+    m, r = members(spark, sf_dir), records(spark, sf_dir)
+    facet = tp.facets(m, r.select("record_id", "sentiment"), "sentiment")
+    rows = ev.topic_evidence(m, r, labels_of(m), trend.points(m, "day"), 10, provenance(spark, sf_dir), facet)
+    pairs = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    line = lambda x: F.concat_ws(":", x["rank"].cast("string"), x["record_id"], x["source_name"], F.coalesce(x["title"], F.lit("")), F.sha2(x["text"], 256), F.unix_millis(x["ts"]).cast("string"), F.coalesce(x["import_id"], F.lit("")))
+    step = lambda x: F.concat_ws("=", x["bucket"].cast("string"), x["count"].cast("string"))
+    return rows.select(
+        "cluster_id", "label", "label_summary", "size", F.round("mean_probability", 6).alias("mean_probability"), pairs("source_mix").alias("mix"), F.array_join(F.transform("representatives", line), "|").alias("representatives"),
+        F.array_join(F.transform("series", step), ",").alias("series"), F.round("spike", 6).alias("spike"), F.col("spike_bucket").cast("string").alias("spike_bucket"), pairs("facets").alias("facets"),
+    )
+
+
+query("v05_topic_evidence", with_ctes(*_EVIDENCE, select="SELECT * FROM evidence"))(evidence)
+
+
+@query("v07_question_evidence", with_ctes(*_EVIDENCE, PLANTED, CENTROIDS, SEARCH, select="""SELECT f.cluster_id, similarity, matched, label, size, representatives, series, spike, facets FROM (
+  SELECT *, row_number() OVER (ORDER BY similarity DESC, cluster_id) = 1 AND similarity >= 0.2 AS matched FROM (SELECT * FROM found ORDER BY similarity DESC, cluster_id LIMIT 5)) f LEFT JOIN evidence e ON e.cluster_id = f.cluster_id AND matched"""))
 def v07(spark, sf_dir) -> DataFrame:
-    top = topic_search(spark, sf_dir)
-    best = top.agg(F.max_by("cluster_id", F.struct("similarity", -F.col("cluster_id"))).alias("_best"))
-    labels = tp.latest_labels(labels_of(members(spark, sf_dir))).select("cluster_id", "label")
-    rows = top.crossJoin(best).join(labels, "cluster_id", "left")  # one row and five
-    return rows.select("cluster_id", "similarity", ((F.col("cluster_id") == F.col("_best")) & (F.col("similarity") >= 0.2)).alias("matched"), "label")
-
-
-@query("v05_topic_evidence", with_ctes(BASE, BEST, LABELS, LATEST, MIX, points_sql(), select="""SELECT b.cluster_id, rank, b.record_id, r.source_name, label, mix, spike FROM best b JOIN records r ON r.record_id = b.record_id
-LEFT JOIN latest l ON l.cluster_id = b.cluster_id JOIN mixes m ON m.cluster_id = b.cluster_id JOIN (SELECT cluster_id, round(max(spike), 6) AS spike FROM points GROUP BY 1) p ON p.cluster_id = b.cluster_id WHERE rank <= 10"""))
-def v05(spark, sf_dir) -> DataFrame:
-    m = members(spark, sf_dir)
-    best = trend.points(m, "day").groupBy("cluster_id").agg(F.round(F.max("spike"), 6).alias("spike"))
-    rows = tp.representatives(m, 10).join(records(spark, sf_dir).select("record_id", "source_name"), "record_id")
-    labels = tp.latest_labels(labels_of(m)).select("cluster_id", "label")
-    return rows.join(labels, "cluster_id", "left").join(mixes(m), "cluster_id").join(best, "cluster_id").select("cluster_id", "rank", "record_id", "source_name", "label", "mix", "spike")
-
-
-@query("v12_artifact", with_ctes(BASE, LABELS, LATEST, points_sql(), select="""SELECT 'topic' AS part, CAST(s.cluster_id AS VARCHAR) AS id, label AS text, s.size AS value FROM (SELECT cluster_id, count(*) AS size FROM members WHERE NOT is_noise GROUP BY 1) s LEFT JOIN latest l ON l.cluster_id = s.cluster_id
-UNION ALL SELECT 'row', r.record_id, CASE WHEN length(customer_text) > 300 THEN concat(substring(customer_text, 1, 297), '...') ELSE customer_text END, cluster_id FROM records r JOIN members m ON m.record_id = r.record_id
-UNION ALL SELECT 'stat', 'noise', NULL, count(*) FILTER (is_noise) FROM members"""))
+    found = ev.question_evidence(topic_search(spark, sf_dir), evidence(spark, sf_dir))
+    return found.select("cluster_id", "similarity", "matched", "label", "size", "representatives", "series", "spike", "facets")
+
+
+_ROUND4 = "round(x, 4) AS x, round(y, 4) AS y, round(probability, 4) AS probability, round(outlier_score, 4) AS outlier_score"
+ARTIFACT = """topics AS (SELECT s.cluster_id, label, s.size, s.mean_probability, mix, reps, CASE WHEN p.spike > 0 THEN CAST(p.bucket AS VARCHAR) END AS bucket, round(greatest(p.spike, 0), 6) AS spike
+  FROM (SELECT cluster_id, count(*) AS size, round(avg(probability), 4) AS mean_probability FROM members WHERE NOT is_noise GROUP BY 1) s JOIN mixes m ON m.cluster_id = s.cluster_id
+  JOIN (SELECT cluster_id, string_agg(record_id, ',' ORDER BY rank) AS reps FROM best WHERE rank <= 20 GROUP BY 1) b ON b.cluster_id = s.cluster_id LEFT JOIN latest l ON l.cluster_id = s.cluster_id
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY spike DESC, count DESC, bucket) AS rn FROM points) WHERE rn = 1) p ON p.cluster_id = s.cluster_id),
+chosen AS (SELECT max(id) AS id FROM runs4 WHERE type = 'cluster' AND status = 'succeeded'),
+refs AS (SELECT 'cluster_run' AS ref, id FROM chosen UNION ALL SELECT 'embed_run', input_run FROM runs4 WHERE id = (SELECT id FROM chosen) UNION ALL SELECT 'layout_run', NULL
+  UNION ALL SELECT t || '_run', (SELECT max(id) FROM runs4 WHERE type = t AND status = 'succeeded' AND input_run = (SELECT id FROM chosen)) FROM (SELECT unnest(['trend', 'label']) AS t))"""
+ARTIFACT_ROWS = f"""SELECT 'topic' AS part, CAST(cluster_id AS VARCHAR) AS id, cluster_id, label AS text, concat(mix, '|', reps) AS more, size, NULL AS x, NULL AS y, mean_probability AS probability, NULL AS outlier_score, NULL AS is_noise, bucket AS at, spike FROM topics
+UNION ALL SELECT 'row', r.record_id, cluster_id, CASE WHEN length(customer_text) > 300 THEN concat(substring(customer_text, 1, 297), '...') ELSE customer_text END,
+  concat_ws('|', r.source_type, r.source_name, coalesce(product, ''), coalesce(sentiment, ''), array_to_string(coalesce(tags, []), ','), timestamp_ms), NULL, {_ROUND4}, is_noise, import_id, NULL
+  FROM layout l JOIN records r ON r.record_id = l.record_id JOIN members m ON m.record_id = l.record_id LEFT JOIN provenance v ON v.record_id = l.record_id
+UNION ALL SELECT 'ref', ref, NULL, CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM refs
+UNION ALL SELECT 'stat', 'noise', NULL, 'raw', NULL, count(*) FILTER (is_noise), NULL, NULL, round(count(*) FILTER (is_noise) * 1.0 / count(*), 4), NULL, NULL, NULL, NULL FROM members"""
+_ARTIFACT = (BASE, BEST, LABELS, LATEST, MIX, points_sql(), PROVENANCE, LAYOUT, RUNS4, ARTIFACT)
+
+
+def artifact(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Topics, rows and header of the artifact of the newest cluster run."""
+    m, r, runs = members(spark, sf_dir), records(spark, sf_dir), runs4(spark, sf_dir)
+    layout = r.where("event_id % 3 <> 0").select("record_id", F.sin(F.col("event_id") % 100).alias("x"), F.cos(F.col("event_id") % 100).alias("y"))
+    newest = runs.where("type = 'cluster' and status = 'succeeded'").agg(F.max("id")).first()[0]
+    return ev.artifact_topics(m, labels_of(m), trend.points(m, "day")), ev.artifact_rows(r, m, layout, provenance(spark, sf_dir)), ev.artifact_refs(runs, newest, m)
+
+
+def _one_table(topics: DataFrame, rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """The three parts below each other, lists as text."""
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("source_mix"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    top = topics.select(
+        F.lit("topic").alias("part"), F.col("cluster_id").cast("string").alias("id"), "cluster_id", F.col("label").alias("text"), F.concat(pairs, F.lit("|"), F.array_join("representatives", ",")).alias("more"), "size", no("double", "x"), no("double", "y"),
+        F.round("mean_probability", 4).alias("probability"), no("double", "outlier_score"), no("boolean", "is_noise"), F.col("spike_bucket").cast("string").alias("at"), F.round("spike", 6).alias("spike"),
+    )
+    facts = [F.col("source_type"), F.col("source_name"), F.coalesce("product", F.lit("")), F.coalesce("sentiment", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ","), F.col("timestamp_ms").cast("string")]
+    data = rows.select(F.lit("row"), "record_id", "cluster_id", "text", F.concat_ws("|", *facts), no("long", "size"), "x", "y", "probability", "outlier_score", "is_noise", "import_id", no("double", "spike"))
+    names = ["cluster_run", "embed_run", "layout_run", "trend_run", "label_run"]
+    blank = [no("string", "more"), no("long", "size"), *(no("double", c) for c in ("x", "y", "probability", "outlier_score")), no("boolean", "is_noise"), no("string", "at"), no("double", "spike")]
+    each = refs.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(n).cast("string").alias("v")) for n in names))).alias("r"))
+    each = each.select(F.lit("ref"), "r.n", no("long", "cluster_id"), "r.v", *blank)
+    stat = refs.select(F.lit("stat"), F.lit("noise"), no("long", "cluster_id"), "representation", no("string", "more"), "noise_count", no("double", "x"), no("double", "y"), F.round("noise_ratio", 4), *blank[5:])
+    return top.union(data).union(each).union(stat)
+
+
+@query("v12_artifact", with_ctes(*_ARTIFACT, select=ARTIFACT_ROWS))
 def v12(spark, sf_dir) -> DataFrame:
-    m = members(spark, sf_dir)
-    labels = tp.latest_labels(labels_of(m)).select("cluster_id", "label")
-    sizes = m.where("not is_noise").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).join(labels, "cluster_id", "left")
-    topics = sizes.select(F.lit("topic").alias("part"), F.col("cluster_id").cast("string").alias("id"), F.col("label").alias("text"), F.col("size").alias("value"))
-    rows = records(spark, sf_dir).join(m.select("record_id", "cluster_id"), "record_id")
-    rows = rows.select(F.lit("row"), "record_id", tp.shortened(F.col("customer_text")), "cluster_id")
-    stat = m.agg(F.count_if("is_noise").alias("n")).select(F.lit("stat"), F.lit("noise"), F.lit(None).cast("string"), "n")
-    return topics.union(rows).union(stat)
+    return _one_table(*artifact(spark, sf_dir))
+
+
+@query("s08_artifact", with_ctes(*_ARTIFACT, select=ARTIFACT_ROWS))
+def s08(spark, sf_dir) -> DataFrame:
+    """Written as JSON, and read back."""
+    path, parts = fresh_path(spark, "artifact"), artifact(spark, sf_dir)
+    sinks.write_artifact(*parts, path)
+    read = [spark.read.schema(x.schema).json(f"{path}/{name}") for name, x in zip(("topics", "data", "header"), parts, strict=True)]
+    return _one_table(*read)
 
 
 @query("j12_summary_facets", with_ctes(BASE, """s AS (SELECT record_id, concat('About ', source_type) AS issue FROM records WHERE event_id % 7 <> 0)""", select="SELECT cluster_id, coalesce(issue, '(none)') AS value, count(*) AS count FROM members m LEFT JOIN s ON s.record_id = m.record_id WHERE NOT is_noise GROUP BY ALL"))

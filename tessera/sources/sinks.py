@@ -52,6 +52,7 @@ def audit(result: DataFrame, path: str, recipe: str, params: dict[str, str]) ->
     rows.select(F.lit(recipe).alias("recipe"), options.alias("params"), "result").write.mode("append").parquet(path)
 
 
-def write_artifact(topics: DataFrame, data: DataFrame, path: str) -> None:
-    topics.write.mode("overwrite").json(f"{path}/topics")
-    data.write.mode("overwrite").option("compression", "gzip").json(f"{path}/data")
+def write_artifact(topics: DataFrame, data: DataFrame, header: DataFrame, path: str) -> None:
+    """Three folders of JSON lines: topics, data (gzip), header, the last written last; nulls are written out."""
+    for rows, name, packing in ((data, "data", "gzip"), (topics, "topics", "none"), (header, "header", "none")):
+        rows.write.mode("overwrite").option("compression", packing).option("ignoreNullFields", "false").json(f"{path}/{name}")
