@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import utc_time
@@ -34,19 +34,22 @@ def timestamp_text(ts: Column) -> Column:
     return utc_time(ts)
 
 
-def _field(name: str) -> tuple[Column, Column]:
-    """A key's variant and the name of its type; null and missing have none."""
-    got = F.try_variant_get("_v", f"$.{name}", "variant")
-    kind = F.schema_of_variant(got)
-    return got, F.when(kind != "VOID", kind)
+def _error(name: str, message: str, when: Column) -> Column:
+    return F.when(when, F.struct(F.lit(name).alias("field"), F.lit(message).alias("message")))
 
 
-def _error(name: str | Column, message: str, when: Column) -> Column:
-    return F.when(when, F.struct((F.lit(name) if isinstance(name, str) else name).alias("field"), F.lit(message).alias("message")))
+def _unpacked(lines: DataFrame, line_col: str) -> DataFrame:
+    """lines with _v (the line's variant), and for each key its variant, its type's name and its text, once: g_, k_ and t_ and the key.
 
-
-def text_of(name: str) -> Column:
-    return F.try_variant_get("_v", f"$.{name}", "string")
+    Null and missing have no type. Projections one on top of the other stay apart, as what is dear is used more than once.
+    """
+    kept = [F.col(f"`{c}`") for c in lines.columns]
+    rows = lines.withColumn("_v", F.try_parse_json(line_col))
+    rows = rows.select(*kept, "_v", *(F.try_variant_get("_v", f"$.{n}", "variant").alias(f"g_{n}") for n in ALLOWED))
+    kinds = [F.nullif(F.schema_of_variant(f"g_{n}"), F.lit("VOID")).alias(f"k_{n}") for n in ALLOWED]
+    texts = [F.try_variant_get(f"g_{n}", "$", "string").alias(f"t_{n}") for n in (*REQUIRED, *OPTIONAL, "timestamp")]
+    rows = rows.select(*kept, "_v", "g_rating", "g_tags", "g_metadata", *kinds, *texts)
+    return rows.withColumn("_ts", parsed_timestamp(F.col("t_timestamp")))
 
 
 def validated(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -55,48 +58,44 @@ def validated(lines: DataFrame, line_col: str = "value") -> DataFrame:
     A line that is not a JSON object has one error without a field. Explicit null is absent.
     customer_text is trimmed, other text is kept as it is.
     """
-    rows = lines.withColumn("_v", F.try_parse_json(line_col))
+    rows = _unpacked(lines, line_col)
+    kind = {n: F.col(f"k_{n}") for n in ALLOWED}
+    text = {n: F.col(f"t_{n}") for n in (*REQUIRED, *OPTIONAL, "timestamp")}
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     unknown = F.transform(
         F.array_sort(F.array_except(F.coalesce(F.json_object_keys(line_col), F.array().cast("array<string>")), F.array(*map(F.lit, ALLOWED)))),
-        lambda k: F.struct(k.alias("field"), F.lit("unknown key").alias("message")),
+        lambda k: F.struct(k.alias("field"), F.lit("is not a field of records").alias("message")),
     )
     errors = []
     for name in REQUIRED:
-        _, kind = _field(name)
-        blank = F.trim(F.regexp_replace(F.coalesce(text_of(name), F.lit("")), r"\s+", " ")) == ""
+        blank = F.coalesce(text[name], F.lit("")).rlike(r"^\s*$")
         errors += [
-            _error(name, "is required", kind.isNull()),
-            _error(name, "must be a string", kind != "STRING"),
-            _error(name, "must be non-empty", (kind == "STRING") & blank),
+            _error(name, "is missing", kind[name].isNull()),
+            _error(name, "is no text", kind[name] != "STRING"),
+            _error(name, "is blank", (kind[name] == "STRING") & blank),
         ]
-    _, kind = _field("timestamp")
-    ts = parsed_timestamp(text_of("timestamp"))
     errors += [
-        _error("timestamp", "is required", kind.isNull()),
-        _error("timestamp", "timestamp must be an ISO 8601 string", kind != "STRING"),
-        _error("timestamp", "timestamp must be a valid ISO 8601 string", (kind == "STRING") & ts.isNull()),
+        _error("timestamp", "is missing", kind["timestamp"].isNull()),
+        _error("timestamp", "is no text with an ISO 8601 time", kind["timestamp"] != "STRING"),
+        _error("timestamp", "names no ISO 8601 time", (kind["timestamp"] == "STRING") & F.col("_ts").isNull()),
     ]
-    errors += [_error(n, "must be a string when provided", _field(n)[1] != "STRING") for n in OPTIONAL]
-    kind = _field("rating")[1]
-    errors.append(_error("rating", "must be a number when provided", ~(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"))))
-    kind = _field("tags")[1]
-    errors.append(_error("tags", "must be a list of strings when provided", ~kind.isin("ARRAY<STRING>", "ARRAY<VOID>")))
-    kind = _field("metadata")[1]
-    errors.append(_error("metadata", "must be an object when provided", ~kind.startswith("OBJECT")))
+    errors += [_error(n, "is given and no text", kind[n] != "STRING") for n in OPTIONAL]
+    errors.append(_error("rating", "is given and no number", ~(kind["rating"].isin("BIGINT", "DOUBLE", "FLOAT") | kind["rating"].startswith("DECIMAL"))))
+    errors.append(_error("tags", "are given and no list of texts", ~kind["tags"].isin("ARRAY<STRING>", "ARRAY<VOID>")))
+    errors.append(_error("metadata", "are given and no object", ~kind["metadata"].startswith("OBJECT")))
     found = F.filter(F.array(*errors), lambda e: e.isNotNull())
-    not_object = F.array(F.struct(F.lit("").alias("field"), F.lit("must be an object").alias("message")))
+    not_object = F.array(F.struct(F.lit("").alias("field"), F.lit("the line is no object").alias("message")))
     snake = {n: "".join(f"_{c.lower()}" if c.isupper() else c for c in n) for n in ALLOWED}
     return rows.select(
         *(F.col(f"`{c}`") for c in lines.columns),
-        F.when(text_of("recordId").isNotNull() & (_field("recordId")[1] == "STRING"), text_of("recordId")).alias("record_key"),
-        *(text_of(n).alias(snake[n]) for n in [*REQUIRED[1:4], *OPTIONAL]),
-        F.trim(text_of("customerText")).alias("customer_text"),
-        F.try_variant_get("_v", "$.rating", "double").alias("rating"),
-        F.try_variant_get("_v", "$.tags", "array<string>").alias("tags"),
-        F.to_json(F.try_variant_get("_v", "$.metadata", "variant")).alias("metadata"),
-        ts.alias("ts"),
-        F.unix_millis(ts).alias("timestamp_ms"),
+        F.when(kind["recordId"] == "STRING", text["recordId"]).alias("record_key"),
+        *(text[n].alias(snake[n]) for n in [*REQUIRED[1:4], *OPTIONAL]),
+        F.trim(text["customerText"]).alias("customer_text"),
+        F.try_variant_get("g_rating", "$", "double").alias("rating"),
+        F.try_variant_get("g_tags", "$", "array<string>").alias("tags"),
+        F.to_json("g_metadata").alias("metadata"),
+        F.col("_ts").alias("ts"),
+        F.unix_millis("_ts").alias("timestamp_ms"),
         F.to_json("_v").alias("normalized_json"),
         F.when(is_object, F.concat(unknown, found)).otherwise(not_object).alias("errors"),
     )
@@ -125,8 +124,8 @@ def upserted(current: DataFrame, batch: DataFrame, now: Column, key: str = "reco
     change is created, updated or kept. current has the batch's columns without ``order``, and
     created_at, updated_at, is_active.
     """
-    newest = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n", order)
-    values = [c for c in newest.columns if c != key]
+    values = [c for c in batch.columns if c not in (key, order)]
+    newest = batch.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_row")).select(key, "_row.*")  # a task's rows of a key are one before they meet
     old = current.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in [*values, "created_at", "updated_at", "is_active"]))
     both = newest.withColumn("_hit", F.lit(True)).join(old, F.col(key) == F.col("_key"), "full")
     hit = F.col("_hit").isNotNull()

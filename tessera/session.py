@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources import files
+
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -64,5 +66,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, new: DataFrame, what: str) -> DataFrame:
+    """stored(), for the next round of an iteration: once it is written, the folder of the round before, which nothing else reads, goes."""
+    out = stored(new, what)
+    for path in old.inputFiles()[:1]:
+        folder = path.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith(f"{what}-"):
+            files.remove(old.sparkSession, folder)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
