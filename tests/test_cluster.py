@@ -297,6 +297,43 @@ def test_registered_topics_on_2000_planted_rows(spark, name):
     assert found.where("cluster_id = -1").count() <= 40
 
 
+def test_repulsion_counts_every_other_row_once(spark):
+    """And is near the sum over all pairs; rows in one place, in a line, and far off."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(6, 0.2, (80, 2)), np.tile([[2.0, -3.0]], (20, 1)), [[25.0, 25.0]]])
+    at = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {r["id"]: r for r in cl.repulsion(at, len(xy)).collect()}
+    assert {r["others"] for r in got.values()} == {len(xy) - 1}
+    diff = xy[:, None] - xy[None]
+    d2 = (diff**2).sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        push = np.where(d2 > 0, 2 * cl.CURVE_B / ((0.001 + d2) * (1 + cl.CURVE_A * d2**cl.CURVE_B)), 0)
+    want = np.clip(push[..., None] * diff, -cl.FORCE, cl.FORCE).sum(1) / (len(xy) - 1)
+    found = np.array([[got[i]["qx"], got[i]["qy"]] for i in range(len(xy))])
+    assert np.corrcoef(found.ravel(), want.ravel())[0, 1] >= 0.9
+    for n in (3, 5):
+        assert {r["others"] for r in cl.repulsion(at.where(F.col("id") < n), n).collect()} == {n - 1}
+
+
+def test_layout_keeps_neighbours_better_than_components(spark):
+    """Of each row's ten nearest, how many are among the ten nearest on the map."""
+    rng = np.random.default_rng(13)
+    v = np.eye(24)[np.arange(300) % 8] + rng.normal(0, 0.12, (300, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    want = brute_neighbours(v, 10)
+
+    def kept(places):
+        xy = np.array([[x, y] for _, x, y in sorted(places)])
+        d = ((xy[:, None] - xy[None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        return np.mean([len({*np.argsort(d[i])[:10].tolist()} & {*want[i]}) / 10 for i in range(300)])
+
+    flat = kept([(r["id"], *r["vector"]) for r in vx.reduced(rows, 2).collect()])
+    moved = kept([(r["id"], r["x"], r["y"]) for r in cl.layout(rows, k=10).collect()])
+    assert moved >= 1.25 * flat
+
+
 def test_layout(spark, planted):
     got = cl.layout(planted.select("id", "vector"), steps=2).collect()
     assert len(got) == 200 and np.isfinite([[r["x"], r["y"]] for r in got]).all()
