@@ -38,18 +38,23 @@ def _error(name: str, message: str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(name).alias("field"), F.lit(message).alias("message")))
 
 
+def _once(*columns: Column) -> Column:
+    """The columns behind a generator of one row, through which Catalyst doesn't push what is asked of them: each is worked out once."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def _unpacked(lines: DataFrame, line_col: str) -> DataFrame:
     """lines with _v (the line's variant), and for each key its variant, its type's name and its text, once: g_, k_ and t_ and the key.
 
-    Null and missing have no type. Projections one on top of the other stay apart, as what is dear is used more than once.
+    Null and missing have no type.
     """
     kept = [F.col(f"`{c}`") for c in lines.columns]
     rows = lines.withColumn("_v", F.try_parse_json(line_col))
-    rows = rows.select(*kept, "_v", *(F.try_variant_get("_v", f"$.{n}", "variant").alias(f"g_{n}") for n in ALLOWED))
+    rows = rows.select(*kept, "_v", _once(*(F.try_variant_get("_v", f"$.{n}", "variant").alias(f"g_{n}") for n in ALLOWED)))
     kinds = [F.nullif(F.schema_of_variant(f"g_{n}"), F.lit("VOID")).alias(f"k_{n}") for n in ALLOWED]
     texts = [F.try_variant_get(f"g_{n}", "$", "string").alias(f"t_{n}") for n in (*REQUIRED, *OPTIONAL, "timestamp")]
-    rows = rows.select(*kept, "_v", "g_rating", "g_tags", "g_metadata", *kinds, *texts)
-    return rows.withColumn("_ts", parsed_timestamp(F.col("t_timestamp")))
+    rows = rows.select(*kept, "_v", "g_rating", "g_tags", "g_metadata", _once(*kinds, *texts))
+    return rows.select("*", _once(parsed_timestamp(F.col("t_timestamp")).alias("_ts")))
 
 
 def validated(lines: DataFrame, line_col: str = "value") -> DataFrame:
