@@ -9,7 +9,7 @@ from tessera.functions import text as tx
 from tessera.operators import scope as sc
 from tessera.operators import topics as tp
 from tessera.plans.book import query
-from tessera.plans.fixture import LABELS, RECORDS, labels_of, members, members_sql, records, with_ctes
+from tessera.plans.fixture import LABELS, RECORDS, labels_of, members, records, with_ctes
 from tessera.plans.trends import BASE, LATEST, mixes
 
 IDS = "record_id"
