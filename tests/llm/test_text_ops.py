@@ -98,6 +98,55 @@ def test_shards_give_the_same_whatever_their_size(monkeypatch):
         assert run([dc.Windows([x], 4) for x in items]) == whole
 
 
+def test_passages_that_no_document_holds_are_left_out(spark, make_docs, monkeypatch):
+    """What is found with and without leaving out, over long items, short ones and repeated rows; how much is left is counted."""
+    rng = random.Random(32)
+    text = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    items = [(f"i{i}", text(rng.choice((3, 9, 10, 40, 300)))) for i in range(120)]
+    bench = spark.createDataFrame(items + items[:40] + [items[7]] * 500, "item_id string, text string")
+    docs = [(i, " ".join((text(30), items[i][1], text(5)))) for i in range(0, 120, 20)] + [(200, items[3][1][:-1]), (201, None), (202, "")]
+
+    def found(block, width=10):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+        rows = dc.contamination(make_docs(docs), bench, width=width).collect()
+        return {r["id"]: (r["n_words"], [tuple(x) for x in r["spans"]], r["items"]) for r in rows}
+
+    monkeypatch.setattr(dc, "PASSAGE_WINDOWS", 16)
+    want = found(1 << 24)
+    assert {name for _, _, names in want.values() for name in names} >= {f"i{i}" for i in range(0, 120, 20)}
+    assert found(2000) == want
+    assert found(2000, 3) == found(1 << 24, 3)
+    passages = dc._passages(bench.select(F.col("item_id").alias("item"), "text"), 10).cache()
+    left = dc._occurring(passages, make_docs(docs).select("text"), 10, dc.fresh_path(spark, "test"))
+    words = {i: re.findall(r"\w+", t or "") for i, t in docs}
+    windows = {tuple(w[a : a + n]) for w in words.values() for n in range(1, 11) for a in range(len(w) - n + 1)}
+    split = {(r["item"], bytes(r["passage"])): r["passage"].decode().split() for r in passages.collect()}
+    assert max(map(len, split.values())) == 25 and len(split) == passages.count()
+    occurs = {k for k, w in split.items() if any(tuple(w[a : a + min(10, len(w))]) in windows for a in range(max(len(w) - 9, 1)))}
+    assert {(r["item"], bytes(r["passage"])) for r in left.collect()} == occurs and 0 < len(occurs) < len(split) / 3
+    passages.unpersist()
+
+
+def test_windows_as_arrays():
+    """Windows, lengths and owners of a block against a dict of tuples."""
+    rng = random.Random(33)
+    items = [(str(rng.randrange(9)), " ".join(rng.choices("abc", k=rng.randrange(9))).encode()) for _ in range(60)]
+    want = {}
+    for name, text in items:
+        w = text.split()
+        for i in range(max(len(w) - 3, 1) if w else 0):
+            want.setdefault(tuple(w[i : i + 4]), set()).add(name)
+    block = dc.Windows(items, 4)
+    words = {i: w for w, i in block.vocabulary.items()}
+    got = {}
+    for phrases, starts, owners in block.by_length:
+        for i, phrase in enumerate(phrases.tolist()):
+            got[tuple(words[t] for t in phrase)] = {block.names[o] for o in owners[starts[i] : starts[i + 1]]}
+        assert starts[-1] == len(owners) and len(starts) == len(phrases) + 1
+    assert got == want and block.shortest == 1
+    assert dc.Windows([("a", b""), ("b", None)], 4).by_length == []
+
+
 def test_fm_index_finds_all():
     rng = np.random.default_rng(4)
     runs = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(40)] + [np.full(50, 2)] * 3
