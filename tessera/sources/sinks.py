@@ -44,12 +44,22 @@ def latest_version(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def audit(result: DataFrame, path: str, recipe: str, params: dict[str, str]) -> None:
-    """Appends one row for an evidence call: its parameters and its result as JSON."""
+#: Rows of a report that one audit row takes; the evidence calls give 50 topics at most, with up to 50 records each.
+AUDIT_ROWS = 2500
+
+
+def audit(result: DataFrame, path: str, recipe: str, params: dict[str, str], most: int = AUDIT_ROWS) -> None:
+    """Appends one row for an evidence call: its parameters and its result as JSON.
+
+    The result is a report and becomes one value, so one of more than ``most`` rows is an error,
+    told after reading no more than these, and nothing is appended. An empty one is ``[]``.
+    """
     names = sorted(result.columns)
-    rows = result.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*names)))).alias("result"))  # a top-k report
+    told = F.raise_error(F.lit(f"an audited result has at most {most} rows"))
+    rows = result.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*names)).alias("held"))
+    as_json = F.when(F.col("n") > most, told.cast("string")).otherwise(F.to_json(F.array_sort("held")))
     options = F.to_json(F.create_map(*(F.lit(x) for k in sorted(params) for x in (k, params[k])))) if params else F.lit("{}")
-    rows.select(F.lit(recipe).alias("recipe"), options.alias("params"), "result").write.mode("append").parquet(path)
+    rows.select(F.lit(recipe).alias("recipe"), options.alias("params"), as_json.alias("result")).write.mode("append").parquet(path)
 
 
 def write_artifact(topics: DataFrame, data: DataFrame, header: DataFrame, path: str) -> None:

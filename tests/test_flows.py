@@ -13,6 +13,16 @@ from tessera.sources.keyed import KeyedTable
 from tessera.streaming import twins
 
 
+def test_audit_takes_reports_only(spark, tmp_path):
+    path = f"file://{tmp_path}/audit"
+    sinks.audit(spark.range(3), path, "three", {"top_k": "3"}, most=3)
+    sinks.audit(spark.range(0), path, "none", {})
+    with pytest.raises(Exception, match="at most 3 rows"):
+        sinks.audit(spark.range(4), path, "four", {}, most=3)
+    rows = {r["recipe"]: (r["params"], json.loads(r["result"])) for r in spark.read.parquet(path).collect()}
+    assert rows == {"three": ('{"top_k":"3"}', [{"id": 0}, {"id": 1}, {"id": 2}]), "none": ("{}", [])}
+
+
 def test_latest_replaces_in_one_step(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/latest"
     with pytest.raises(FileNotFoundError):
