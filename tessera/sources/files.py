@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,21 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.util().listStatus(at))
 
 
+def name_blocks(spark: SparkSession, path: str, size: int = 10_000) -> Iterator[list[str]]:
+    """Names in a folder, so many at a time, listed as they are asked for; none where there is no folder."""
+    _, at, files = _context(spark, path)
+    if not files.util().exists(at):
+        return
+    block, left = [], files.listStatus(at)
+    while left.hasNext():
+        block.append(left.next().getPath().getName())
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder with all that is in it, if it is there."""
     _, at, files = _context(spark, path)

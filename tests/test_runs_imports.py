@@ -1,5 +1,7 @@
 """Runs that are recorded, labels, imports that are refused, and queries that SQL can't express."""
 
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def test_protected_views_stay(spark, tmp_path):
         ledger.delete_view(spark, f"file://{tmp_path}/none", [], 0, protected=(0,))
 
 
+def test_removal_of_a_view_asks_only_for_folders_that_are_there(spark, tmp_path, monkeypatch):
+    path, out = f"file://{tmp_path}/ledger", f"file://{tmp_path}/out"
+    spark.range(5000).selectExpr("id", "id % 2 as view_id").write.parquet(path)
+    spark.createDataFrame([(r, 2 + r) for r in (1, 2, 7, 9999)], "run_id long, n long").write.partitionBy("run_id").parquet(out)
+    removed, remove = [], ledger.files.remove
+    monkeypatch.setattr(ledger.files, "remove", lambda spark, at: (removed.append(at), remove(spark, at)))
+    monkeypatch.setattr(ledger.files, "name_blocks", functools.partial(ledger.files.name_blocks, size=2))
+    left = ledger.delete_view(spark, path, [out, f"file://{tmp_path}/none"], 1)
+    assert sorted(removed) == [f"{out}/run_id=1", f"{out}/run_id=7"]
+    assert left.count() == 2500 == spark.read.parquet(path).count()
+    assert {r["run_id"] for r in spark.read.parquet(out).collect()} == {2, 9999}
+
+
 def test_label_run_that_fails_as_a_whole_keeps_nothing(spark, tmp_path):
     targets = spark.createDataFrame([(1, ["no"]), (2, ["no", "longer words"])], "cluster_id long, texts array<string>")
     path = f"file://{tmp_path}/labels"
