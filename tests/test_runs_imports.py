@@ -1,11 +1,12 @@
 """Runs that are recorded, labels, imports that are refused, and queries that SQL can't express."""
 
 import functools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import ledger, providers
+from tessera.operators import chunks, ledger, providers
 from tessera.operators import snapshot as sn
 from tessera.plans import registry, scripted
 
@@ -96,6 +97,31 @@ def test_focus_is_clustered_by_itself(spark, sf):
     assert all(n >= 5 for c, n in sizes.items() if c != -1)
 
 
+def test_documents_of_a_chunk_index_are_dealt_out_once(spark, sf, request):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, -1)  # as large tables are joined
+    request.addfinalizer(lambda: spark.conf.unset(threshold))
+    for name in ("j10_layered_joins", "m02_completeness", "m04_chunk_texts"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution()
+        told = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        dealt = [x for x in told.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", x)]
+        assert len(dealt) >= 3 and sum("doc#" in x for x in dealt) <= 1, name
+
+
+def test_fingerprints_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("a", 0, "x"), ("b", 0, "x"), ("b", 1, "y")], "hash string, seq int, text string")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch.assign(fingerprint=batch["text"])
+
+    found = chunks.duplicates(rows.mapInPandas(counted, "hash string, seq int, text string, fingerprint string"))
+    assert {tuple(r) for r in found.collect()} == {("x", "a", 0, "a", 0, 2), ("x", "b", 0, "a", 0, 2), ("y", "b", 1, "b", 1, 1)}
+    assert seen.value == 3
+
+
 def test_input_digest_follows_the_input(spark, sf):
     """a18: the same for the same population, another for one row less."""
     from tessera.operators import chunks as ck
