@@ -1,6 +1,7 @@
 """Clustering, layout and reuse on planted data."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,23 @@ def test_utf16_slices(spark):
     got = [tuple(r[0]) for r in rows.select(tx.utf16_slice(F.col("t"), F.col("p"), F.col("n"))).collect()]
     split = "splits a surrogate pair"
     assert got == [("a", None), ("😀", None), (None, split), (None, split), ("bc", None), (None, "out of range"), ("", None)]
+
+
+def test_a_worker_holds_few_rows_at_once():
+    batches = [pd.DataFrame({"id": range(lo, lo + n)}) for lo, n in ((0, 10_000), (10_000, 0), (10_000, 3))]
+    cut = list(vx._slices(iter(batches)))
+    assert max(map(len, cut)) <= vx.SLICE_ROWS and min(map(len, cut)) > 0
+    assert pd.concat(cut)["id"].tolist() == list(range(10_003))
+
+
+def test_a_norm_is_worked_out_once(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>").select(vx.normalised(F.col("v")).alias("u"))
+    assert [r["u"] for r in rows.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == 1
+
+
+def test_a_question_goes_to_every_task(spark, sf, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as large tables are joined
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    plan = registry.queries()["x08_dot"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
