@@ -1,5 +1,7 @@
 """Clustering, layout and reuse on planted data."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -393,3 +395,11 @@ def test_a_question_goes_to_every_task(spark, sf, request):
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     plan = registry.queries()["x08_dot"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_vectors_move_once_to_where_blocks_meet(spark, planted):
+    rows = vx._data(planted, "id", "vector").withColumn("cell", F.col("id") % 5)
+    plan = vx._met(rows, rows, 3)._jdf.queryExecution()
+    told = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [x for x in told.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", x)]
+    assert len(dealt) >= 2 and sum(bool(re.search(r"\b(v|a_v|b_v)#", x)) for x in dealt) <= 2  # one for each side
