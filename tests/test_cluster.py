@@ -403,3 +403,10 @@ def test_vectors_move_once_to_where_blocks_meet(spark, planted):
     told = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     dealt = [x for x in told.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", x)]
     assert len(dealt) >= 2 and sum(bool(re.search(r"\b(v|a_v|b_v)#", x)) for x in dealt) <= 2  # one for each side
+
+
+def test_chains_are_chosen_level_by_level(spark):
+    rows = [(0, 1, None, None, 1.0, 1.0), (1, 2, 0, 1, 5.0, 2.0), (1, 3, 0, 1, 1.0, 3.0), (2, 4, 1, 3, 2.0, 4.0), (2, 5, 1, 3, 3.0, 7.0)]
+    nodes = spark.createDataFrame(rows, "n_level int, n_part long, up_level int, up_part long, own double, top double")
+    found = {r["n_part"]: (r["cluster"]["n_part"] if r["cluster"] else None, r["deep"]) for r in cl._chosen(nodes, [0, 1, 2], "eom", False).collect()}
+    assert found == {1: (None, 7.0), 2: (2, 2.0), 3: (None, 7.0), 4: (4, 4.0), 5: (5, 7.0)}
