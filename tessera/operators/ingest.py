@@ -15,6 +15,9 @@ _DATE, _BASIC_DATE = r"\d{4}-\d{2}-\d{2}", r"\d{8}"
 _OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2})?)?"
 ISO = rf"^(?:{_DATE}(?:[T ]\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d{{1,9}})?)?)?{_OFFSET})?|{_BASIC_DATE}(?:[T ]\d{{2}}(?:\d{{2}}(?:\d{{2}}(?:[.,]\d{{1,9}})?)?)?{_OFFSET})?)$"
 
+#: The form that most texts have: the steps below would leave it as it is.
+_PLAIN = rf"^{_DATE}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:\d{{2}})$"
+
 
 def parsed_timestamp(text: Column) -> Column:
     """Timestamp of ISO text, null if it is none. Without an offset it is UTC; dates are midnight."""
@@ -25,8 +28,10 @@ def parsed_timestamp(text: Column) -> Column:
     hours = F.regexp_replace(hours, r"([T ]\d{2}:\d{2})(?=[Z+-])", "$1:00")
     offset = F.regexp_replace(F.regexp_replace(hours, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
     short = F.regexp_replace(offset, r"(\.\d{6})\d+", "$1")
-    zoned = F.when(~short.rlike("[T ]"), F.concat(short, F.lit("T00:00:00Z"))).when(short.rlike(r"[T ].*(Z|[+-]\d{2}:\d{2})$"), short)
-    return F.when(text.rlike(ISO), F.try_to_timestamp(F.coalesce(zoned, F.concat(F.regexp_replace(short, r"([T ]\d{2}:\d{2})$", "$1:00"), F.lit("Z")))))
+    # the texts are of the form above, so the rest is a date, or ends in a time; each step is written once, as Catalyst repeats what is named twice
+    timed = F.regexp_replace(short, r"^([^T ]*)\z", "$1T00:00:00Z")
+    whole = F.regexp_replace(F.regexp_replace(timed, r"([T ]\d{2}:\d{2})$", "$1:00"), r"([T ][^Z+-]*)\z", "$1Z")
+    return F.when(text.rlike(_PLAIN), F.try_to_timestamp(text)).when(text.rlike(ISO), F.try_to_timestamp(whole))
 
 
 def timestamp_text(ts: Column) -> Column:
@@ -35,7 +40,8 @@ def timestamp_text(ts: Column) -> Column:
 
 
 def _error(name: str, message: str, when: Column) -> Column:
-    return F.when(when, F.struct(F.lit(name).alias("field"), F.lit(message).alias("message")))
+    """An array of one error, or an empty one."""
+    return F.when(when, F.array(F.struct(F.lit(name).alias("field"), F.lit(message).alias("message")))).otherwise(F.array().cast("array<struct<field: string, message: string>>"))
 
 
 def _once(*columns: Column) -> Column:
@@ -88,7 +94,7 @@ def validated(lines: DataFrame, line_col: str = "value") -> DataFrame:
     errors.append(_error("rating", "is given and no number", ~(kind["rating"].isin("BIGINT", "DOUBLE", "FLOAT") | kind["rating"].startswith("DECIMAL"))))
     errors.append(_error("tags", "are given and no list of texts", ~kind["tags"].isin("ARRAY<STRING>", "ARRAY<VOID>")))
     errors.append(_error("metadata", "are given and no object", ~kind["metadata"].startswith("OBJECT")))
-    found = F.filter(F.array(*errors), lambda e: e.isNotNull())
+    found = F.flatten(F.array(*errors))  # not a filter, under which all of these would be interpreted
     not_object = F.array(F.struct(F.lit("").alias("field"), F.lit("the line is no object").alias("message")))
     snake = {n: "".join(f"_{c.lower()}" if c.isupper() else c for c in n) for n in ALLOWED}
     return rows.select(
@@ -123,6 +129,11 @@ def admitted(rows: DataFrame, on_invalid: str = "reject") -> DataFrame:
     return accepted(rows)
 
 
+def admission_counts(rows: DataFrame) -> DataFrame:
+    """valid, n: rows that ``skip`` admits and rows that it leaves out, from one pass over the lines."""
+    return rows.groupBy((F.size("errors") == 0).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def upserted(current: DataFrame, batch: DataFrame, now: Column, key: str = "record_key", order: str = "batch_index") -> DataFrame:
     """The table after the batch: the last row of a key wins, created_at stays, rows become active.
 

@@ -61,9 +61,7 @@ def i02(spark, sf_dir) -> DataFrame:
 
 @query("i03_skip_invalid", with_ctes(RECORDS, select=f"SELECT len(bad) = 0 AS valid, count(*) AS n FROM ({_BAD}) GROUP BY 1"))
 def i03(spark, sf_dir) -> DataFrame:
-    rows = ingest.validated(json_lines(spark, sf_dir))
-    ok = ingest.admitted(rows, "skip").select(F.lit(True).alias("valid"))
-    return ok.union(ingest.rejected(rows).select(F.lit(False))).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.admission_counts(ingest.validated(json_lines(spark, sf_dir)))
 
 
 def _snapshots(spark, sf_dir):

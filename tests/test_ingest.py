@@ -68,6 +68,19 @@ def test_reject_and_skip(spark):
         ingest.admitted(rows, "reject")
 
 
+def test_skipped_and_admitted_rows_are_counted_in_one_pass(spark, sf):
+    rows = ingest.validated(spark.createDataFrame([(json.dumps(GOOD),), ("{}",), ("no json",), (None,)], "value string"))
+    counts = {r["valid"]: r["n"] for r in ingest.admission_counts(rows).collect()}
+    assert counts == {True: ingest.admitted(rows, "skip").count(), False: ingest.rejected(rows).count()} == {True: 1, False: 3}
+    plan = intake.i03(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # lines are made and read once
+
+
+def test_steps_of_a_timestamp_are_in_its_plan_once(spark):
+    plan = spark.range(1).select(ingest.parsed_timestamp(F.col("id").cast("string")).alias("ts"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 15
+
+
 def test_upsert_last_wins(spark):
     current = spark.createDataFrame([("a", 1, 10, 10, False)], "record_key string, v int, created_at int, updated_at int, is_active boolean")
     batch = spark.createDataFrame([("a", 2, 0), ("b", 3, 1), ("b", 4, 2)], "record_key string, v int, batch_index int")
