@@ -29,6 +29,14 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.util().listStatus(at))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files that lie in a folder; 0 where there is no folder."""
+    _, at, files = _context(spark, path)
+    if not files.util().exists(at):
+        return 0
+    return sum(s.getLen() for s in files.util().listStatus(at) if s.isFile())
+
+
 def name_blocks(spark: SparkSession, path: str, size: int = 10_000) -> Iterator[list[str]]:
     """Names in a folder, so many at a time, listed as they are asked for; none where there is no folder."""
     _, at, files = _context(spark, path)

@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 
 from tessera.sources import files
 
+#: Bytes that one task writes of a bucket, old rows counted as they lie in files and new ones as JSON.
+TASK_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class KeyedTable:
@@ -52,15 +55,23 @@ class KeyedTable:
         if batch is not None and state["batches"].get(stream, -1) >= batch:
             return False
         at = F.pmod(F.xxhash64(F.col(self.key)), F.lit(state["buckets"])).cast("int")
-        touched = [r[0] for r in rows.select(F.when(F.col(self.key).isNull(), -1).otherwise(at).alias("b")).distinct().collect()]  # at most one for each bucket
+        bucket, bytes_ = F.when(F.col(self.key).isNull(), -1).otherwise(at), F.octet_length(F.to_json(F.struct("*")))
+        touched = {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.sum(bytes_).alias("n")).collect()}  # at most one for each bucket
         if -1 in touched:
             raise ValueError(f"rows without {self.key}")
         folders = dict(state["folders"])
         if touched:
-            made = merge(self._read(state, touched), rows).select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
+            made = merge(self._read(state, list(touched)), rows).select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
             folder = f"{state['version'] + 1:012d}-{uuid.uuid4().hex}"
-            # one task for each bucket, so that a bucket's rows are few files
-            made.withColumn("bucket", at).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+            # a bucket's rows are few files: a task, and so a file, for each slice of a bucket, and no task has two
+            first, slices, n = [0] * state["buckets"], [1] * state["buckets"], 0
+            for b, fresh in sorted(touched.items()):
+                old = files.size(self.spark, f"{self.path}/data/{folders[str(b)]}") if str(b) in folders else 0
+                first[b], slices[b] = n, max(1, -(-(old + fresh) // TASK_BYTES))
+                n += slices[b]
+            dealt = made.withColumn("bucket", at)
+            place = F.get(F.lit(first), "bucket") + F.pmod(F.xxhash64(F.col(self.key), F.lit("slice")), F.get(F.lit(slices), "bucket"))
+            dealt.repartitionById(n, place.cast("int")).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
             folders |= {str(b): f"{folder}/bucket={b}" for b in touched}
         batches = state["batches"] | ({stream: batch} if batch is not None else {})
         new = {"version": state["version"] + 1, "buckets": state["buckets"], "batches": batches, "folders": folders}

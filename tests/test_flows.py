@@ -121,6 +121,21 @@ def test_keyed_table_takes_a_batch_once_and_one_of_two_writers(spark, keyed):
     assert rows_of(keyed) == {1: "first"}
 
 
+def test_keyed_table_cuts_large_buckets_and_no_task_has_two(spark, keyed, monkeypatch, tmp_path):
+    monkeypatch.setattr("tessera.sources.keyed.TASK_BYTES", 2000)
+    rows = lambda a, b, v: spark.range(a, b).select(F.col("id").alias("k"), F.concat(F.lit(v), F.repeat(F.lit("x"), 99)).alias("v"))
+    for a, b, v in ((0, 400, "a"), (200, 600, "b"), (5, 6, "c")):  # some 50, then 75 rows a bucket
+        keyed.upsert(rows(a, b, v), newest)
+    got = {k: v[0] for k, v in rows_of(keyed).items()}
+    assert got == {k: "c" if k == 5 else "b" if k >= 200 else "a" for k in range(600)} and keyed.read().count() == 600
+    first = sorted((tmp_path / "keyed" / "data").iterdir())[0]
+    inside = [sorted(b.glob("part-*")) for b in first.glob("bucket=*")]
+    assert len(inside) == 8 and all(len(b) > 1 for b in inside)
+    tasks = [p.name.split("-")[1] for b in inside for p in b]
+    assert len(set(tasks)) == len(tasks)  # a task wrote one file
+    assert max(spark.read.parquet(f"file://{p}").count() for b in inside for p in b) < 40
+
+
 def line(key, text, ts="2024-01-01T00:00:00Z"):
     return json.dumps({"recordId": key, "sourceType": "t", "sourceName": "s", "sourceRecordId": key, "customerText": text, "timestamp": ts, "metadata": {}})
 
