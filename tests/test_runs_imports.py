@@ -145,3 +145,30 @@ def test_noise_sample_is_a_sample_of_noise(spark, sf):
     assert len(ids) == len(set(ids)) == min(7, len(noise)) and set(ids) <= noise
     assert ids == [r["record_id"] for r in tp.noise_sample(m.repartition(5), 7).collect()]
     assert set(ids) != {r["record_id"] for r in tp.noise_sample(m, 7, seed=2).collect()}
+
+
+def test_documents_are_checked_by_blocks_of_sequences(spark):
+    """As a set in plain Python; nothing is counted distinct, for which each chunk was three rows."""
+    runs = {
+        "whole": range(200), "short": [0, 1], "gap": [*range(70), 71], "twice": [*range(130), 129], "far": [0, 1 << 40], "below": [-1, 0, 1], "low twice": [-65, -65, 0],
+        "same bits": [0, 64, 128], "none": [None], "some none": [0, None], "late": [1, 2], "one": [0],
+    }
+    rows = [("c", path, s, "d", "t", 3 if path == "short" else len(seqs)) for path, seqs in runs.items() for s in seqs]
+    rows += [("c", "title", 0, "d", None, 2), ("c", "title", 1, "d", "t", 2), ("c", "title too", 0, None, "d", 2), ("c", "title too", 1, "d", None, 2), ("c", "no title", 0, None, None, 2), ("c", "no title", 1, None, None, 2)]
+    rows += [("b", "whole", 0, "d", "t", 1), ("c", "totals", 0, "d", "t", 1), ("c", "totals", 1, "d", "t", 2)]
+    chunks = spark.createDataFrame(rows, "collection string, path string, sequence long, document string, title string, total_chunks int").repartition(5)
+
+    def problem(of):
+        seqs, total = [r[2] for r in of], max(r[5] for r in of)
+        known = [s for s in seqs if s is not None]
+        if len({r[3:] for r in of}) > 1:
+            return "facts differ"
+        if len(set(known)) < len(seqs):
+            return "sequence repeats"
+        return None if sorted(known) == list(range(total)) else "sequences"
+
+    want = {key: problem([r for r in rows if r[:2] == key]) for key in {r[:2] for r in rows}}
+    found = sn.checked_documents(chunks)
+    assert {(r["collection"], r["path"]): r["problem"] for r in found.collect()} == want
+    assert {want["c", p] for p in ("same bits", "gap", "short")} == {"sequences"} and want["c", "title too"] == "facts differ" and want["c", "no title"] is None
+    assert "Expand" not in found._jdf.queryExecution().toString()
