@@ -1,9 +1,11 @@
 """Clustering, layout and reuse on planted data."""
 
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +412,64 @@ def test_chains_are_chosen_level_by_level(spark):
     nodes = spark.createDataFrame(rows, "n_level int, n_part long, up_level int, up_part long, own double, top double")
     found = {r["n_part"]: (r["cluster"]["n_part"] if r["cluster"] else None, r["deep"]) for r in cl._chosen(nodes, [0, 1, 2], "eom", False).collect()}
     assert found == {1: (None, 7.0), 2: (2, 2.0), 3: (None, 7.0), 4: (4, 4.0), 5: (5, 7.0)}
+
+
+def test_deep_chains_take_few_passes(spark, monkeypatch):
+    """A tree of 60 levels is weighed and placed by bands of levels: a handful of tables and not two for each level; in bands of any size as in one."""
+    rows = [(0, 0, None, None, 1.0, 1.0)]
+    for level in range(1, 60):
+        rows += [(level, 2 * level, level - 1, 2 * level - 2, float(level * 7 % 5), 1.0 + level), (level, 2 * level + 1, level - 1, 2 * level - 2, float(level % 3), 2.0 + level)]
+    nodes = stored(spark.createDataFrame(rows, "n_level int, n_part long, up_level int, up_part long, own double, top double"), "nodes")
+    made = []
+    monkeypatch.setattr(cl, "stored", lambda df, what: made.append(what) or stored(df, what))
+    found = [sorted(map(tuple, cl._chosen(nodes, list(range(60)), "eom", False).collect()))]
+    assert len(made) <= 4 and len(found[0]) == 119
+    for most in (1, 50):
+        monkeypatch.setattr(cl, "BAND_CHAINS", most)
+        found.append(sorted(map(tuple, cl._chosen(nodes, list(range(60)), "eom", False).collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_level_of_cells_moves_no_row(spark, skewed, monkeypatch):
+    """Rows go down the tree where they are, and find the same cells whether workers hold all centres at once or few."""
+    data = stored(vx._data(skewed[0], "id", "vector"), "data")
+    plans = []
+    monkeypatch.setattr(vx, "replaced", lambda old, new, what: plans.append(new._jdf.queryExecution().executedPlan().toString()) or stored(new, what))
+    whole = sorted(map(tuple, vx.cell_tree(data, 6).select("id", "cell", "rank").collect()))
+    assert plans and not any("Exchange" in x for x in plans)
+    monkeypatch.setattr(vx, "HELD_BYTES", 1000)
+    assert sorted(map(tuple, vx.cell_tree(data, 6).select("id", "cell", "rank").collect())) == whole
+
+
+@pytest.mark.parametrize("most", [7, 32_000])
+def test_asked_cells_against_brute_force(spark, skewed, monkeypatch, most):
+    """Of the cells that each row asks the k best rows, ties to the smaller; a cell that many ask comes to several workers; ids that are no numbers too."""
+    monkeypatch.setattr(vx, "ASK_ROWS", most)
+    rows, v = skewed
+    data = rows.select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"), F.col("vector").alias("v"), (F.col("id") % 40).alias("cell")).where("id < 'r00800'")
+    asked = data.withColumn("cell", F.explode(F.array("cell", (F.col("cell") + 1) % 40)))
+    got = neighbour_lists(vx._merged(vx._asked(asked, data, 9), 9))
+    sim = v[:800] @ v[:800].T
+    for i in range(0, 800, 13):
+        among = [j for j in range(800) if j != i and (j - i) % 40 in (0, 1)]
+        assert got[f"r{i:05d}"] == [f"r{j:05d}" for j in sorted(among, key=lambda j: (-round(sim[i, j], 12), j))[:9]]  # noqa: B023
+    assert len(got) == 800
+
+
+def test_runs_stay_whole():
+    batches = [pa.RecordBatch.from_pydict({"k": x, "v": x}) for x in ([1, 1, 2], [2], [], [2, 2], [3], [4, 4, 5])]
+    cut = [x.column(0).to_pylist() for x in vx.whole_runs(iter(batches))]
+    assert sum(cut, []) == [1, 1, 2, 2, 2, 2, 3, 4, 4, 5]
+    assert all(a[-1] != b[0] for a, b in zip(cut, cut[1:], strict=False))
+
+
+def test_hashed_words(spark):
+    """Each word's axis and sign, summed and brought to unit length."""
+    texts = ["a b b 7", "B, zz-zz!", "", None, "ünï", *(f"w{i} w{i % 3}" for i in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for i, got in vx.hashed(rows, 8).collect():
+        want = np.zeros(8)
+        for word in re.findall("[a-z0-9]+", (texts[i] or "").lower()):
+            h = hashlib.md5(word.encode()).hexdigest()
+            want[int(h[:3], 16) % 8] += 1 if h[3] < "8" else -1
+        assert got == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist())
