@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import shuffles_removed
 from tessera.sources import files
 
 #: Bytes that one task writes of a bucket, old rows counted as they lie in files and new ones as JSON.
@@ -51,6 +52,10 @@ class KeyedTable:
 
         A batch of a stream that was committed before changes nothing, and False comes back. Rows without a key are refused.
         """
+        with shuffles_removed(self.spark, rows.sparkSession):
+            return self._upsert(rows, merge, stream, batch)
+
+    def _upsert(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], stream: str, batch: int | None) -> bool:
         state = self.state()
         if batch is not None and state["batches"].get(stream, -1) >= batch:
             return False
@@ -79,6 +84,22 @@ class KeyedTable:
             raise RuntimeError(f"version {new['version']} of {self.path} was written by another writer")
         return True
 
+    def forget(self, keep: int = 1) -> None:
+        """Removes versions before the last ``keep`` and the folders that they alone name; data that no version names yet stays, so other writers may go on."""
+        versions = [x for x in files.names(self.spark, f"{self.path}/versions") if not x.startswith(".")]
+        folders = lambda names: {f for v in names for f in files.read_json(self.spark, f"{self.path}/versions/{v}")["folders"].values()}
+        old = versions[:-keep]
+        if not old:
+            return
+        gone = folders(old) - folders(versions[-keep:])
+        for f in sorted(gone):
+            files.remove(self.spark, f"{self.path}/data/{f}")
+        for top in sorted({f.split("/")[0] for f in gone}):
+            if not any(x.startswith("bucket=") for x in files.names(self.spark, f"{self.path}/data/{top}")):
+                files.remove(self.spark, f"{self.path}/data/{top}")
+        for v in old:  # last: a call that was cut off is taken up by the next
+            files.remove(self.spark, f"{self.path}/versions/{v}")
+
     def collect_garbage(self, keep: int = 1) -> None:
         """Removes versions before the last ``keep`` and all data that the others don't name. Not beside a commit."""
         versions = [x for x in files.names(self.spark, f"{self.path}/versions") if not x.startswith(".")]

@@ -15,11 +15,12 @@ _STARTS = {"day": "0 days", "week": "4 days"}
 _SIZES = {"day": "1 day", "week": "7 days"}
 
 
-def upsert_stream(lines: DataFrame, table: KeyedTable, checkpoint: str, stream: str = "records") -> StreamingQuery:
+def upsert_stream(lines: DataFrame, table: KeyedTable, checkpoint: str, stream: str = "records", versions: int = 2) -> StreamingQuery:
     """Validates JSON lines and upserts each micro-batch into the table; a batch that is delivered again changes nothing more.
 
     All that the stream has to know is in the table's version files and the checkpoint, so a stream that is started
-    anew, in another session too, goes on where the last one ended.
+    anew, in another session too, goes on where the last one ended. The table's last ``versions`` stay: who reads the one
+    before the newest has a micro-batch's time to end.
     """
 
     def merge(current: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -29,6 +30,7 @@ def upsert_stream(lines: DataFrame, table: KeyedTable, checkpoint: str, stream:
         good = ingest.accepted(ingest.validated(rows.select("value")))
         fresh = good.drop("value", "normalized_json").withColumn("batch_index", F.monotonically_increasing_id())
         table.upsert(fresh, merge, stream, number)
+        table.forget(versions)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ingest
 from tessera.operators import topics as tp
+from tessera.session import REMOVE_SHUFFLES
 from tessera.sources import files, sinks
 from tessera.sources.keyed import KeyedTable
 from tessera.streaming import twins
@@ -187,3 +188,41 @@ def test_facets_have_one_rest_and_no_window_over_all_values(spark):
     assert found.count() == len(got) == 5
     assert got == {(1, "(other)"): 270, (1, "v01"): 10, (1, "v02"): 10, (1, "v04"): 10, (2, "x"): 1}
     assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+
+
+def test_versions_that_are_forgotten_leave_the_disk(spark, keyed, tmp_path):
+    """Of folders only those that the last versions name stay, and what another writer has not committed yet."""
+    for k, v in ((40, "a"), (40, "b"), (3, "c")):
+        keyed.upsert(spark.range(k).select(F.col("id").alias("k"), F.lit(v).alias("v")), newest)
+    (tmp_path / "keyed" / "data" / "under-way" / "bucket=1").mkdir(parents=True)
+    keyed.forget(2)
+    assert len(files.names(spark, f"{keyed.path}/versions")) == 2
+    keyed.forget()
+    want = {"under-way/bucket=1", *keyed.state()["folders"].values()}
+    assert {f"{b.parent.name}/{b.name}" for b in (tmp_path / "keyed" / "data").glob("*/bucket=*")} == want
+    assert len(list((tmp_path / "keyed" / "data").iterdir())) == 3 and keyed.state()["version"] == 3
+    assert rows_of(keyed) == {k: "c" if k < 3 else "b" for k in range(40)}
+
+
+def test_an_upsert_leaves_no_shuffle_files(spark, keyed):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {n for f in (blocks.getAllFiles().apply(i) for i in range(blocks.getAllFiles().size())) if (n := f.getName()).startswith("shuffle_")}
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    keyed.upsert(rows, newest)
+    before, setting = shuffles(), spark.conf.get(REMOVE_SHUFFLES, None)
+    keyed.upsert(rows.where("k > 500"), newest)
+    assert shuffles() <= before
+    assert spark.conf.get(REMOVE_SHUFFLES, None) == setting
+
+
+def test_a_stream_keeps_few_versions(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    fields = ingest.accepted(ingest.validated(spark.read.text(str(source)).limit(0))).drop("value", "normalized_json").schema
+    table = KeyedTable(spark, f"file://{tmp_path}/table", "record_key", fields.add("created_at", "timestamp").add("updated_at", "timestamp").add("is_active", "boolean"), 4)
+    for i in range(4):
+        (source / f"{i}.txt").write_text("\n".join(line(f"k{j}", f"text {i}") for j in range(i, 9)))
+        twins.upsert_stream(spark.readStream.text(str(source)), table, f"file://{tmp_path}/check").awaitTermination()
+    assert table.state()["version"] == 4 and len(files.names(spark, f"{table.path}/versions")) == 2
+    assert len(files.names(spark, f"{table.path}/data")) <= 4
+    assert {r["record_key"]: r["customer_text"] for r in table.read().collect()} == {f"k{j}": f"text {min(j, 3)}" for j in range(9)}
