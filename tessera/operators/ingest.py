@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,16 +136,24 @@ def admission_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy((F.size("errors") == 0).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upserted(current: DataFrame, batch: DataFrame, now: Column, key: str = "record_key", order: str = "batch_index") -> DataFrame:
+def upserted(
+    current: DataFrame, batch: DataFrame, now: Column, key: str = "record_key", order: str = "batch_index", dealt: tuple[Callable[[DataFrame], DataFrame], str] | None = None
+) -> DataFrame:
     """The table after the batch: the last row of a key wins, created_at stays, rows become active.
 
     change is created, updated or kept. current has the batch's columns without ``order``, and
-    created_at, updated_at, is_active.
+    created_at, updated_at, is_active. dealt: a function that deals rows out by their key, and the column that it adds and
+    deals by; both sides are joined where it puts them.
     """
     values = [c for c in batch.columns if c not in (key, order)]
     newest = batch.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_row")).select(key, "_row.*")  # a task's rows of a key are one before they meet
-    old = current.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in [*values, "created_at", "updated_at", "is_active"]))
-    both = newest.withColumn("_hit", F.lit(True)).join(old, F.col(key) == F.col("_key"), "full")
+    same, at = F.col(key) == F.col("_key"), []
+    if dealt is not None:
+        deal, place = dealt
+        newest, current, at = deal(newest), deal(current), [F.col(place).alias("_at")]
+        same &= F.col(place) == F.col("_at")
+    old = current.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in [*values, "created_at", "updated_at", "is_active"]), *at)
+    both = newest.withColumn("_hit", F.lit(True)).join(old, same, "full")
     hit = F.col("_hit").isNotNull()
     return both.select(
         F.coalesce(key, "_key").alias(key),

@@ -21,6 +21,8 @@ from tessera.sources import files
 
 #: Bytes that one task writes of a bucket, old rows counted as they lie in files and new ones as JSON.
 TASK_BYTES = 64 << 20
+#: Column of the task that writes a row.
+PLACE = "_place"
 
 
 @dataclass(frozen=True)
@@ -47,15 +49,17 @@ class KeyedTable:
         """The newest version's rows."""
         return self._read(self.state())
 
-    def upsert(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], stream: str = "", batch: int | None = None) -> bool:
+    def upsert(self, rows: DataFrame, merge: Callable[..., DataFrame], stream: str = "", batch: int | None = None, placed: bool = False) -> bool:
         """Merges rows into the buckets that their keys are in; merge gets these buckets' rows and the new ones.
 
         A batch of a stream that was committed before changes nothing, and False comes back. Rows without a key are refused.
+        With placed, merge gets a function besides that deals rows out to the tasks which write them, and names a row's task
+        in a column PLACE; what it returns lies as these rows do, so it is not dealt out again.
         """
         with shuffles_removed(self.spark, rows.sparkSession):
-            return self._upsert(rows, merge, stream, batch)
+            return self._upsert(rows, merge, stream, batch, placed)
 
-    def _upsert(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], stream: str, batch: int | None) -> bool:
+    def _upsert(self, rows: DataFrame, merge: Callable[..., DataFrame], stream: str, batch: int | None, placed: bool) -> bool:
         state = self.state()
         if batch is not None and state["batches"].get(stream, -1) >= batch:
             return False
@@ -66,7 +70,6 @@ class KeyedTable:
             raise ValueError(f"rows without {self.key}")
         folders = dict(state["folders"])
         if touched:
-            made = merge(self._read(state, list(touched)), rows).select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
             folder = f"{state['version'] + 1:012d}-{uuid.uuid4().hex}"
             # a bucket's rows are few files: a task, and so a file, for each slice of a bucket, and no task has two
             first, slices, n = [0] * state["buckets"], [1] * state["buckets"], 0
@@ -74,9 +77,12 @@ class KeyedTable:
                 old = files.size(self.spark, f"{self.path}/data/{folders[str(b)]}") if str(b) in folders else 0
                 first[b], slices[b] = n, max(1, -(-(old + fresh) // TASK_BYTES))
                 n += slices[b]
-            dealt = made.withColumn("bucket", at)
-            place = F.get(F.lit(first), "bucket") + F.pmod(F.xxhash64(F.col(self.key), F.lit("slice")), F.get(F.lit(slices), "bucket"))
-            dealt.repartitionById(n, place.cast("int")).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+            place = F.get(F.lit(first), at) + F.pmod(F.xxhash64(F.col(self.key), F.lit("slice")), F.get(F.lit(slices), at))
+            deal = lambda some: some.withColumn(PLACE, place.cast("int")).repartitionById(n, F.col(PLACE))
+            current = self._read(state, list(touched))
+            made = merge(current, rows, deal) if placed else deal(merge(current, rows))
+            made = made.select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
+            made.withColumn("bucket", at).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
             folders |= {str(b): f"{folder}/bucket={b}" for b in touched}
         batches = state["batches"] | ({stream: batch} if batch is not None else {})
         new = {"version": state["version"] + 1, "buckets": state["buckets"], "batches": batches, "folders": folders}

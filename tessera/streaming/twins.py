@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import utc_day
 from tessera.operators import ingest, providers
-from tessera.sources.keyed import KeyedTable
+from tessera.sources.keyed import PLACE, KeyedTable
 
 #: Epoch days are counted from a Thursday; weeks that begin on Monday start four days on.
 _STARTS = {"day": "0 days", "week": "4 days"}
@@ -23,13 +25,13 @@ def upsert_stream(lines: DataFrame, table: KeyedTable, checkpoint: str, stream:
     before the newest has a micro-batch's time to end.
     """
 
-    def merge(current: DataFrame, fresh: DataFrame) -> DataFrame:
-        return ingest.upserted(current, fresh, F.current_timestamp()).drop("change")
+    def merge(current: DataFrame, fresh: DataFrame, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return ingest.upserted(current, fresh, F.current_timestamp(), dealt=(deal, PLACE)).drop("change")
 
     def batch(rows: DataFrame, number: int) -> None:
         good = ingest.accepted(ingest.validated(rows.select("value")))
         fresh = good.drop("value", "normalized_json").withColumn("batch_index", F.monotonically_increasing_id())
-        table.upsert(fresh, merge, stream, number)
+        table.upsert(fresh, merge, stream, number, placed=True)
         table.forget(versions)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

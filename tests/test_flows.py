@@ -226,3 +226,28 @@ def test_a_stream_keeps_few_versions(spark, tmp_path):
     assert table.state()["version"] == 4 and len(files.names(spark, f"{table.path}/versions")) == 2
     assert len(files.names(spark, f"{table.path}/data")) <= 4
     assert {r["record_key"]: r["customer_text"] for r in table.read().collect()} == {f"k{j}": f"text {min(j, 3)}" for j in range(9)}
+
+
+def test_rows_of_a_stream_are_joined_where_they_are_written(spark, tmp_path, monkeypatch):
+    """The table's rows are dealt out once for each micro-batch, and the new ones once more to find the last of a key."""
+    monkeypatch.setattr("tessera.sources.keyed.TASK_BYTES", 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fields = ingest.accepted(ingest.validated(spark.createDataFrame([], "value string"))).drop("value", "normalized_json").schema
+        table = KeyedTable(spark, f"file://{tmp_path}/table", "record_key", fields.add("created_at", "timestamp").add("updated_at", "timestamp").add("is_active", "boolean"), 4)
+        plans = []
+        run = ingest.upserted
+        monkeypatch.setattr(ingest, "upserted", lambda *a, **k: plans.append(run(*a, **k)) or plans[-1])
+        source = tmp_path / "in"
+        source.mkdir()
+        for i in range(3):
+            (source / f"{i}.txt").write_text("\n".join(line(f"k{j}", f"text {i}") for j in range(i * 20, i * 20 + 60) for _ in range(2)))
+            twins.upsert_stream(spark.readStream.text(str(source)), table, f"file://{tmp_path}/check").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[-1]._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 3
+    assert {r["record_key"]: r["customer_text"] for r in table.read().collect()} == {f"k{j}": f"text {min(j // 20, 2)}" for j in range(100)}
+    assert table.read().count() == 100
+    last = max((tmp_path / "table" / "data").iterdir())
+    tasks = [p.name.split("-")[1] for p in last.glob("bucket=*/part-*")]
+    assert len(tasks) > 4 and len(set(tasks)) == len(tasks)
