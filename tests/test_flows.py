@@ -2,13 +2,14 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
 from tessera.operators import topics as tp
-from tessera.session import REMOVE_SHUFFLES
+from tessera.session import REMOVE_SHUFFLES, stored
 from tessera.sources import files, sinks
 from tessera.sources.keyed import KeyedTable
 from tessera.streaming import twins
@@ -204,14 +205,32 @@ def test_versions_that_are_forgotten_leave_the_disk(spark, keyed, tmp_path):
     assert rows_of(keyed) == {k: "c" if k < 3 else "b" for k in range(40)}
 
 
+def shuffles(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def gone(spark, before):
+    """No other shuffle files than before, within some seconds: they are removed in the background."""
+    end = time.time() + 10
+    while not shuffles(spark) <= before and time.time() < end:
+        time.sleep(0.2)
+    return shuffles(spark) <= before
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = shuffles(spark)
+    found = stored(spark.range(2000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    assert gone(spark, before)
+    assert found.count() == 700
+
+
 def test_an_upsert_leaves_no_shuffle_files(spark, keyed):
-    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
-    shuffles = lambda: {n for f in (blocks.getAllFiles().apply(i) for i in range(blocks.getAllFiles().size())) if (n := f.getName()).startswith("shuffle_")}
     rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     keyed.upsert(rows, newest)
-    before, setting = shuffles(), spark.conf.get(REMOVE_SHUFFLES, None)
+    before, setting = shuffles(spark), spark.conf.get(REMOVE_SHUFFLES, None)
     keyed.upsert(rows.where("k > 500"), newest)
-    assert shuffles() <= before
+    assert gone(spark, before)
     assert spark.conf.get(REMOVE_SHUFFLES, None) == setting
 
 
